@@ -1,12 +1,58 @@
-"""A corpus pipeline of language-model operators; each stage is written as Parquet and read again as the next one's input."""
+"""A corpus pipeline of five operators; each stage is written as Parquet and read again as the next one's input.
+
+Language ID drops the documents that it rejects, line dedup cuts later repeated runs of lines, near-dedup keeps the least doc_id
+of each class, decontamination drops documents that hold a benchmark item, and mixing repeats documents to their sources' targets.
+All stages but the last return the columns of documents, n_chars as it is after cutting.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from paperloom.llm import decontam, langid, linededup, mixing, neardup
+from paperloom.llm._store import table, written
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents whose language is recognised; null texts and those without a letter go."""
+    model = langid.fit(docs)
+    return langid.predict(docs, model, keep=tuple(docs.columns)).where(~F.col("rejected")).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts later repeated runs of lines; documents stay, if need be with an empty text."""
+    cut = linededup.dedup(docs)
+    return cut.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.without_copies(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs, weights=(5, 2, 1), cap=3.0).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
 
-STAGES: list = []
-ORACLE_SQL = None
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("mix_sources", mix_sources),
+]
+ORACLE_SQL = None  # trained models, winnowing and sampling are not SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

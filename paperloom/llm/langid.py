@@ -173,7 +173,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per input row: the columns of `keep`, lang_pred, score (calibrated probability), rejected.
+    """One row per input row: the columns of `keep`, which may hold the text, lang_pred, score (calibrated probability), rejected.
 
     lang_pred is a learned label, or `und` with score 0 where the text is null or has no letter; such rows are rejected, as
     are those whose probability is under the model's threshold. Whole texts count; other columns are not read.
