@@ -23,8 +23,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts later repeated runs of lines; documents stay, if need be with an empty text."""
-    cut = linededup.dedup(docs)
+    """Cuts later repeated runs of lines; documents of which no word is left go, all others stay."""
+    cut = linededup.dedup(docs).where((F.col("n_deleted") == 0) | F.col("text").rlike(r"[^\W_]|[^\x00-\x7f]"))
     return cut.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
