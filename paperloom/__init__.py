@@ -1 +1,8 @@
 """Document extraction and structure mining on Spark DataFrames."""
+
+from paperloom.functions.keys import EXTRACT_VERSION
+from paperloom.functions.markdown import section
+from paperloom.operators.extract import extract
+
+__version__ = EXTRACT_VERSION
+__all__ = ["EXTRACT_VERSION", "__version__", "extract", "section"]
