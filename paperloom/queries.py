@@ -128,14 +128,14 @@ def reference_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return carried(spark, sf_dir).select("doc_id", long(F.size(markdown.references(F.col("md")))).alias("n_refs"))
 
 
-# Tables as islands of pipe lines: a header, a separator, and at least one row.
+# Tables as islands of pipe lines: a header, a separator, and ln0 least one row.
 TABLES_SQL = rf"""{LINES_SQL},
 piped AS (SELECT *, line LIKE '|%|' AND length(line) > 1 AS pipe, regexp_matches(line, '^\|[\s:|-]+\|$') AS sep FROM lines),
 islands AS (SELECT *, ln - row_number() OVER (PARTITION BY doc_id, pipe ORDER BY ln) AS island FROM piped),
-blocks AS (SELECT doc_id, island, min(ln) AS at, count(*) AS n, count(*) FILTER (WHERE sep) AS seps, string_agg(line, E'\n' ORDER BY ln) AS t FROM islands WHERE pipe GROUP BY doc_id, island),
-tabs AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY at) - 1 AS idx, at, t FROM blocks WHERE n >= 3 AND seps >= 1)"""
+blocks AS (SELECT doc_id, island, min(ln) AS ln0, count(*) AS n, count(*) FILTER (WHERE sep) AS seps, string_agg(line, E'\n' ORDER BY ln) AS t FROM islands WHERE pipe GROUP BY doc_id, island),
+tabs AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ln0) - 1 AS idx, ln0, t FROM blocks WHERE n >= 3 AND seps >= 1)"""
 CAPTIONS_SQL = rf"""{TABLES_SQL},
-befores AS (SELECT t.doc_id, t.idx, right(coalesce(string_agg(l.line, E'\n' ORDER BY l.ln), ''), 300) AS w FROM tabs t LEFT JOIN lines l ON l.doc_id = t.doc_id AND l.ln < t.at GROUP BY ALL),
+befores AS (SELECT t.doc_id, t.idx, right(coalesce(string_agg(l.line, E'\n' ORDER BY l.ln), ''), 300) AS w FROM tabs t LEFT JOIN lines l ON l.doc_id = t.doc_id AND l.ln < t.ln0 GROUP BY ALL),
 wlines AS (SELECT doc_id, idx, unnest(string_split(w, E'\n')) AS line, generate_subscripts(string_split(w, E'\n'), 1) AS ln FROM befores),
 caps AS (SELECT doc_id, idx, arg_max(trim(line, {WHITE}), ln) AS caption FROM wlines WHERE regexp_matches(trim(line, {WHITE}), '(?i)^(table\s+\d+[.:]|tbl\.?\s*\d+)') GROUP BY ALL)"""
 
