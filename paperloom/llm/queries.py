@@ -75,4 +75,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_near_duplicates": op10_near_duplicates,
 }
-ORACLES: dict[str, str] = {}
+
+# Words and shingles as lists, without hashes or signatures.
+WORDS_SQL = r"string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')"
+
+
+def shingle_sql(table_name: str, key: str) -> str:
+    return f"(SELECT DISTINCT {key}, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT {key}, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT {key}, {WORDS_SQL} AS w FROM {table_name})))"
+
+
+OP9_SQL = f"""WITH d AS {shingle_sql('documents', 'doc_id')}, b AS {shingle_sql('benchmark', 'item_id')}, n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS n_common, n_item, CAST(count(*) AS DOUBLE) / n_item AS containment FROM d JOIN b USING (s) JOIN n USING (item_id)
+GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item - 1e-9"""
+
+
+def list_sql(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def op3_sql() -> str:
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    lower = f"translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}')"
+    phrases = ", ".join(f"('{label}', {list_sql(p.split(' '))})" for p, label in licenses.PHRASES.items())
+    templates = ", ".join(f"('{label}', {list_sql(words)})" for label, words in licenses.template_words(licenses.TEMPLATES))
+    return f"""WITH docs AS (SELECT doc_id, {lower} AS t FROM documents), words AS (SELECT doc_id, regexp_extract_all(t, '{word}') AS w, t FROM docs),
+phrases(label, p) AS (VALUES {phrases}), templates(label, p) AS (VALUES {templates}),
+places AS (SELECT doc_id, label, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i:i + len(p) - 1] = p)) - 1 AS at_word FROM words, phrases WHERE contains(t, p[1])),
+base AS (SELECT doc_id, count(*) AS n_base, min(at_word) AS first_word, max(at_word) AS last_word FROM places GROUP BY doc_id),
+blocks AS (SELECT doc_id, regexp_extract_all(unnest(string_split(t, chr(10))), '{word}') AS w FROM docs),
+met AS (SELECT doc_id, label, max(len(list_intersect(w, p)) / CAST(len(p) AS DOUBLE)) AS c FROM blocks, templates WHERE len(list_intersect(w, p)) >= ceil(0.8 * len(p) - 1e-9) GROUP BY doc_id, label),
+base_labels AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT doc_id, label FROM places) GROUP BY doc_id),
+all_labels AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM met) GROUP BY doc_id),
+best AS (SELECT doc_id, max(c) AS c FROM met GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  greatest(coalesce(c, 0.0), CASE WHEN n_base > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS score
+FROM words LEFT JOIN base USING (doc_id) LEFT JOIN base_labels USING (doc_id) LEFT JOIN all_labels USING (doc_id) LEFT JOIN best USING (doc_id)"""
+
+
+ORACLES: dict[str, str] = {"op3_license_scan": op3_sql(), "op9_decontamination": OP9_SQL}
