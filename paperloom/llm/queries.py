@@ -112,4 +112,24 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
 FROM words LEFT JOIN base USING (doc_id) LEFT JOIN base_labels USING (doc_id) LEFT JOIN all_labels USING (doc_id) LEFT JOIN best USING (doc_id)"""
 
 
-ORACLES: dict[str, str] = {"op3_license_scan": op3_sql(), "op9_decontamination": OP9_SQL}
+# The whole order of each source, without a grid; the same hash as in mixing.uniform.
+OP7_SQL = r"""WITH docs AS (SELECT doc_id, text, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+sizes AS (SELECT source, CAST(sum(size) AS DOUBLE) AS s FROM docs GROUP BY source),
+weighed AS (SELECT source, s, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS INTEGER)]::DOUBLE AS w FROM sizes),
+caps AS (SELECT *, 3.0::DOUBLE * s AS cap, 3.0::DOUBLE * s / w AS full_at, sum(s) OVER () AS total FROM weighed),
+levels AS (SELECT *, (total - (sum(cap) OVER o - cap)) / (sum(w) OVER () - sum(w) OVER o + w) AS level FROM caps WINDOW o AS (ORDER BY full_at, source IS NULL, source ROWS UNBOUNDED PRECEDING)),
+shares AS (SELECT *, least(cap, (SELECT max(level) FROM levels WHERE level <= full_at) * w) AS target FROM levels),
+plans AS (SELECT source, s, target, CASE WHEN s > 0 THEN CAST(floor(target / s + 1e-12) AS BIGINT) ELSE 0 END AS whole FROM shares),
+rests AS (SELECT *, greatest(0.0, target - whole * s) AS rest FROM plans),
+classes AS (SELECT source, CAST(floor(log2(size) * 8) AS INTEGER) AS k, CAST(sum(size) AS DOUBLE) AS words FROM docs WHERE size > 0 GROUP BY ALL),
+roots AS (SELECT *, pow(2.0, (k + 0.5) / 8 / 2) AS r FROM classes),
+opens AS (SELECT c.source, r, rest - (sum(words) OVER o - words) AS need, sum(words * r) OVER (PARTITION BY c.source) - sum(words * r) OVER o + words * r AS open
+  FROM roots c JOIN rests p ON c.source IS NOT DISTINCT FROM p.source WINDOW o AS (PARTITION BY c.source ORDER BY k DESC ROWS UNBOUNDED PRECEDING)),
+scales AS (SELECT source, max(need / open) AS scale FROM opens WHERE need / open * r <= 1 GROUP BY source),
+drawn AS (SELECT d.doc_id, d.source, d.size, p.s, p.target, p.whole, p.rest, (CAST('0x' || substr(md5('7:' || CAST(d.doc_id AS VARCHAR)), 1, 12) AS BIGINT) + 0.5)::DOUBLE / 281474976710656 AS u,
+  least(0.999999::DOUBLE, greatest(1e-9::DOUBLE, scale * sqrt(d.size::DOUBLE))) AS p FROM docs d JOIN rests p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN scales c ON d.source IS NOT DISTINCT FROM c.source),
+ordered AS (SELECT *, sum(CASE WHEN size > 0 AND rest > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY size = 0 OR rest <= 0, ln(u / (1 - u)) - ln(p / (1 - p)), doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM drawn),
+taken AS (SELECT *, whole + CASE WHEN size > 0 AND rest > 0 AND upto - size / 2.0 <= rest THEN 1 ELSE 0 END AS copies FROM ordered)
+SELECT doc_id, source, CAST(size AS BIGINT) AS size, CAST(s AS BIGINT) AS source_size, target, CAST(copies AS BIGINT) AS copies, CAST(copies * size AS BIGINT) AS taken FROM taken"""
+
+ORACLES: dict[str, str] = {"op7_source_mix": OP7_SQL, "op3_license_scan": op3_sql(), "op9_decontamination": OP9_SQL}
