@@ -27,7 +27,8 @@ def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is the quality label of the document of the same id: quality 0 is bad."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
-    return urls.filter_urls(table(spark, sf_dir, "pages"), labels, RULES, block_above=0.25)
+    judged = urls.filter_urls(table(spark, sf_dir, "pages"), labels, RULES, block_above=0.25)
+    return judged.withColumns({c: F.round(c, 6) for c in ("bad_rate", "lower", "upper")})
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +113,31 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
 FROM words LEFT JOIN base USING (doc_id) LEFT JOIN base_labels USING (doc_id) LEFT JOIN all_labels USING (doc_id) LEFT JOIN best USING (doc_id)"""
 
 
+def op2_sql() -> str:
+    two = ", ".join(f"'{x}'" for x in urls.TWO_LABEL_SUFFIXES)
+    rules = ", ".join(f"({i}, '{rule}', '{h}', '{p}', '{a}')" for i, (rule, h, p, a) in enumerate(urls.parsed_rules(RULES)))
+    sql = [
+        f"""WITH urls AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{urls.UPPER}', '{urls.LOWER}') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)""",
+        "named AS (SELECT u.host, count(l.quality) AS n, coalesce(sum(1 - l.quality), 0) AS k, string_split(u.host, '.') AS parts FROM urls u LEFT JOIN labels l ON u.page_id = l.doc_id GROUP BY u.host)",
+        f"hosts AS (SELECT *, CASE WHEN array_to_string(parts[-2:], '.') IN ({two}) THEN array_to_string(parts[-2:], '.') ELSE parts[-1] END AS suffix FROM named)",
+        "placed AS (SELECT *, CASE WHEN contains(suffix, '.') THEN array_to_string(parts[-3:], '.') ELSE array_to_string(parts[-2:], '.') END AS domain FROM hosts)",
+        "overall AS (SELECT (sum(k) + 0.5::DOUBLE) / (sum(n) + 1.0::DOUBLE) AS p FROM placed)",
+    ]
+    groups = {"suffix": "SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT p FROM overall) AS p FROM placed GROUP BY suffix", "domain": "SELECT domain, h.suffix, sum(h.n) AS n, sum(h.k) AS k, any_value(a.rate) AS p FROM placed h JOIN suffix_rates a USING (suffix) GROUP BY domain, h.suffix", "host": "SELECT host, h.n, h.k, a.rate AS p FROM placed h JOIN domain_rates a USING (domain)"}
+    for level, rows in groups.items():
+        sql.append(f"{level}_rows AS ({rows})")
+        sql.append(f"{level}_moments AS (SELECT sum(pow(k - n * p, 2) - n * p * (1 - p)) AS e, sum(n * (n - 1) * p * (1 - p)) AS w FROM {level}_rows)")
+        sql.append(f"{level}_strength AS (SELECT 1 / CASE WHEN coalesce(w, 0) = 0 THEN 0.5::DOUBLE ELSE least(0.999::DOUBLE, greatest(0.001::DOUBLE, e / w)) END - 1 AS m FROM {level}_moments)")
+        sql.append(f"{level}_rates AS (SELECT *, m * p + k AS a, m * (1 - p) + n - k AS b, (m * p + k) / (m + n) AS rate FROM {level}_rows, {level}_strength)")
+    sql.append("bounds AS (SELECT host, n, rate, 1.645 * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) AS d FROM host_rates)")
+    sql.append(f"rules(pos, rule, r_host, r_path, action) AS (VALUES {rules})")
+    sql.append("fits AS (SELECT page_id, min(pos) AS pos FROM urls, rules WHERE (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path) GROUP BY page_id)")
+    return ",\n".join(sql) + """
+SELECT u.page_id, u.host, u.path, r.rule, coalesce(r.action, CASE WHEN greatest(0.0, rate - d) > 0.25 THEN 'block' ELSE 'allow' END) AS verdict, CAST(b.n AS BIGINT) AS n_labelled,
+  round(rate, 6) AS bad_rate, round(greatest(0.0::DOUBLE, rate - d), 6) AS lower, round(least(1.0::DOUBLE, rate + d), 6) AS upper
+FROM urls u JOIN bounds b USING (host) LEFT JOIN fits f ON f.page_id = u.page_id LEFT JOIN rules r ON r.pos = f.pos"""
+
+
 # The whole order of each source, without a grid; the same hash as in mixing.uniform.
 OP7_SQL = r"""WITH docs AS (SELECT doc_id, text, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 sizes AS (SELECT source, CAST(sum(size) AS DOUBLE) AS s FROM docs GROUP BY source),
@@ -132,4 +158,4 @@ ordered AS (SELECT *, sum(CASE WHEN size > 0 AND rest > 0 THEN size ELSE 0 END)
 taken AS (SELECT *, whole + CASE WHEN size > 0 AND rest > 0 AND upto - size / 2.0 <= rest THEN 1 ELSE 0 END AS copies FROM ordered)
 SELECT doc_id, source, CAST(size AS BIGINT) AS size, CAST(s AS BIGINT) AS source_size, target, CAST(copies AS BIGINT) AS copies, CAST(copies * size AS BIGINT) AS taken FROM taken"""
 
-ORACLES: dict[str, str] = {"op7_source_mix": OP7_SQL, "op3_license_scan": op3_sql(), "op9_decontamination": OP9_SQL}
+ORACLES: dict[str, str] = {"op2_url_filter": op2_sql(), "op7_source_mix": OP7_SQL, "op3_license_scan": op3_sql(), "op9_decontamination": OP9_SQL}
