@@ -160,7 +160,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", noise: int =
     runs = written(repeated_runs(docs, key, text, noise, guarantee), "lines-runs").select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("first_id").alias("__first"), F.col("runs").alias("__runs"))
     x = docs.drop("n_lines", "n_deleted", "first_id")
     x = x.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    x = x.join(runs, F.col("__hash").eqNullSafe(F.col("__h")) & F.col(key).cast("long").eqNullSafe(F.col("__id")), "left")
+    # runs grow with the documents: a shuffle at every size, never a broadcast
+    x = x.join(runs.hint("merge"), F.col("__hash").eqNullSafe(F.col("__h")) & F.col(key).cast("long").eqNullSafe(F.col("__id")), "left")
     parts = F.split(F.col(text), "\n")
     kept = F.filter(parts, lambda line, i: ~F.exists("__runs", lambda r: (i >= r["start"]) & (i < r["end"])))
     x = x.withColumn("__lines", F.when(F.col("__runs").isNotNull(), F.array(F.array_join(kept, "\n"), F.size(kept).cast("string"))))
