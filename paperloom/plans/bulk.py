@@ -183,7 +183,8 @@ def run(spark: SparkSession, todo: DataFrame, cache: DocCache, budget: Budget, b
             "citekey", "path", status_of(F.col("problem")).alias("status"), "problem", F.length("doc.markdown").alias("n_md"), F.size("doc.figures").alias("n_figs"), F.size("doc.tables").alias("n_tabs"), F.size("doc.references").alias("n_refs"),
         )
         failed = bad.select("citekey", "path", F.lit("preflight").alias("status"), F.lit("page counts disagree").alias("problem"), *[F.lit(0).alias(c) for c in ("n_md", "n_figs", "n_tabs", "n_refs")])
-        batch = done.unionByName(failed).collect()  # at most `batch` rows
+        place = {r: i for i, r in enumerate(rows)}
+        batch = sorted(done.unionByName(failed).collect(), key=lambda r: place[r["citekey"], r["path"]])  # at most `batch` rows
         log = [*(log or []), *batch]
         checked.unpersist()
         docs.unpersist()

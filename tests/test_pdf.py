@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom import cli, extract
+from paperloom import bulk_cli, cli, extract
 from paperloom.functions.keys import FAST, STRUCTURED
 from paperloom.operators import extract as ex
 from paperloom.operators.cache import DocCache
@@ -161,6 +161,25 @@ def test_bulk_run(spark, folder, monkeypatch):
     assert json.loads((folder / "again.json").read_text())["old"]["rss_mb"] == 5000
 
 
+def test_bulk_command_line(spark, folder, monkeypatch):
+    structured_stub(monkeypatch, [])
+    monkeypatch.setenv("HOME", str(folder))
+    (folder / "lib.json").write_text(json.dumps([{"citekey": "k1", "created": 3, "attachments": [{"mimeType": "application/pdf", "filename": "All Papers/a.pdf"}]}, {"citekey": "k2", "attachments": [{"mimeType": "application/pdf", "filename": "thin.pdf"}]}]))
+
+    def run(*args):
+        out = io.StringIO()
+        with redirect_stdout(out), redirect_stderr(io.StringIO()):
+            code = bulk_cli.main([*args, "--pdf-root", str(folder / "pdfs"), "--state", str(folder / "state"), "--max-rss-mb", "0", "--min-free-percent", "0"], spark)
+        return code, out.getvalue()
+
+    code, out = run("--library-json", str(folder / "lib.json"))
+    assert code == 0 and "queue: 0 hot, 2 other, 0 cached, 0 blocklisted" in out and out.index("[ok] k1") < out.index("[ok] k2") and "done: 2 ok" in out
+    assert "2 cached" in run("--library-json", str(folder / "lib.json"))[1]
+    assert run("--library-json", str(folder / "no.json"))[0] == 1
+    with bulk.Lock(str(folder / "state" / "bulk.lock")):
+        assert "busy" in run("--library-json", str(folder / "lib.json"))[1]
+
+
 def test_guards_and_locks(tmp_path):
     import time
 
