@@ -78,11 +78,12 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 4, rate: float = 0.5, seed: int = 1, precision: float = 0.995, floor: float = 0.5) -> Model:
-    """SGD over (label, feature ids, counts); every fifth row is kept for calibration.
+def train(rows: list[tuple[str, np.ndarray, np.ndarray]], least_steps: int = 20_000, rate: float = 0.5, seed: int = 1, precision: float = 0.995, floor: float = 0.5, lost: float = 0.005) -> Model:
+    """SGD over (label, feature ids, counts) in whole epochs, at least 4 and `least_steps` steps; every fifth row is kept for calibration.
 
-    The rejection threshold is the least confidence at or above which the calibration rows reach `precision`; never under
-    `floor` times the way from chance to certainty.
+    The rejection threshold is the least confidence at or above which the calibration rows reach `precision`, but not under half
+    of `floor` of the way from chance to certainty, and never so high that it rejects more than the share `lost` of the rows
+    that are right.
     """
     labels = sorted({r[0] for r in rows})
     rng = np.random.default_rng(seed)
@@ -92,6 +93,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 4, rate:
     order = [i for i in range(len(rows)) if i % 5] or list(range(len(rows)))
     seen = np.bincount([index[rows[i][0]] for i in order], minlength=len(labels))
     balance = len(order) / (len(labels) * np.maximum(seen, 1))
+    epochs = max(4, -(-least_steps // max(1, len(order))))
     steps, done = epochs * len(order), 0
     for _ in range(epochs):
         for i in rng.permutation(order):
@@ -132,6 +134,8 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 4, rate:
     enough = np.flatnonzero(good >= precision)
     chance = 1 / len(labels)
     threshold = max(chance + floor * 0.5 * (1 - chance), float(sure[by[enough[-1]]]) if len(enough) and enough[-1] + 1 < len(by) else 0.0)
+    if right.any():
+        threshold = min(threshold, float(np.quantile(sure[right], lost, method="lower")))
     return Model(labels, table, bias, temperature, threshold)
 
 
