@@ -2,10 +2,11 @@
 
 A text's lines are hashed (outer ASCII white space stripped). A gram is the least run of lines from a line on that holds NOISE
 words; from each line on, the least run that holds GUARANTEE words is a window, and the gram with the least hash inside it is
-a fingerprint. Every repeated run of lines with GUARANTEE words or more so shares a fingerprint. Each fingerprint's places are
-joined to its first place in the order of (document, line), matches are extended line by line both ways, and those runs of
-GUARANTEE words or more are deleted where they stand later. A run is measured against first places, so the work is linear in
-the number of places, whatever the number of copies.
+a fingerprint. Every repeated run of lines with GUARANTEE words or more so shares a fingerprint; texts and places without a
+shared one are left out. Of the rest, whole units are compared: the least run of GUARANTEE words from each line on, and the
+least one up to each line. They cover every run of GUARANTEE words or more and nothing else, so a line is deleted exactly if it
+stands in a unit that also stands earlier in the order of (document, line). Each unit is joined to its first place only, so the
+work is linear in the number of places, whatever the number of copies.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm import _bytes as B
@@ -50,12 +51,13 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return B.span_hashes(B.BYTE[data], lo, hi), words, at
 
 
-def fingerprints(hashes: np.ndarray, words: np.ndarray, noise: int = NOISE, guarantee: int = GUARANTEE) -> tuple[np.ndarray, np.ndarray]:
-    """Of one text the hashes and first lines of its selected grams."""
+def selected(hashes: np.ndarray, words: np.ndarray, noise: int = NOISE, guarantee: int = GUARANTEE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one text the hashes of all grams, the ends of the windows (one for each line that one starts at; these are the first
+    lines), and the first line of the gram selected in each window."""
     n = len(hashes)
     upto = np.concatenate([[0], np.cumsum(words)])
     if upto[-1] < guarantee:
-        return hashes[:0], np.zeros(0, np.int64)
+        return hashes[:0], np.zeros(0, np.int64), np.zeros(0, np.int64)
     gram_end = np.searchsorted(upto, upto[:-1] + noise)  # lines i .. gram_end-1 hold `noise` words
     window_end = np.searchsorted(upto, upto[:-1] + guarantee)
     grams = np.full(n, U(0))
@@ -67,10 +69,30 @@ def fingerprints(hashes: np.ndarray, words: np.ndarray, noise: int = NOISE, guar
     for step in range(1, int((last - heads).max()) + 1):
         i = np.minimum(heads + step, last)
         best = np.where(grams[i] < grams[best], i, best)
+    return grams, window_end[heads], best
+
+
+def fingerprints(hashes: np.ndarray, words: np.ndarray, noise: int = NOISE, guarantee: int = GUARANTEE) -> tuple[np.ndarray, np.ndarray]:
+    """Of one text the hashes and first lines of its selected grams."""
+    grams, _, best = selected(hashes, words, noise, guarantee)
     chosen = np.unique(best)
     return grams[chosen], chosen
 
 
+def units(hashes: np.ndarray, words: np.ndarray, at: np.ndarray, noise: int = NOISE, guarantee: int = GUARANTEE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one text the hashes, first lines and ends of its least runs of `guarantee` words, from each line on and up to each line,
+    as far as the gram selected in the window at their first line is one of those at lines `at`."""
+    _, ends, best = selected(hashes, words, noise, guarantee)
+    upto = np.concatenate([[0], np.cumsum(words)])
+    stops = np.flatnonzero(upto >= guarantee) if len(ends) else ends
+    back = np.searchsorted(upto, upto[stops] - guarantee, "right") - 1  # the last line from which `guarantee` words stand before a stop
+    other = ends[back] != stops  # else it is the window itself
+    starts, ends = np.concatenate([np.arange(len(ends)), back[other]]), np.concatenate([ends, stops[other]])
+    shared = np.isin(best[starts], at)
+    starts, ends = starts[shared], ends[shared]
+    return B.span_hashes(hashes, starts, ends), starts, ends
+
+
 def text_lines(docs: DataFrame, noise: int, guarantee: int) -> DataFrame:
     """From (id, h, text): id, h, raw (packed line hashes, then words as 4 bytes), prints, places."""
 
@@ -91,36 +113,37 @@ def text_lines(docs: DataFrame, noise: int, guarantee: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, h long, raw binary, prints array<bigint>, places array<int>")
 
 
-def extended(matches: DataFrame, guarantee: int) -> DataFrame:
-    """From (id, h, shift, at, raw, first_id, first_raw): id, h, first_id, start, end: later runs that match, extended both ways.
-
-    Line i matches line i - shift of the first text; of the maximal runs through places `at` those with `guarantee` words remain.
-    """
+def text_units(shared: DataFrame, noise: int, guarantee: int) -> DataFrame:
+    """From (id, h, at, raw): id, h, unit (hash), start, end of each unit whose fingerprint is one of those at lines `at`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[int | None]] = [[], [], [], [], []]
-            ids, hs, shifts, ats, firsts = (batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5))
+            rows, found = [], []
             for i in range(batch.num_rows):
-                own, first = batch.column(4)[i].as_buffer(), batch.column(6)[i].as_buffer()
-                n, m, shift = own.size // 12, first.size // 12, shifts[i]
-                mine, theirs = np.frombuffer(own, U, n), np.frombuffer(first, U, m)
-                words = np.frombuffer(own, np.uint32, n, 8 * n)
-                lo, hi = max(0, shift), min(n, m + shift)
-                equal = np.zeros(n + 2, bool)
-                equal[lo + 1 : hi + 1] = mine[lo:hi] == theirs[lo - shift : hi - shift]
-                edge = np.flatnonzero(equal[1:] != equal[:-1])
-                starts, ends = edge[::2], edge[1::2]
-                through = np.unique(np.searchsorted(starts, np.asarray(ats[i]), "right")) - 1
-                for k in through[through >= 0].tolist():
-                    if words[starts[k] : ends[k]].sum() < guarantee:
-                        continue
-                    for column, value in zip(out, (ids[i], hs[i], firsts[i], int(starts[k]), int(ends[k])), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), *(pa.array(c, pa.int32()) for c in out[3:])], names=["id", "h", "first_id", "start", "end"])
-
-    x = matches.select("id", "h", "shift", "at", "raw", "first_id", "first_raw")
-    return x.mapInArrow(run, "id long, h long, first_id long, start int, end int")
+                raw = batch.column(3)[i].as_buffer()
+                n = raw.size // 12
+                found.append(units(np.frombuffer(raw, U, n), np.frombuffer(raw, np.uint32, n, 8 * n).astype(np.int64), np.asarray(batch.column(2)[i].as_py()), noise, guarantee))
+                rows.append(np.full(len(found[-1][0]), i))
+            if not found:
+                continue
+            unit, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
+            of = pa.array(np.concatenate(rows))
+            columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(unit.astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "unit", "start", "end"])
+
+    return shared.select("id", "h", "at", "raw").mapInArrow(run, "id long, h long, unit long, start int, end int")
+
+
+def united(runs: Column) -> Column:
+    """Sorted runs [start, end) with those that meet or overlap made one."""
+    last = lambda done: F.element_at(done, -1)
+
+    def add(done: Column, r: Column) -> Column:
+        joined = F.struct(last(done)["start"].alias("start"), F.greatest(last(done)["end"], r["end"]).alias("end"))
+        meets = (F.size(done) > 0) & (r["start"] <= F.get(done, F.size(done) - 1)["end"])
+        return F.when(meets, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(r)))
+
+    return F.aggregate(runs, F.array().cast("array<struct<start:int,end:int>>"), add)
 
 
 def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", noise: int = NOISE, guarantee: int = GUARANTEE) -> DataFrame:
@@ -128,25 +151,21 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", nois
 
     Documents are told apart by key and text; rows that repeat both are one document, and neither is later than the other. A run
     is later if its first line stands after the other's in the order of key (null first), hash of the text, line. first_id is the
-    least key of a document in which one of the runs stands first.
+    least key of a document in which one of the runs stands first. Runs that meet or overlap are given as one.
     """
     x = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).cast("string").alias("text"))
     x = written(text_lines(x, noise, guarantee), "lines")
     places = x.where(F.size("prints") > 0).select("id", "h", F.explode(F.arrays_zip("prints", "places")).alias("p")).select("id", "h", F.col("p.prints").alias("print"), F.col("p.places").alias("at")).distinct()
-    firsts = places.groupBy("print").agg(F.min(F.struct("id", "h", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("print", "first")
-    later = places.join(firsts, "print").where(F.col("first") < F.struct("id", "h", "at"))
-    # one row for each diagonal between two texts, with at most as many places as the text has lines
-    later = later.select("id", "h", (F.col("at") - F.col("first.at")).alias("shift"), "at", F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h"))
-    later = written(later.groupBy("id", "h", "first_id", "first_h", "shift").agg(F.collect_set("at").alias("at")), "lines-later")
-    own = x.select("id", "h", "raw")
-    nodes = later.select("id", "h").unionByName(later.select(F.col("first_id").alias("id"), F.col("first_h").alias("h"))).distinct()
-    tie = lambda i, h: F.concat_ws(":", F.coalesce(F.col(i).cast("string"), F.lit("null")), F.col(h).cast("string"))
-    own = own.withColumn("tie", tie("id", "h")).join(nodes.select(tie("id", "h").alias("tie")), "tie", "left_semi")
-    own = written(own.dropDuplicates(["tie"]).select("tie", "raw"), "lines-own")
-    later = later.withColumn("tie", tie("id", "h")).withColumn("first_tie", tie("first_id", "first_h"))
-    matches = later.join(own, "tie").join(own.select(F.col("tie").alias("first_tie"), F.col("raw").alias("first_raw")), "first_tie")
-    runs = extended(matches, guarantee)
-    return runs.groupBy("id", "h").agg(F.min("first_id").alias("first_id"), F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs"))
+    prints = places.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
+    tie = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("h").cast("string"))
+    # one row for each document, with at most as many places as the text has lines
+    shared = written(places.join(prints, "print").groupBy("id", "h").agg(F.collect_set("at").alias("at")).select("id", "h", "at", tie.alias("tie")), "lines-shared")
+    own = x.select(tie.alias("tie"), "raw").join(shared.select("tie").hint("merge"), "tie", "left_semi").dropDuplicates(["tie"])
+    found = written(text_units(shared.join(own, "tie"), noise, guarantee), "lines-units")
+    firsts = found.groupBy("unit").agg(F.min(F.struct("id", "h", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("unit", "first")
+    later = found.join(firsts, "unit").where(F.col("first") < F.struct("id", "h", "start"))
+    runs = later.groupBy("id", "h").agg(F.min("first.id").alias("first_id"), F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs"))
+    return runs.withColumn("runs", united(F.col("runs")))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", noise: int = NOISE, guarantee: int = GUARANTEE) -> DataFrame:

@@ -142,6 +142,29 @@ def test_line_dedup_equals_brute_force(spark):
     assert linededup.dedup(docs.limit(0)).count() == 0
 
 
+def test_later_texts_are_compared_where_the_first_place_holds_less(spark):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(40):
+        head, tail = prose(rng, 30), prose(rng, 26)
+        texts += ["\n".join(x) for x in ([prose(rng, 25), head, prose(rng, 25)], [prose(rng, 20), head, tail, prose(rng, 30)], [prose(rng, 30), head, tail, prose(rng, 9)])]
+    gone = brute_later(texts)
+    assert sum(map(len, gone)) == 80
+    rows = {r.doc_id: r for r in linededup.dedup(frame(spark, list(enumerate(texts)))).collect()}
+    assert [rows[i].n_deleted for i in range(len(texts))] == [len(x) for x in gone]
+    assert all(rows[i].first_id == i - 1 for i in range(2, len(texts), 3))
+
+
+def test_units_cover_repeated_runs_and_nothing_else(spark):
+    rng = random.Random(13)
+    pool = [prose(rng, n) for n in (0, 0, 3, 8, 14, 20, 26, 31, 49, 50)]
+    texts = ["\n".join(rng.choices(pool, k=rng.randrange(1, 16))) for _ in range(60)]
+    gone = brute_later(texts)
+    rows = {r.doc_id: r for r in linededup.dedup(frame(spark, list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        assert rows[i].text == "\n".join(p for k, p in enumerate(t.split("\n")) if k not in gone[i]), i
+
+
 def test_every_repeated_run_shares_a_fingerprint():
     rng = np.random.default_rng(4)
     for _ in range(300):
