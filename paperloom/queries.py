@@ -45,16 +45,21 @@ CARRIER: list = [
     "\n\nTable ", "doc_id", ": Sizes of it.\n\n| field | value |\n|:---|---:|\n| lang | ", "lang", " |\n| chars | ", "n_chars", " |\n\n## Results\n\n", ("text", 701, 400),
     "\n\n| source |\n|--------|\n| ", "source", " |\n\nEnd of results.\n\n## **References**\n\n", ("text", 1, 60), "\n[2] ", ("text", 61, 50), "\nshort\n# not an entry of the list\n- ", ("text", 111, 90), "\n",
 ]
-COLUMNS = {"doc_id", "lang", "n_chars", "source"}
+# The same headings around the whole text, once as a section of all depths and once as the lines of a reference list.
+WHOLE: list = [
+    "# Doc ", "doc_id", "\n\n## Introduction\n\nOf ", "source", ".\n\n## Methods\n\n### Detail of methods\n\n", "text",
+    "\n\n## Results\n\nTable ", "doc_id", ": Sizes of it.\n\n| field | value |\n|:---|---:|\n| lang | ", "lang", " |\n| chars | ", "n_chars", " |\n\nEnd of results.\n\n## **References**\n\n", "text", "\n",
+]
+COLUMNS = {"doc_id", "lang", "n_chars", "source", "text"}
 
 
-def carrier() -> Column:
+def carrier(parts: list = CARRIER) -> Column:
     def one(x: str | tuple) -> Column:
         if isinstance(x, tuple):
             return F.substring(F.coalesce(x[0], F.lit("")), x[1], x[2])
         return F.coalesce(F.col(x).cast("string"), F.lit("")) if x in COLUMNS else F.lit(x)
 
-    return F.concat(*[one(x) for x in CARRIER])
+    return F.concat(*[one(x) for x in parts])
 
 
 def _sql(x: str | tuple) -> str:
@@ -63,7 +68,11 @@ def _sql(x: str | tuple) -> str:
     return f"coalesce(CAST({x} AS VARCHAR), '')" if x in COLUMNS else "E'" + x.replace("\n", "\\n") + "'"
 
 
-CARRIED_SQL = f"carried AS (SELECT doc_id, lang, source, n_chars, {' || '.join(_sql(x) for x in CARRIER)} AS md FROM documents)"
+def _carried_sql(parts: list) -> str:
+    return f"carried AS (SELECT doc_id, lang, source, n_chars, {' || '.join(_sql(x) for x in parts)} AS md FROM documents)"
+
+
+CARRIED_SQL = _carried_sql(CARRIER)
 LINES_SQL = rf"""{CARRIED_SQL},
 split AS (SELECT doc_id, string_split(md, E'\n') AS a FROM carried),
 numbered AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS ln FROM split),
@@ -72,8 +81,8 @@ lines AS (SELECT *, CASE WHEN regexp_matches(line, '^\s{{0,3}}#{{1,6}}\s+\S') TH
 WHITE = r"E' \n\t\r'"
 
 
-def carried(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", "lang", "source", "n_chars", carrier().alias("md"))
+def carried(spark: SparkSession, sf_dir: str, parts: list = CARRIER) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", "lang", "source", "n_chars", carrier(parts).alias("md"))
 
 
 def long(c: str | Column) -> Column:
@@ -81,14 +90,14 @@ def long(c: str | Column) -> Column:
 
 
 @query(f"WITH {LINES_SQL} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ln) - 1 AS pos, CAST(depth AS BIGINT) AS depth, title FROM lines WHERE depth IS NOT NULL")
-def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = carried(spark, sf_dir).select("doc_id", F.posexplode(markdown.headings(F.col("md"))).alias("pos", "h"))
+def headings(spark: SparkSession, sf_dir: str, parts: list = CARRIER) -> DataFrame:
+    x = carried(spark, sf_dir, parts).select("doc_id", F.posexplode(markdown.headings(F.col("md"))).alias("pos", "h"))
     return x.select("doc_id", long("pos").alias("pos"), long("h.depth").alias("depth"), F.col("h.title").alias("title"))
 
 
 @query(f"WITH {LINES_SQL} SELECT CAST(depth AS BIGINT) AS depth, count(*) AS n FROM lines WHERE depth IS NOT NULL GROUP BY ALL")
-def heading_depth_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return carried(spark, sf_dir).select(F.explode(markdown.headings(F.col("md"))).alias("h")).groupBy(long("h.depth").alias("depth")).agg(F.count("*").alias("n"))
+def heading_depth_counts(spark: SparkSession, sf_dir: str, parts: list = CARRIER) -> DataFrame:
+    return carried(spark, sf_dir, parts).select(F.explode(markdown.headings(F.col("md"))).alias("h")).groupBy(long("h.depth").alias("depth")).agg(F.count("*").alias("n"))
 
 
 def section_sql(needle: str) -> str:
@@ -100,7 +109,7 @@ SELECT e.doc_id, coalesce(trim(b.t, {WHITE}), '') AS section_text FROM ends e LE
 
 
 def _section(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: carried(spark, sf_dir).select("doc_id", markdown.section(F.col("md"), name).alias("section_text")).where(F.col("section_text").isNotNull())
+    return lambda spark, sf_dir, parts=CARRIER: carried(spark, sf_dir, parts).select("doc_id", markdown.section(F.col("md"), name).alias("section_text")).where(F.col("section_text").isNotNull())
 
 
 for _name, _needle in (("section_methods", "Methods"), ("section_nested_parent", "doc "), ("section_detail", " DETAIL OF "), ("section_missing", "acknowledgements")):
@@ -113,19 +122,19 @@ ENTRIES_SQL = f"{REFS_SQL}, entries AS (SELECT l.doc_id, l.ln, trim(l.line, {WHI
 
 
 @query(f"WITH {REFS_SQL} SELECT l.doc_id, rtrim(string_agg(l.line, E'\\n' ORDER BY l.ln), {WHITE}) AS body FROM lines l LEFT JOIN heads h ON l.doc_id = h.doc_id WHERE h.at IS NULL OR l.ln < h.at GROUP BY l.doc_id")
-def reference_body(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return carried(spark, sf_dir).select("doc_id", markdown.body_without_references(F.col("md")).alias("body"))
+def reference_body(spark: SparkSession, sf_dir: str, parts: list = CARRIER) -> DataFrame:
+    return carried(spark, sf_dir, parts).select("doc_id", markdown.body_without_references(F.col("md")).alias("body"))
 
 
 @query(f"WITH {ENTRIES_SQL} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ln) - 1 AS pos, entry FROM entries")
-def reference_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = carried(spark, sf_dir).select("doc_id", F.posexplode(markdown.references(F.col("md"))).alias("pos", "entry"))
+def reference_entries(spark: SparkSession, sf_dir: str, parts: list = CARRIER) -> DataFrame:
+    x = carried(spark, sf_dir, parts).select("doc_id", F.posexplode(markdown.references(F.col("md"))).alias("pos", "entry"))
     return x.select("doc_id", long("pos").alias("pos"), "entry")
 
 
 @query(f"WITH {ENTRIES_SQL} SELECT c.doc_id, count(e.ln) AS n_refs FROM carried c LEFT JOIN entries e USING (doc_id) GROUP BY c.doc_id")
-def reference_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return carried(spark, sf_dir).select("doc_id", long(F.size(markdown.references(F.col("md")))).alias("n_refs"))
+def reference_counts(spark: SparkSession, sf_dir: str, parts: list = CARRIER) -> DataFrame:
+    return carried(spark, sf_dir, parts).select("doc_id", long(F.size(markdown.references(F.col("md")))).alias("n_refs"))
 
 
 # Tables as islands of pipe lines: a header, a separator, and ln0 least one row.
@@ -140,23 +149,33 @@ wlines AS (SELECT doc_id, idx, unnest(string_split(w, E'\n')) AS line, generate_
 caps AS (SELECT doc_id, idx, arg_max(trim(line, {WHITE}), ln) AS caption FROM wlines WHERE regexp_matches(trim(line, {WHITE}), '(?i)^(table\s+\d+[.:]|tbl\.?\s*\d+)') GROUP BY ALL)"""
 
 
-def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return carried(spark, sf_dir).select("doc_id", F.explode(markdown.tables(F.col("md"))).alias("t"))
+def _tables(spark: SparkSession, sf_dir: str, parts: list = CARRIER) -> DataFrame:
+    return carried(spark, sf_dir, parts).select("doc_id", F.explode(markdown.tables(F.col("md"))).alias("t"))
 
 
 @query(f"WITH {TABLES_SQL} SELECT doc_id, idx, t AS table_md FROM tabs")
-def table_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tables(spark, sf_dir).select("doc_id", long("t.index").alias("idx"), F.col("t.markdown").alias("table_md"))
+def table_blocks(spark: SparkSession, sf_dir: str, parts: list = CARRIER) -> DataFrame:
+    return _tables(spark, sf_dir, parts).select("doc_id", long("t.index").alias("idx"), F.col("t.markdown").alias("table_md"))
 
 
 @query(f"WITH {CAPTIONS_SQL} SELECT t.doc_id, t.idx, c.caption FROM tabs t LEFT JOIN caps c USING (doc_id, idx)")
-def table_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tables(spark, sf_dir).select("doc_id", long("t.index").alias("idx"), F.col("t.caption").alias("caption"))
+def table_captions(spark: SparkSession, sf_dir: str, parts: list = CARRIER) -> DataFrame:
+    return _tables(spark, sf_dir, parts).select("doc_id", long("t.index").alias("idx"), F.col("t.caption").alias("caption"))
 
 
 @query(f"WITH {CAPTIONS_SQL} SELECT t.doc_id, t.idx, '--- table ' || t.idx || CASE WHEN coalesce(c.caption, '') = '' THEN '' ELSE '  (' || c.caption || ')' END || ' (page 0) ---' || E'\\n' || t.t || E'\\n' AS printed FROM tabs t LEFT JOIN caps c USING (doc_id, idx)")
-def cli_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return carried(spark, sf_dir).select("doc_id", F.posexplode(table_lines(markdown.tables(F.col("md")))).alias("idx", "printed")).select("doc_id", long("idx").alias("idx"), "printed")
+def cli_tables(spark: SparkSession, sf_dir: str, parts: list = CARRIER) -> DataFrame:
+    return carried(spark, sf_dir, parts).select("doc_id", F.posexplode(table_lines(markdown.tables(F.col("md")))).alias("idx", "printed")).select("doc_id", long("idx").alias("idx"), "printed")
+
+
+def _whole(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: QUERIES[name](spark, sf_dir, WHOLE)
+
+
+# Each query so far once more over whole texts; the slices of the ones above end at character 1,100.
+for _name in list(QUERIES):
+    ORACLES[f"{_name}_whole"] = ORACLES[_name].replace(CARRIED_SQL, _carried_sql(WHOLE))
+    QUERIES[f"{_name}_whole"] = _whole(_name)
 
 
 NAMES_SQL = "names AS (SELECT doc_id, unnest(['page_' || (doc_id % 13) || '_image_1.png', 'page-' || (doc_id % 7) || '.png', '_page_' || (doc_id % 7) || '_Figure_1.jpeg', 'page' || (doc_id % 13) || '.png', 'fig' || (doc_id % 7) || '.png']) AS name FROM documents)"

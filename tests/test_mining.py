@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from paperloom import queries
 from paperloom.functions import keys, markdown
 from paperloom.operators import preflight
 
@@ -101,3 +102,26 @@ def test_object_headers_in_bytes(spark):
 def test_entry_points(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_whole_texts_are_mined(spark, tmp_path):
+    late = "pad pad\n" * 400 + "# Late one\nlate line with more than twenty\n\nTable 9: late.\n\n| a |\n|---|\n| 1 |\n\nend"
+    texts = [late, None, "short"]
+    spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
+    md = {r.doc_id: r.md for r in queries.carried(spark, str(tmp_path), queries.WHOLE).collect()}
+    assert all(md[i].count(t or "") >= 2 for i, t in enumerate(texts))
+    found = {i: [(len(m[1]), m[2]) for m in HEADING.finditer(t)] for i, t in md.items()}
+    assert (1, "Late one") in found[0]
+    assert sorted((r.doc_id, r.pos, r.depth, r.title) for r in run("headings_whole")) == sorted((i, k, *h) for i, hs in found.items() for k, h in enumerate(hs))
+    assert {r.depth: r.n for r in run("heading_depth_counts_whole")} == {d: sum(h[0] == d for hs in found.values() for h in hs) for d in (1, 2, 3)}
+    for name, needle in (("methods", "methods"), ("nested_parent", "doc "), ("detail", "detail of")):
+        assert {r.doc_id: r.section_text for r in run(f"section_{name}_whole")} == {i: sections(t, needle) for i, t in md.items()}
+    assert {r.doc_id: r.body for r in run("reference_body_whole")} == {i: split(t)[0] for i, t in md.items()}
+    assert sorted((r.doc_id, r.pos, r.entry) for r in run("reference_entries_whole")) == sorted((i, k, x) for i, t in md.items() for k, x in enumerate(split(t)[1]))
+    assert {r.doc_id: r.n_refs for r in run("reference_counts_whole")} == {i: len(split(t)[1]) for i, t in md.items()}
+    blocks = sorted((i, k, t, c) for i, x in md.items() for k, t, c, _ in tables(x))
+    assert (0, 0, "| a |\n|---|\n| 1 |", "Table 9: late.") in blocks
+    assert sorted((r.doc_id, r.idx, r.table_md) for r in run("table_blocks_whole")) == [x[:3] for x in blocks]
+    assert sorted((r.doc_id, r.idx, r.caption) for r in run("table_captions_whole")) == [(i, k, c) for i, k, _, c in blocks]
+    assert len(run("cli_tables_whole")) == len(blocks)
