@@ -1,0 +1,100 @@
+"""Scans for license notices, headers and texts: an exact set-similarity join over runs of words, in DataFrame functions only.
+
+A text's words, read across its lines, punctuation and comment marks, give its distinct runs of RUN words. A text meets a template
+if it holds at least the fraction `containment` of the template's runs, wherever its lines are wrapped. The join is exact: a text
+that holds o of a template's n runs can't miss all of any n - o + 1 of them, so it holds one of the words, longest first, that
+together stand in that many runs (prefix filter over words); what is left is verified on the whole sets.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from paperloom.functions.text import let
+from paperloom.llm.licenses import LOWER, MAX_TEMPLATE_WORDS, MAX_TEMPLATES, NOT_WORD, TEMPLATES, UPPER, spaced
+
+RUN = 3
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+_GNU = """you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0}General Public License for more details."""
+
+#: The one-line notices, and the texts and headers that licenses are given by; copyright lines are left out.
+TEXTS: dict[str, str] = TEMPLATES | {
+    "agpl-header": _GNU.format("Affero ", "3"),
+    "apache-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "bsd-conditions": _BSD,
+    "bsl-text": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:""",
+    "cc-by-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "cc-by-sa-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "gpl-header": _GNU.format("", "3"),
+    "gpl-preamble": "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+    "isc-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+    "lgpl-header": _GNU.format("Lesser ", "2.1"),
+    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+    "mpl-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "unlicense-text": """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+    "zlib-text": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:""",
+}
+
+
+def runs_of(text: str) -> set[str]:
+    """Distinct runs of RUN words, by the same rule as those of texts; a shorter text has one of all its words."""
+    words = [w for w in re.split(NOT_WORD, text.translate(str.maketrans(UPPER, LOWER))) if w]
+    return {" ".join(words[i : i + RUN]) for i in range(max(1, len(words) - RUN + 1))} - {""}
+
+
+def template_runs(templates: Mapping[str, str], containment: float) -> list[tuple[str, list[str], int]]:
+    """(label, runs, number of them that a text must hold)."""
+    if len(templates) > MAX_TEMPLATES:
+        raise ValueError(f"more than {MAX_TEMPLATES} templates")
+    out = [(label, sorted(r), max(1, math.ceil(containment * len(r) - 1e-9))) for label, t in sorted(templates.items()) if (r := runs_of(t))]
+    if sum(len(r) for _, r, _ in out) > MAX_TEMPLATE_WORDS:
+        raise ValueError(f"more than {MAX_TEMPLATE_WORDS} runs of template words")
+    return out
+
+
+def prefix_words(runs: list[str], need: int) -> set[str]:
+    """Words of which every text that holds `need` of the runs holds at least one."""
+    left, words = set(runs), set()
+    for w in sorted({w for r in runs for w in r.split(" ")}, key=lambda w: (-len(w), w)):
+        if len(left) < need:
+            break
+        words.add(w)
+        left = {r for r in left if w not in r.split(" ")}
+    return words
+
+
+def scan(docs: DataFrame, templates: Mapping[str, str] = TEXTS, containment: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per (row, template) that meet: key, label, n_shared, n_runs, score (the containment).
+
+    Kindred templates (those of the GNU licenses) may meet one text together; score tells them apart. Null and empty texts meet
+    none; rows that repeat a key give repeated results; an empty table or no template gives none.
+    """
+    parsed = template_runs(templates, containment)
+    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, label string, n_shared long, n_runs long, score double"
+    if not parsed:
+        return docs.sparkSession.createDataFrame([], schema)
+    may = sorted(set().union(*(prefix_words(r, need) for _, r, need in parsed)))
+    known = F.lit(sorted(set().union(*(r for _, r, _ in parsed))))
+    every = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - RUN + 1)), lambda i: F.array_join(F.slice(w, i, F.lit(RUN)), " "))
+    one = lambda own, label, runs: F.struct(F.lit(label).alias("label"), F.size(F.array_intersect(own, F.lit(runs))).cast("long").alias("n_shared"), F.lit(len(runs)).cast("long").alias("n_runs"))
+    every_met = lambda own: F.array(*[F.when(F.size(own) >= need, F.struct(one(own, label, runs).alias("t"), F.lit(need).alias("need"))) for label, runs, need in parsed])
+    # one expression with each value bound once: predicates pushed below a projection would compute the words anew for each run
+    found = let(F.split(F.trim(spaced(F.col(text).cast("string"))), " "), lambda w: F.when(F.arrays_overlap(w, F.lit(may)), let(F.array_intersect(every(w), known), every_met)))
+    met = docs.select(F.col(key).alias("__key"), F.explode(found).alias("x"))
+    met = met.where(F.col("x").isNotNull() & (F.col("x.t.n_shared") >= F.col("x.need")))
+    return met.select(F.col("__key").alias(key), "x.t.label", "x.t.n_shared", "x.t.n_runs", (F.col("x.t.n_shared") / F.col("x.t.n_runs")).alias("score"))

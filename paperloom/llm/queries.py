@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import ann, decontam, langid, licenses, linededup, mixing, neardup, tokens, toxicity, urls
+from paperloom.llm import ann, decontam, langid, license_texts, licenses, linededup, mixing, neardup, tokens, toxicity, urls
 from paperloom.llm._store import table
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -35,6 +35,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_license_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_texts.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_url_filter": op2_url_filter,
     "op3_license_scan": op3_license_scan,
+    "op3_license_texts": op3_license_texts,
     "op4_token_counts": op4_token_counts,
     "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
@@ -113,6 +118,15 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
 FROM words LEFT JOIN base USING (doc_id) LEFT JOIN base_labels USING (doc_id) LEFT JOIN all_labels USING (doc_id) LEFT JOIN best USING (doc_id)"""
 
 
+def op3_texts_sql() -> str:
+    lower = f"translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}')"
+    templates = ", ".join(f"('{label}', {need}, {list_sql(runs)})" for label, runs, need in license_texts.template_runs(license_texts.TEXTS, 0.8))
+    return rf"""WITH words AS (SELECT doc_id, regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+templates(label, need, p) AS (VALUES {templates}), runs AS (SELECT label, need, len(p) AS n_runs, unnest(p) AS r FROM templates),
+own AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {license_texts.RUN - 1}], ' ') AS r FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - {license_texts.RUN - 2}))) AS i FROM words))
+SELECT doc_id, label, count(*) AS n_shared, n_runs, CAST(count(*) AS DOUBLE) / n_runs AS score FROM own JOIN runs USING (r) GROUP BY doc_id, label, n_runs, need HAVING count(*) >= need"""
+
+
 def op2_sql() -> str:
     two = ", ".join(f"'{x}'" for x in urls.TWO_LABEL_SUFFIXES)
     rules = ", ".join(f"({i}, '{rule}', '{h}', '{p}', '{a}')" for i, (rule, h, p, a) in enumerate(urls.parsed_rules(RULES)))
@@ -158,4 +172,4 @@ ordered AS (SELECT *, sum(CASE WHEN size > 0 AND rest > 0 THEN size ELSE 0 END)
 taken AS (SELECT *, whole + CASE WHEN size > 0 AND rest > 0 AND upto - size / 2.0 <= rest THEN 1 ELSE 0 END AS copies FROM ordered)
 SELECT doc_id, source, CAST(size AS BIGINT) AS size, CAST(s AS BIGINT) AS source_size, target, CAST(copies AS BIGINT) AS copies, CAST(copies * size AS BIGINT) AS taken FROM taken"""
 
-ORACLES: dict[str, str] = {"op2_url_filter": op2_sql(), "op7_source_mix": OP7_SQL, "op3_license_scan": op3_sql(), "op9_decontamination": OP9_SQL}
+ORACLES: dict[str, str] = {"op2_url_filter": op2_sql(), "op7_source_mix": OP7_SQL, "op3_license_scan": op3_sql(), "op3_license_texts": op3_texts_sql(), "op9_decontamination": OP9_SQL}

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from paperloom.llm import licenses, mixing, tokens, urls
+from paperloom.llm import license_texts, licenses, mixing, tokens, urls
 from paperloom.llm.queries import RULES, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, size int, target string, __key int"
@@ -72,6 +72,32 @@ def test_license_scan_of_nothing(spark):
     assert licenses.scan(docs(spark, ["mit license"]), templates={}).first().labels == "mit"
 
 
+def test_license_texts_equal_brute_force_on_wrapped_texts(spark):
+    rng = random.Random(15)
+    texts, meant = [*ODD, "Released under the A License", "Licensed under the Apache License,\nVersion 2.0"], {}
+    meant[len(texts) - 1] = "apache-notice"
+    for label, t in license_texts.TEXTS.items():
+        for cut in (0, 0, 0.05, 0.3):
+            words = [w for w in t.split() if rng.random() >= cut]
+            mark = rng.choice(["\n", "\n * ", "\n# ", "\r\n// "])
+            texts.append("Copyright 2020 x" + mark + "".join(w + (mark if rng.random() < 0.2 else " ") for w in words) + "end")
+            if not cut:
+                meant[len(texts) - 1] = label
+    got = license_texts.scan(docs(spark, texts)).collect()
+    expected = []
+    for i, t in [*enumerate(texts), (len(texts) - 1, texts[-1])]:
+        w = words_of(t)
+        own = {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
+        for label, x in license_texts.TEXTS.items():
+            v = words_of(x)
+            runs = {tuple(v[k : k + 3]) for k in range(len(v) - 2)}
+            if len(own & runs) >= math.ceil(0.8 * len(runs) - 1e-9):
+                expected.append((i, label, len(own & runs), len(runs)))
+    assert sorted((r.doc_id, r.label, r.n_shared, r.n_runs) for r in got) == sorted(expected)
+    assert {(i, label) for i, label in meant.items()} <= {(r.doc_id, r.label) for r in got if r.score == 1}
+    assert license_texts.scan(docs(spark, texts), templates={}).count() == 0 == license_texts.scan(docs(spark, texts).limit(0)).count()
+
+
 PAGES = [
     None, "", "no scheme", "http://A.Example.NET/en/x?q=/y#z", "https://example.net", "http://net/", "http://xexample.net/de/", "http://a.example.com/de/1",
     "http://a.example.com/DE/1", "ftp://x.org/fr/://b", "http://b.org?x=/fr/", "http://c.org#/fr/", "http://d.co.uk/", "http://host:80/p", "//x.net/",
