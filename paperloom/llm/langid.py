@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm import _bytes as B
@@ -139,41 +139,69 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], least_steps: int = 20_
     return Model(labels, table, bias, temperature, threshold)
 
 
-def sample(labelled: DataFrame, per_label: int, seed: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """Features of about `per_label` rows of each label (all, if fewer), drawn by a hash of the text: the bounded sample.
+def drawn_texts(labelled: DataFrame, per_label: int, seed: int) -> DataFrame:
+    """label, h, text: at most `per_label` distinct texts of each label, those of least hash (all, if fewer).
 
-    Columns label and text. Of each drawn text, whole, come its distinct features with counts: at most 2**BITS pairs.
+    From rows (label, text). Copies of a text count once, so a text that a third of the rows share is one candidate like any
+    other. Hashes far above the place where the cut must fall never leave their task: the share is set from a sketch of the
+    number of distinct texts, with a margin, and the exact cut is made on what is left, about twice `per_label` rows a label.
     """
-    counts = {r[0]: r[1] for r in labelled.groupBy("label").count().collect()}  # one row a label
-    if not counts:
-        return []
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_label / n)))])
-    u = F.pmod(F.xxhash64(F.col("text"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = labelled.where(u < share[F.col("label")]).select("label", "text")
+    hashed = labelled.withColumn("h", F.xxhash64(F.lit(seed), F.col("text")))
+    distinct = {r[0]: r[1] for r in hashed.groupBy("label").agg(F.approx_count_distinct("h", 0.03)).collect()}  # one row a label
+    if not distinct:
+        return hashed.select("label", "h", "text").where(F.lit(False))
+    share = F.create_map(*[x for k, n in distinct.items() for x in (F.lit(k), F.lit(min(1.0, (2 * per_label + 100) / max(1, n))))])
+    near = hashed.where(F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30) <= share[F.col("label")])
+    once = near.groupBy("label", "h").agg(F.min("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.pmod(F.col("h"), F.lit(1 << 30)), "h"))
+    return once.withColumn("n", place).where(F.col("n") <= per_label).select("label", "h", "text")
+
+
+def sample(labelled: DataFrame, per_label: int, seed: int) -> DataFrame:
+    """label, h, ids (uint16), n (uint32): of each drawn text, whole, its distinct features with counts, at most 2**BITS pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = B.flat(batch.column(1))
-            out: list[list] = [[], [], []]
+            data, offsets = B.flat(batch.column(2))
+            packed: list[list[bytes]] = [[], []]
             for a, b, part, off in B.slices(data, offsets):
                 ids, rows = features(part, off)
                 by = np.argsort(rows, kind="stable")
                 ids, ends = ids[by], np.searchsorted(rows[by], np.arange(b - a + 1))
                 for k in range(b - a):
                     got, n = np.unique(ids[ends[k] : ends[k + 1]], return_counts=True)
-                    out[0].append(batch.column(0)[a + k].as_py())
-                    out[1].append(got.astype(np.int32).tobytes())
-                    out[2].append(n.astype(np.float64).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["label", "ids", "n"])
+                    packed[0].append(got.astype(np.uint16).tobytes())
+                    packed[1].append(n.astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.binary()) for x in packed)], names=["label", "h", "ids", "n"])
+
+    return drawn_texts(labelled, per_label, seed).mapInArrow(run, "label string, h long, ids binary, n binary")
+
 
-    got = drawn.mapInArrow(run, "label string, ids binary, n binary").collect()
-    return sorted(((r[0], np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.float64)) for r in got), key=lambda r: (r[1].tobytes(), r[0]))
+MODEL = "labels array<string>, share binary, bias binary, temperature double, threshold double"
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_label: int = 1500, seed: int = 1) -> Model:
-    """A model from the labelled rows that are not held out; `per_label` bounds the sample of each label."""
+    """A model from the labelled rows that are not held out; `per_label` bounds the sample: distinct texts of each label.
+
+    The sample (at most 2**BITS pairs of 6 bytes a text) goes to one task, which trains; the driver gets the model only,
+    2**BITS rows of one number a label. Null texts and labels teach nothing; without a label every text is `und`.
+    """
     labelled = docs.where(~held_out(F.col(key)) & F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("text"))
-    return train(sample(labelled, per_label, seed), seed=seed)
+
+    def learn(rows: pa.Table) -> pa.Table:
+        unpacked = [(la, h, np.frombuffer(i.as_buffer(), np.uint16), np.frombuffer(n.as_buffer(), np.uint32)) for la, h, i, n in zip(rows["label"].to_pylist(), rows["h"].to_pylist(), rows["ids"], rows["n"], strict=True)]
+        unpacked.sort(key=lambda r: (r[1], r[0]))  # an order that doesn't depend on partitions
+        m = train([(r[0], r[2], r[3]) for r in unpacked], seed=seed)
+        columns = [[m.labels], [m.table.astype(np.float64).tobytes()], [np.asarray(m.bias, np.float64).tobytes()], [m.temperature], [m.threshold]]
+        types = [pa.list_(pa.string()), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["labels", "share", "bias", "temperature", "threshold"])
+
+    got = sample(labelled, per_label, seed).groupBy(F.lit(1).alias("all")).applyInArrow(learn, MODEL).toArrow()
+    if not got.num_rows:
+        return train([])
+    labels = got["labels"][0].as_py()
+    table = np.frombuffer(got["share"][0].as_buffer(), np.float64).reshape(-1, len(labels))
+    return Model(labels, table, np.frombuffer(got["bias"][0].as_buffer(), np.float64), got["temperature"][0].as_py(), got["threshold"][0].as_py())
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

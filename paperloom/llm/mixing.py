@@ -57,16 +57,19 @@ def uniform(key: Column, seed: int) -> Column:
     return (bits + 0.5) / float(1 << 48)
 
 
-def mix(docs: DataFrame, weights: Sequence[float], cap: float = 3.0, seed: int = 7, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float], cap: float = 3.0, seed: int = 7, key: str = "doc_id", source: str = "source", text: str = "text", carry: bool = False) -> DataFrame:
     """One row per input row: key, source, size, source_size, target (of its source), copies, taken (= copies * size).
 
+    With `carry` also __row, the input row as a struct; it goes through joins with one row a source only.
+
     size is the number of words of the whole text (null: 0). A row's copies depend on its key, text and source only, never on
     partitions, so reruns agree; rows that repeat a key and size tie and are ordered by a hash of the text. Null sources form
     one source. Rows of size 0 are taken with the certain copies and never in the sample. No row has more than ceil(cap)
     copies, and none more than floor(target / source_size) + 1. An empty table gives an empty result.
     """
-    sized = docs.select(F.col(key).alias("__key"), F.col(source).cast("string").alias("source"), words_in(F.col(text)).alias("size"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__h"))
-    sized = written(sized, "mix-sizes")
+    whole_row = [F.struct(*[F.col(c) for c in docs.columns]).alias("__row")] if carry else []
+    slim = [F.col(key).alias("__key"), F.col(source).cast("string").alias("source"), words_in(F.col(text)).alias("size"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__h")]
+    sized = written(docs.select(*slim), "mix-sizes")
     klass = F.when(F.col("size") > 0, F.floor(F.log2("size") * CLASSES)).otherwise(-1).cast("int")
     classes = sized.groupBy("source", klass.alias("klass")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
     sources = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap)
@@ -91,24 +94,42 @@ def mix(docs: DataFrame, weights: Sequence[float], cap: float = 3.0, seed: int =
     u = uniform(F.col("__key"), seed)
     odds = F.log(u / (1 - u)) - F.log(p / (1 - p))
     even = 1 / (1 + F.exp(-odds))  # the rank as a key in (0, 1), in the same order
-    ranked = planned(sized, plan).withColumn("__q", even).withColumn("__cell", F.least(F.lit(CELLS - 1), F.floor(F.col("__q") * CELLS)).cast("int"))
-    ranked = ranked.withColumn("__may", (F.col("size") > 0) & (F.col("rest") > 0))
+    def ranks(rows: DataFrame) -> DataFrame:
+        x = planned(rows, plan).withColumn("__q", even).withColumn("__cell", F.least(F.lit(CELLS - 1), F.floor(F.col("__q") * CELLS)).cast("int"))
+        return x.withColumn("__may", (F.col("size") > 0) & (F.col("rest") > 0))
+
+    ranked = ranks(sized)
     cells = ranked.where("__may").groupBy("source", "__cell").agg(F.sum("size").alias("words"), F.max("rest").alias("rest"))
     upto = Window.partitionBy("source").orderBy("__cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cells = cells.withColumn("upto", F.sum("words").over(upto))
     edge = cells.where(F.col("upto") >= F.col("rest")).groupBy("source").agg(F.min(F.struct("__cell", (F.col("upto") - F.col("words")).alias("before"))).alias("e"))
     edge = written(edge.select("source", F.col("e.__cell").alias("edge"), F.col("e.before").alias("before")), "mix-edge")
-    marked = ranked.withColumn("__s2", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
-    marked = marked.join(edge.select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("__s2"), "edge", "before"), "__s2", "left")
-    inside = marked.where("__may and __cell = edge")
+    ends = edge.select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("__s2"), "edge", "before")
+
+    def marks(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("__s2", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).join(ends, "__s2", "left")
+
+    inside = marks(ranked).where("__may and __cell = edge")
     order = Window.partitionBy("source").orderBy("__q", "__key", "__h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = inside.select("source", "__q", "__key", "__h", "size", "rest", "before").withColumn("upto", F.col("before") + F.sum("size").over(order))
     # the document in which the quota ends is taken if that comes nearer to it
     inside = inside.where(F.col("upto") - F.col("size") / 2 <= F.col("rest"))
     last = inside.groupBy("source").agg(F.max(F.struct("__q", "__key", "__h")).alias("last"))
     last = written(last.select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("__s2"), "last"), "mix-last")
-    final = marked.join(last, "__s2", "left")
+    final = marks(ranks(docs.select(*slim, *whole_row)) if carry else ranked).join(last, "__s2", "left")
     in_edge = F.col("last").isNotNull() & (F.struct("__q", "__key", "__h") <= F.col("last"))
     more = F.col("__may") & F.when(F.col("edge").isNull(), True).when(F.col("__cell") < F.col("edge"), True).when(F.col("__cell") == F.col("edge"), in_edge).otherwise(False)
     copies = (F.col("whole") + F.when(more, 1).otherwise(0)).cast("long")
-    return final.select(F.col("__key").alias(key), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return final.select(F.col("__key").alias(key), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(["__row"] if carry else []))
+
+
+def mixture(docs: DataFrame, weights: Sequence[float], cap: float = 3.0, seed: int = 7, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """The mix itself: one row per copy that it takes, with the columns of `docs` and size, source_size, target, copies, copy.
+
+    copy counts from 1 to copies; rows that the mix leaves out are not there. Columns of `docs` under those five names are
+    replaced. Nulls, repeated rows and empty tables are as in mix().
+    """
+    added = ("size", "source_size", "target", "copies", "copy")
+    x = mix(docs, weights, cap, seed, key, source, text, carry=True).where("copies > 0")
+    x = x.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return x.select(*[F.col("__row")[c].alias(c) for c in docs.columns if c not in added], *added)

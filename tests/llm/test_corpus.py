@@ -9,7 +9,8 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from paperloom.llm import _bytes, ann, components, decontam, langid, linededup, neardup, toxicity
+from paperloom.llm import _bytes, ann, components, decontam, langid, linededup, mixing, neardup, toxicity
+from paperloom.llm._store import written
 
 CLASH = "doc_id long, text string, lang string, source string, node int, label string, bucket int, id int, h int, runs int, __key int"
 WORDS = re.compile(r"[0-9a-z\u0080-\U0010ffff]+")
@@ -284,15 +285,109 @@ def test_pieces_of_text():
     assert {k for r, k in own if r == 3} == {" é ", " ab "} and {r for r, _ in own} == {0, 3}
 
 
+def test_language_sample_is_bounded_by_distinct_texts(spark):
+    """A text that a third of a label's rows share is one candidate; no label gives more than per_label texts."""
+    rng = random.Random(21)
+    rows = [("aa", "the very same text again and again")] * 6000 + [("aa", prose(rng, 8)) for _ in range(9000)] + [("bb", prose(rng, 6)) for _ in range(300)] + [("cc", "one"), ("cc", "one"), ("dd", "")]
+    labelled = spark.createDataFrame(rows, "label string, text string").repartition(5)
+    drawn = langid.drawn_texts(labelled, 1000, 1).collect()
+    by = {}
+    for r in drawn:
+        by.setdefault(r.label, []).append(r.text)
+    assert {k: len(v) for k, v in by.items()} == {"aa": 1000, "bb": 300, "cc": 1, "dd": 1}
+    assert all(len(set(v)) == len(v) for v in by.values())
+    again = langid.drawn_texts(labelled.repartition(3), 1000, 1).collect()
+    assert sorted(map(str, drawn)) == sorted(map(str, again))
+    assert langid.drawn_texts(labelled.limit(0), 10, 1).count() == 0
+    packed = langid.sample(labelled.where("label = 'cc'"), 1000, 1).collect()
+    assert len(packed) == 1 and len(packed[0].ids) // 2 == len(packed[0].n) // 4
+
+
+def test_language_model_equals_brute_force(spark):
+    """The averaged embedding's softmax, recomputed text by text from the fitted table."""
+    rng = random.Random(22)
+    rows = [(i, " ".join(rng.choices(["straße", "über", "und"] if i % 2 else ["the", "over", "and"], k=rng.randrange(1, 30))), "de" if i % 2 else "en", 1) for i in range(200)]
+    docs = spark.createDataFrame(rows + rows[:2] + [(900, "", "en", 1), (901, None, None, 1), (902, "1 2 3", "de", 1)], "doc_id long, text string, lang string, score int")
+    model = langid.fit(docs)
+    assert sorted(model.labels) == ["de", "en"]
+    got = langid.predict(docs, model).collect()  # the column named like the result's is not read
+    assert len(got) == len(rows) + 5
+    for r in got:
+        text = ((rows[r.doc_id][1] if r.doc_id < 900 else "") or "").lower().encode()
+        x = [c if chr(c).islower() and c < 128 or c >= 128 else 32 for c in text]
+        logits, n = np.zeros(len(model.labels)), 0
+        for size in langid.ORDERS:
+            for i in range(len(x) - size + 1):
+                if x[i] == 32 and x[i + 1] == 32:
+                    continue
+                h = size
+                for c in x[i : i + size]:
+                    h = (h * 0x01000193 & 0xFFFFFFFF) ^ c
+                logits += model.table[(h * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - langid.BITS]
+                n += 1
+        z = (logits / max(1, n) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        if r.doc_id >= 900:
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+        else:
+            assert r.lang_pred == model.labels[int(p.argmax())] and r.score == pytest.approx(p.max()) and r.rejected == (r.score < model.threshold)
+
+
+def test_mixture_takes_rows_as_often_as_planned(spark):
+    rng = random.Random(23)
+    rows = [(i, " ".join(["w"] * rng.randrange(0, 40)), rng.choice(["a", "b", "b", "b", None]), "x", 7) for i in range(800)] + [(3, None, "a", "x", 7), (3, None, "a", "x", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies string, rest int")
+    plan = [r for r in mixing.mix(docs, (5, 2, 1)).collect() if r.copies]
+    got = mixing.mixture(docs, (5, 2, 1)).collect()
+    assert len(got) == sum(r.copies for r in plan)
+    assert set(got[0].asDict()) == {"doc_id", "text", "source", "rest", "size", "source_size", "target", "copies", "copy"}
+    assert sorted((r.doc_id, k + 1, r["size"]) for r in plan for k in range(r.copies)) == sorted((r.doc_id, r.copy, r["size"]) for r in got)
+    assert all(len((r.text or "").split()) == r["size"] for r in got)
+    assert mixing.mixture(docs.limit(0), (1,)).count() == 0
+
+
+def stage_rows(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, label string, bands int, size string, __key int")
+
+
 def test_pipeline_on_the_smallest_tables(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     seen = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, seen, sf)
+        out = written(stage(spark, seen, sf), f"test-{name}")
         assert out.columns == docs.columns, name
-        out.write.mode("overwrite").parquet(f"/tmp/checkpoints/test-{name}")
-        before, seen = seen, spark.read.parquet(f"/tmp/checkpoints/test-{name}")
+        before, seen = seen, out
         assert 0.5 * before.count() < seen.count() <= before.count(), name
     mixed = corpus_pipeline.mix_sources(spark, seen, sf)
-    assert mixed.count() == seen.count() and len(corpus_pipeline.STAGES) == 5
+    plan = mixing.mix(seen, (5, 2, 1)).collect()
+    assert mixed.count() == sum(r.copies for r in plan) and len(corpus_pipeline.STAGES) == 5
+    whole = corpus_pipeline.run(spark, sf)
+    assert sorted((r.doc_id, r.copy) for r in whole.collect()) == sorted((r.doc_id, r.copy) for r in mixed.collect())
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing column names and empty tables, stage by stage."""
+    sf = "/root/testdata/sf0.001"
+    rng = random.Random(24)
+    common = ["the", "and", "of", "with", "house", "green", "water", "people", "before", "under"]
+    english = lambda n: " ".join(rng.choices(common, k=n))
+    long_text = "\n".join(english(40) + f" {i}" for i in range(3000))
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 60").first().text
+    rows = [(i, english(30) + f" x{i}", "en", "a", 1, "l", 2, "s", 3) for i in range(30)]
+    rows += [(40, None, "en", "a", None, None, None, None, None), (41, "", None, None, 0, None, None, None, None), (42, "... 12", "en", None, 5, "l", 2, "s", 3), (43, long_text, "en", "b", len(long_text), "l", 2, "s", 3)]
+    rows += [(44, f"{english(10)} {item}", "en", "b", 9, "l", 2, "s", 3), (0, rows[0][1], "en", "a", 1, "l", 2, "s", 3), (None, english(12), "en", "a", 1, "l", 2, "s", 3), (45, rows[1][1], "en", "a", 1, "l", 2, "s", 3)]
+    docs = stage_rows(spark, rows)
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out[name] = stage(spark, docs, sf)
+        assert name == "mix_sources" or out[name].columns == docs.columns
+        out[name] = [r.asDict() for r in out[name].collect()]
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+    ids = {name: sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) for name, got in out.items()}
+    every = sorted((r[0] is None, r[0] or 0) for r in rows)
+    assert [i for i in every if i[1] not in (40, 41, 42)] == [i for i in ids["language_id"]]
+    assert ids["line_dedup"] == every and ids["near_dedup"] == [i for i in every if i[1] != 45]
+    assert ids["decontaminate"] == [i for i in every if i[1] != 44]
+    assert {r["doc_id"] for r in out["mix_sources"]} <= {r[0] for r in rows} and all(r["copy"] <= r["copies"] for r in out["mix_sources"])
+    assert next(r for r in out["line_dedup"] if r["doc_id"] == 43)["text"] == long_text
