@@ -5,9 +5,16 @@ are partitioned by size (doubling classes), and an item of the class up to m shi
 apart: a copied item lies whole in one window, and its Jaccard similarity with that window is at least a known bound, from which
 each class gets its number of MinHash functions (recall of 1 - 1e-6 at the threshold).
 
-An item's signature is its minimal shingle under each function h XOR seed. A window has the same minimum exactly if it holds that
-shingle and none smaller under the function; so document signatures need not be computed: the shingles of documents probe those
-of items, and only where one is met the window around it is looked at. Pairs found so are verified by exact shingle containment.
+1. An item's signature is its minimal shingle under each function h XOR seed. These minima, and no other shingles, are the probes:
+   a pass over the documents keeps the places where a probe stands (document, place, shingle; nothing wider).
+2. A window has an item's minimum exactly if it holds that shingle and none smaller under the function; so signatures of windows
+   need not be computed where no probe stands. Documents with a probe come once more, with all their places in one row, and
+   each place is tested in the two windows that hold it. A collision under one function makes the item a candidate.
+3. Candidates are verified by exact containment: the item's shingles are joined with those of the document.
+
+What is wide (the shingles of a document) stands in one row a document and only for documents with a probe; no row is made for
+each pair of a document and an item that merely share a phrase. Items may be spread over a document only as far as its windows
+reach: an item whose parts lie further apart than 2m shingles is not looked for.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ from paperloom.llm._store import written
 
 WORDS = 5
 MISS = 1e-6
-ITEM_SHINGLES_TO_BROADCAST = 2_000_000
+LONGS_TO_BROADCAST = 2_000_000  # a broadcast table of one long a row; beyond that the same rows are joined by shuffle
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -60,61 +67,85 @@ def seeds(k: int) -> list[int]:
     return out
 
 
-def item_index(items: DataFrame, threshold: float, key: str, text: str) -> DataFrame:
-    """One row per (item, distinct shingle): item, shingle, n (distinct shingles of the item), m (its size class), minimal: the
-    masks of the class's functions under which this shingle is the item's minimum (empty for most)."""
-    x = items.select(F.col(key).alias("item"), F.array_distinct(shingles(F.col(text))).alias("set"))
-    x = written(x, "decontam-sets").withColumn("n", F.size("set")).where("n > 0").withColumn("m", F.pow(F.lit(2.0), F.ceil(F.log2("n"))).cast("int"))
-    x = x.select("item", "set", "n", "m").distinct()
-    classes = sorted(r[0] for r in x.select("m").distinct().collect())  # at most 31 size classes
+def item_sets(items: DataFrame, key: str, text: str) -> DataFrame:
+    """i (a number of its own), item, set (distinct shingles), n, m (the size class), one row per distinct item with shingles."""
+    x = items.select(F.col(key).alias("item"), F.array_distinct(shingles(F.col(text))).alias("set")).withColumn("n", F.size("set")).where("n > 0")
+    x = x.withColumn("m", F.pow(F.lit(2.0), F.ceil(F.log2("n"))).cast("int"))
+    return written(x.distinct().withColumn("i", F.monotonically_increasing_id()), "decontam-items")
+
+
+def item_minima(sets: DataFrame, threshold: float) -> DataFrame:
+    """i, m, s (mask of a function of the class), h: the item's minimal shingle under the function."""
+    classes = sorted(r[0] for r in sets.select("m").distinct().collect())  # at most 31 size classes
     masks: Column | None = None
     for m in classes:
         own = F.array(*[F.lit(s) for s in seeds(functions_needed(m, threshold))])
         masks = F.when(F.col("m") == m, own) if masks is None else masks.when(F.col("m") == m, own)
     if masks is None:
         masks = F.array().cast("array<bigint>")
-    least = F.transform("masks", lambda s: F.struct(F.array_min(F.transform("set", lambda h: h.bitwiseXOR(s))).bitwiseXOR(s).alias("h"), s.alias("s")))
-    x = x.withColumn("masks", masks).withColumn("least", least)
-    x = x.select("item", "n", "m", "least", F.explode("set").alias("shingle"))
-    mine = F.transform(F.filter("least", lambda p: p["h"] == F.col("shingle")), lambda p: p["s"])
-    return written(x.select("item", "shingle", "n", "m", mine.alias("minimal")), "decontam-index")
+    least = F.transform(masks, lambda s: F.struct(s.alias("s"), F.array_min(F.transform("set", lambda h: h.bitwiseXOR(s))).bitwiseXOR(s).alias("h")))
+    return written(sets.select("i", "m", F.explode(least).alias("x")).select("i", "m", "x.s", "x.h"), "decontam-minima")
+
+
+def among(rows: DataFrame, column: str, longs: DataFrame) -> DataFrame:
+    """The rows whose column is one of `longs` (one distinct column), which is broadcast only if it is small."""
+    name = longs.columns[0]
+    longs = F.broadcast(longs) if longs.count() <= LONGS_TO_BROADCAST else longs.hint("merge")
+    return rows.join(longs, F.col(column) == F.col(name), "left_semi")
+
+
+def probed(docs: DataFrame, probes: DataFrame) -> DataFrame:
+    """doc, t (hash of the text), hits: of each text the places of probes as (at, h, m, masks)."""
+    x = docs.select("doc", F.xxhash64("text").alias("t"), F.posexplode(shingles(F.col("text"))).alias("at", "shingle"))
+    x = among(x, "shingle", written(probes.select("h").distinct(), "decontam-longs"))
+    x = x.join(probes, x.shingle == probes.h).groupBy("doc", "t").agg(F.collect_set(F.struct("at", "h", "m", "masks")).alias("hits"))
+    return written(x, "decontam-hits")
+
+
+def collisions(runs: Column, hits: Column) -> Column:
+    """array<struct<h, m, masks>>: of each hit the masks under which one of the two windows around it has h as its minimum."""
+
+    def one(x: Column) -> Column:
+        m, h = x["m"], x["h"]
+        first = F.greatest(F.lit(0), F.floor(x["at"] / m).cast("int") - 1)
+        window = lambda k: F.slice(runs, (first + k) * m + 1, m * 2)
+        smallest = lambda w, s: ~F.exists(w, lambda y: y.bitwiseXOR(s) < h.bitwiseXOR(s))
+        held = lambda w: F.when(F.array_contains(w, h), F.filter(x["masks"], lambda s: smallest(w, s))).otherwise(F.array().cast("array<bigint>"))
+        return F.struct(h.alias("h"), m.alias("m"), F.array_union(let(window(0), held), let(window(1), held)).alias("masks"))
+
+    return F.filter(F.transform(hits, one), lambda c: F.size(c["masks"]) > 0)
 
 
 def find(docs: DataFrame, items: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per (document, item) with containment of at least `threshold`: key, item_key, n_common, n_item, containment.
 
     containment is the share of the item's distinct shingles of WORDS words that the document holds. Items and documents of
-    fewer words, null and empty ones, have no shingles and no rows. Rows that repeat a document key count as one document, those
-    that repeat an item key with another text as items of their own. Texts are searched whole; other columns are not read.
+    fewer words, null and empty ones, have no shingles and no rows. Rows that repeat a document key (a null one too) count as
+    one document, those that repeat an item key with another text as items of their own, of which the best counts. Texts are
+    searched whole; other columns are not read; an empty table on either side gives an empty result.
     """
-    index = item_index(items, threshold, item_key, item_text)
-    # one row per shingle of items: the entries of all items that hold it
-    entries = index.groupBy("shingle").agg(F.collect_list(F.struct("item", "n", "m", "minimal")).alias("entries"))
-    if index.count() <= ITEM_SHINGLES_TO_BROADCAST:  # else Spark joins by shuffle
-        entries = F.broadcast(entries)
-    x = docs.select(F.col(key).alias("doc"), shingles(F.col(text)).alias("runs"))
-    hits = x.select("doc", "runs", F.posexplode("runs").alias("at", "shingle")).join(entries, "shingle")
-    hits = hits.select("doc", "shingle", "at", F.explode("entries").alias("e"), "runs").select("doc", "shingle", "at", "e.*", "runs")
-    # of the windows of 2m shingles, m apart, at most two hold this place; around it lie the shingles of both
-    first = F.greatest(F.lit(0), F.floor(F.col("at") / F.col("m")).cast("int") - 1)
-    hits = hits.withColumn("first", first).withColumn("around", F.when(F.size("minimal") > 0, F.slice("runs", F.col("first") * F.col("m") + 1, F.col("m") * 3)))
-    hits = hits.select("doc", "shingle", "item", "n", "m", "minimal", "around")
-
-    def collides(start: int) -> Column:
-        window = F.slice("around", F.lit(start) * F.col("m") + 1, F.col("m") * 2)
-        least = lambda w: F.exists("minimal", lambda s: ~F.exists(w, lambda h: h.bitwiseXOR(s) < F.col("shingle").bitwiseXOR(s)))
-        return let(window, lambda w: F.array_contains(w, F.col("shingle")) & least(w))
-
-    met = F.when(F.col("around").isNotNull() & (F.size("around") > 0), collides(0) | collides(1)).otherwise(False)
-    hits = hits.select("doc", "item", "n", "shingle", met.alias("met"))
-    pairs = hits.groupBy("doc", "item", "n", "shingle").agg(F.max("met").alias("met"))
-    pairs = pairs.groupBy("doc", "item", "n").agg(F.count("*").alias("n_common"), F.max("met").alias("met"))
-    found = pairs.where(F.col("met") & (F.col("n_common") >= F.lit(threshold) * F.col("n") - 1e-9))
+    sets = item_sets(items, item_key, item_text)
+    minima = item_minima(sets, threshold)
+    probes = written(minima.groupBy("h", "m").agg(F.collect_set("s").alias("masks")), "decontam-probes")
+    slim = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    hits = probed(slim, probes)
+    # documents with a probe once more: each with its places in one row
+    x = slim.withColumn("t", F.xxhash64("text")).join(hits.select(F.col("doc").alias("d"), F.col("t").alias("ht"), "hits"), F.col("doc").eqNullSafe(F.col("d")) & (F.col("t") == F.col("ht")))
+    tested = let(shingles(F.col("text")), lambda runs: F.struct(collisions(runs, F.col("hits")).alias("met"), F.array_distinct(runs).alias("set")))
+    met = written(x.select("doc", tested.alias("x")).select("doc", "x.met", "x.set").where(F.size("met") > 0), "decontam-met")
+    collided = met.select("doc", F.explode("met").alias("c")).select("doc", "c.h", "c.m", F.explode("c.masks").alias("s")).distinct()
+    candidates = written(collided.join(minima, ["h", "m", "s"]).select("doc", "i").distinct(), "decontam-candidates")
+    # exact containment: the items' shingles against those that the candidates' documents share with any item
+    index = written(sets.select("i", "item", "n", F.explode("set").alias("shingle")), "decontam-index")
+    held = among(met.select(F.col("doc").alias("d"), F.explode("set").alias("s")), "s", written(index.select("shingle").distinct(), "decontam-shingles")).distinct()
+    wanted = candidates.join(index, "i")
+    pairs = wanted.join(held, F.col("doc").eqNullSafe(F.col("d")) & (F.col("shingle") == F.col("s"))).groupBy("doc", "i", "item", "n").agg(F.count("*").alias("n_common"))
+    found = pairs.where(F.col("n_common") >= F.lit(threshold) * F.col("n") - 1e-9)
     found = found.groupBy("doc", "item").agg(F.max(F.struct((F.col("n_common") / F.col("n")).alias("c"), "n_common", "n")).alias("b"))
     return found.select(F.col("doc").alias(key), F.col("item").alias(item_key), F.col("b.n_common").cast("long").alias("n_common"), F.col("b.n").cast("long").alias("n_item"), F.col("b.c").alias("containment"))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that hold no item to the threshold, unchanged."""
+    """The rows of `docs` that hold no item to the threshold, unchanged; rows that repeat a key go or stay together."""
     leaks = written(find(docs, items, threshold, key, text).select(F.col(key).alias("__leak")).distinct(), "decontam-leaks")
     return docs.join(leaks, docs[key].eqNullSafe(F.col("__leak")), "left_anti")
