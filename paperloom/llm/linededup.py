@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm import _bytes as B
 from paperloom.llm._store import written
+from paperloom.llm.components import join_split
 
 NOISE, GUARANTEE = 25, 50
 SPACE = np.zeros(256, bool)
@@ -163,7 +164,7 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", nois
     own = x.select(tie.alias("tie"), "raw").join(shared.select("tie").hint("merge"), "tie", "left_semi").dropDuplicates(["tie"])
     found = written(text_units(shared.join(own, "tie"), noise, guarantee), "lines-units")
     firsts = found.groupBy("unit").agg(F.min(F.struct("id", "h", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("unit", "first")
-    later = found.join(firsts, "unit").where(F.col("first") < F.struct("id", "h", "start"))
+    later = join_split(found, written(firsts, "lines-firsts"), "unit").where(F.col("first") < F.struct("id", "h", "start"))
     runs = later.groupBy("id", "h").agg(F.min("first.id").alias("first_id"), F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs"))
     return runs.withColumn("runs", united(F.col("runs")))
 

@@ -59,16 +59,53 @@ def near_fixture():
     return list(enumerate(texts))
 
 
+def exact_weights(texts):
+    """Weights of each text's shingles from document frequencies counted here, text by text."""
+    sets = {}
+    for i, t in texts:
+        s, c = next(neardup.counted(*_bytes.flat(pa.array([t]))))
+        sets[i] = dict(zip(s.tolist(), c.tolist(), strict=True))
+    n = sum(1 for s in sets.values() if s)
+    df = {}
+    for s in sets.values():
+        for k in s:
+            df[k] = df.get(k, 0) + 1
+    weigh = lambda k: 1 + neardup.IDF_SHARE * np.log(max(2, n) / df[k]) / np.log(max(2, n))
+    return {i: {k: c * weigh(k) for k, c in s.items()} for i, s in sets.items()}, df, n
+
+
+def test_document_frequencies_are_exact_from_the_threshold_on(spark):
+    rng = random.Random(31)
+    texts = [(i, " ".join(rng.choices(["a", "b", "c"], k=rng.randrange(0, 40)))) for i in range(300)] + [(400, None), (401, "")]
+    _, df, n = exact_weights(texts)
+    docs = spark.createDataFrame(texts, "id long, text string").repartition(4)
+    for bits in (22, 12):  # with few cells the threshold rises above two
+        idf = neardup.frequencies(docs, "text", bits)
+        assert idf.n == n and (idf.least == 2) == (bits == 22)
+        assert dict(zip(idf.shingles.tolist(), idf.weights.tolist(), strict=True)) == pytest.approx({k: 1 + neardup.IDF_SHARE * np.log(n / c) / np.log(n) for k, c in df.items() if c >= idf.least})
+        rare = [k for k, c in df.items() if c < idf.least]
+        assert (idf(np.array(rare, np.uint64)) == idf.single).all() and idf.single == pytest.approx(1 + neardup.IDF_SHARE)
+    assert neardup.frequencies(docs.limit(0), "text").n == 0
+
+
+def test_hot_keys_are_joined_whole(spark, monkeypatch):
+    monkeypatch.setattr(components, "HOT_ROWS", 20)
+    rows = spark.createDataFrame([(i, 1 if i % 3 else i) for i in range(300)] + [(900, None), (901, 555)], "id int, k int")
+    table = spark.createDataFrame([(k, k * 10) for k in range(300)], "k int, v int")
+    want = sorted((i, 10 if i % 3 else i * 10) for i in range(300))
+    assert sorted((r.id, r.v) for r in components.join_split(rows, table, "k").collect()) == want
+    assert sorted((r.id, r.v or 0) for r in components.join_split(rows, table, "k", "left").collect()) == sorted([*want, (900, 0), (901, 0)])
+    hot = components.hot_keys(rows, "k")
+    assert [(r.k, r.salts) for r in hot.collect()] == [(1, 10)]
+    x = components.dealt(rows, hot, "k", "s")
+    assert x.where("k = 1").select("s").distinct().count() == 10 and x.count() == 302
+    assert sorted((r.id, r.v) for r in x.join(components.repeated(table, hot, "k", "s"), ["k", "s"]).collect()) == want
+
+
 def test_near_classes_equal_brute_force(spark):
     texts = near_fixture()
     docs = frame(spark, texts + texts[:3] + [(None, "no key")])
-    table, n = neardup.frequencies(docs, "text")
-    idf = neardup.idf_weights(table, n)
-    sets = {}
-    for i, t in texts:
-        data, offsets = _bytes.flat(pa.array([t]))
-        s, c = next(neardup.counted(data, offsets))
-        sets[i] = dict(zip(s.tolist(), neardup.weights_of(s, c, idf).tolist(), strict=True))
+    sets, _, _ = exact_weights([*texts, *((5000 + i, t) for i, t in texts[:3]), (6000, "no key")])  # all rows count
     label = {i: i for i, _ in texts}
     for i in label:
         for j in label:
@@ -89,11 +126,10 @@ def test_near_classes_equal_brute_force(spark):
 
 
 def test_long_and_repeated_texts_sample_alike():
-    idf = np.ones(1 << neardup.DF_BITS, np.float32)
     s = np.unique(_bytes.mix(np.arange(5000, dtype=np.uint64)))
     a = neardup.samples(s, np.ones(len(s), np.float32))
     b = neardup.samples(s[: len(s) // 2], np.ones(len(s) // 2, np.float32))
-    assert 0.3 < (a == b).mean() < 0.7 and idf.sum() == len(idf)
+    assert 0.3 < (a == b).mean() < 0.7
 
 
 def line_fixture():
@@ -208,6 +244,34 @@ def test_decontamination_equals_brute_force(spark):
     assert decontam.find(docs.limit(0), bench).count() == 0 and decontam.find(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_searches_by_minima_only(spark, monkeypatch):
+    """Whole passages between other words, in long documents, at every size; the plan by shuffle gives the same rows; repeated and null keys."""
+    rng = random.Random(61)
+    items = [(i, prose(rng, n)) for i, n in enumerate([5, 6, 8, 9, 15, 33, 64, 65, 130, 260] * 4)]
+    texts = []
+    for i, x in items:
+        w = edited(rng, x, 0.0 if i % 2 else 0.01).split(" ")
+        texts.append((i, " ".join([*prose(rng, rng.randrange(0, 900)).split(" "), *w, *prose(rng, rng.randrange(0, 900)).split(" ")])))
+    texts += [(i + 1000, prose(rng, 200) + " " + " ".join(x.split(" ")[:9])) for i, x in items]  # share a phrase with an item, not the item
+    texts += [(7, texts[3][1]), (None, texts[9][1]), (None, None), (5000, "")]
+    bench = [*items, (3, prose(rng, 40)), (None, items[5][1]), (77, None)]
+    docs = frame(spark, texts)
+    items_df = spark.createDataFrame([(i, x, 1) for i, x in bench], "item_id long, text string, doc_id int")
+    union = {}
+    for d, t in texts:
+        union.setdefault(d, set()).update(shingle_set(t))
+    want = {(d, i) for d, s in union.items() for i, x in bench if shingle_set(x) and len(shingle_set(x) & s) >= 0.8 * len(shingle_set(x)) - 1e-9}
+    got = decontam.find(docs, items_df).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want) > 40 and any(d is None for d, _ in want) and any(i is None for _, i in want)
+    index = decontam.item_minima(decontam.item_sets(items_df, "item_id", "text"), 0.8)
+    probes = index.select("h").distinct().count()
+    assert probes < sum(len(shingle_set(x)) for _, x in bench)  # not every shingle of an item is looked for
+    monkeypatch.setattr(decontam, "LONGS_TO_BROADCAST", 0)
+    assert sorted(map(str, decontam.find(docs, items_df).collect())) == sorted(map(str, got))
+    left = decontam.without_leaks(docs, items_df)
+    assert sorted(map(str, left.collect())) == sorted(str(r) for r in docs.collect() if r.doc_id not in {d for d, _ in want})
+
+
 def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 24)).astype(np.float32)
@@ -215,7 +279,7 @@ def test_neighbours_against_brute_force(spark):
     rows = [(i, v.tolist(), 1, 0.5) for i, v in enumerate(x)] + [(2000, None, 1, 0.0), (2001, [0.0] * 24, 1, 0.0), (2002, [float("nan")] + [1.0] * 23, 1, 0.0), (2003, [1.0, None], 1, 0.0), (2004, [], 1, 0.0), (2005, [1.0, 2.0], 1, 0.0), (2006, [2.0, 1.0], 1, 0.0), (None, [1.0, 1.0], 1, 0.0)]
     df = spark.createDataFrame(rows + rows[:5], "vec_id long, embedding array<float>, rank int, score double")
     got = {}
-    for r in ann.nearest(df, df.where("vec_id % 10 = 0 or vec_id > 1999"), k=5, shard_rows=400).collect():
+    for r in ann.nearest(df, df.where("vec_id % 10 = 0 or vec_id > 1999"), k=5, shard_least=400).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
     hits = 0
@@ -234,6 +298,27 @@ def test_neighbours_against_brute_force(spark):
     assert ann.nearest(df.limit(0), df).count() == 0
 
 
+def test_neighbours_of_extreme_and_repeated_vectors(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 6))
+    rows = [(i, (v * 10.0 ** rng.integers(-300, 300)).tolist()) for i, v in enumerate(x)] + [(0, [9.0] * 6), (50, (x[3] * 2.0).tolist()), (51, (x[3] * 4.0).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df.repartition(3), df, k=3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    query = {i: min(v for j, v in rows if j == i) for i in {i for i, _ in rows}}  # of a repeated id the least vector asks
+
+    def cosine(a, b):
+        a, b = (np.array(v) / np.abs(v).max() for v in (a, b))
+        return float(a @ b / np.sqrt(a @ a) / np.sqrt(b @ b))
+
+    assert set(got) == set(query)
+    for q, v in query.items():
+        nearest = {i: max(cosine(v, w) for j, w in rows if j == i) for i in query if i != q}
+        best = sorted((-round(s, 12), i) for i, s in nearest.items())[:3]
+        assert [(k + 1, i, pytest.approx(-s)) for k, (s, i) in enumerate(best)] == sorted(got[q]), q
+
+
 def test_language_identification(spark):
     rng = random.Random(2)
     kinds = {"aa": ["tha", "ing", "er", "ou"], "bb": ["sch", "ei", "ung", "er"], "cc": ["ño", "ar", "ll", "os"]}
