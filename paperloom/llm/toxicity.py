@@ -1,16 +1,22 @@
-"""Toxicity by class-conditional Kneser-Ney models, compared by length-normalised log-likelihood.
-
-The units are the ORDER-byte pieces of lower-cased words with their boundaries (a shorter word is one piece). Each class has a
-Kneser-Ney distribution over pieces: its count of a piece is the number of distinct texts of the class that hold it, less a
-discount, and the discounted mass goes to one shared distribution whose counts pool both classes and which itself backs off to
-shorter prefixes by continuation counts. A piece that is rare in either class is so smoothed alike in both; one that neither
-class has says nothing. In a text a piece that occurs c times counts 1 + ln c, against texts that repeat a word; the sum of
-log-ratios is divided by the length plus STEADY, so that very short texts don't swing. The score is the logistic of that mean,
-fitted on labelled rows that the counts don't see.
-
-A piece is packed exactly into one long: counts are kept for all pieces of all training rows and grow with the corpus. Scoring
-takes the table of log-ratios in slices of at most SLICE_ROWS rows, each broadcast in turn and its partial sums added, so no
-worker and no driver ever holds more than one slice.
+"""Toxicity by class-conditional Kneser-Ney models, compared word by word and normalised by length.
+
+A model gives the probability of each byte of a word (its closing space included) after the bytes before it, back to the word's
+opening space and at most ORDER - 1 of them. Counts are of distinct texts' occurrences, at most BURST a text, so neither copies
+nor a text that repeats itself weigh more than others. Both classes share one backoff, an interpolated Kneser-Ney model of the
+pooled counts: its own top level, and below it, dropping the oldest byte each time, levels that count distinct predecessors; all
+discounts are the modified ones, from the counts of counts. A class's probability is its discounted share, and the mass set free,
+with PRIOR further counts, goes to the shared model's probability:
+
+    P_c(b | ctx) = (max(n_c(ctx, b) - d_c, 0) + (mass_c(ctx) + PRIOR) P(b | ctx)) / (n_c(ctx) + PRIOR)
+
+so expressions that are rare in a class are smoothed alike in both, and what neither has seen says nothing. The log-ratio of a
+word is the sum over its bytes. Ordinary words scatter a little around zero; what a text is judged by are expressions that one
+class clearly prefers, so of each word what exceeds MARGIN nats is summed, and divided by the number of words plus STEADY. The score
+is a logistic of that, fitted on labelled rows that the counts don't see.
+
+A gram of up to ORDER bytes is packed exactly into one long; counts grow with the corpus. Scoring takes the table of log-ratios,
+less those that differ by under PRUNE from what is used where they are missing, in slices of at most SLICE_ROWS rows, each
+broadcast in turn, with the words' sums so far carried beside the text; so no worker and no driver holds more than one slice.
 """
 
 from __future__ import annotations
@@ -19,62 +25,60 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm import _bytes as B
 from paperloom.llm._store import written
 from paperloom.llm.langid import LETTER, held_out
 
-ORDER = 5
-DISCOUNT = 0.75
+ORDER = 7
+BURST = 8
+PRIOR = 100.0
+MARGIN = 1.5
 STEADY = 300
+PRUNE = 0.02
+SYMBOLS = 64.0  # the lowest level backs off to one of as many bytes
 SLICE_ROWS = 6_000_000
 LABELS_TO_BROADCAST = 2_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-ROW_BITS = 64 - 8 * ORDER
-
+CONTEXT = 1 << 60  # marks the key of a context, which stands for the bytes not seen after it
 
-def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts the distinct pieces of each, in order of text: packed piece, its text, its number there.
 
-    Texts are a stream of words between single spaces. A piece is ORDER bytes without a space inside, or a whole word with its
-    two spaces that is shorter than that.
-    """
+def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts, byte by byte, the packed gram that ends there, the number of its word (increasing, with gaps) and its text."""
     n = len(offsets) - 1
     x = LETTER[data]
     row = np.repeat(np.arange(n), np.diff(offsets))
-    keep = np.ones(len(x), bool)
-    if len(x):
-        keep[1:] = (x[1:] != 32) | (x[:-1] != 32) | (row[1:] != row[:-1])
+    keep = x != 32
+    keep[1:] |= ~(x[1:] != 32) & (x[:-1] != 32) & (row[1:] == row[:-1])  # one space after a word
     x, row = x[keep], row[keep]
-    # two spaces around each text; pieces over them hold a space inside or nothing else
-    stream = np.full(len(x) + 2 * n + ORDER, 32, np.uint8)
-    at = np.arange(len(x)) + 2 * row + 1
-    stream[at] = x
-    of = np.zeros(len(x) + 2 * n, np.int64)
-    of[np.searchsorted(row, np.arange(1, n)) + 2 * np.arange(1, n)] = 1
-    of = np.cumsum(of)
-    m = len(of)
-    key, open_ = np.zeros(m, np.uint64), np.ones(m, bool)
-    whole, letters = np.zeros(m, bool), np.zeros(m, bool)
-    begins = stream[:m] == 32
+    closing = np.ones(len(x), bool)
+    closing[:-1] = row[1:] != row[:-1]
+    keep = ~(closing & (x == 32))
+    x, row = x[keep], row[keep]
+    # each text as a zero, a space, its words with single spaces between, a space
+    size = np.bincount(row, minlength=n)
+    begin = np.concatenate([[0], np.cumsum(size + 3)])
+    stream = np.zeros(begin[-1], np.uint8)
+    stream[np.arange(len(x)) + 3 * row + 2] = x
+    stream[begin[:-1] + 1] = 32
+    stream[begin[1:] - 1] = 32
+    text = np.repeat(np.arange(n), size + 3)
+    before = np.concatenate([[0], stream[:-1]])
+    at = np.flatnonzero((stream != 0) & (before != 0) & ~((stream == 32) & (before == 32)))
+    key, open_ = np.zeros(len(at), np.uint64), np.ones(len(at), bool)
     for k in range(ORDER):
-        b = stream[k : k + m]
-        key = np.where(open_, key << np.uint64(8) | b, key)
-        space = b == 32
-        letters |= open_ & ~space
-        if 0 < k < ORDER - 1:
-            shut = open_ & space
-            whole |= shut & begins
-            open_ &= ~space
-    good = letters & (open_ | whole)
-    pair, count = np.unique(of[good].astype(np.uint64) << np.uint64(8 * ORDER) | key[good], return_counts=True)
-    return pair & np.uint64((1 << 8 * ORDER) - 1), (pair >> np.uint64(8 * ORDER)).astype(np.int64), count
-
-
-def piece_counts(labelled: DataFrame) -> DataFrame:
-    """From rows (toxic int, text): key, t, o: the numbers of toxic and of ordinary texts that hold a piece."""
+        b = stream[np.maximum(at - k, 0)]
+        open_ &= b != 0
+        key |= np.where(open_, b.astype(np.uint64) << np.uint64(8 * k), np.uint64(0))
+        if k:
+            open_ &= b != 32
+    return key, np.cumsum(stream == 32)[at - 1], text[at]
+
+
+def gram_counts(labelled: DataFrame) -> DataFrame:
+    """From rows (toxic int, text), distinct texts: key, t, o: occurrences in toxic and in ordinary texts, at most BURST a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
@@ -97,11 +101,15 @@ def piece_counts(labelled: DataFrame) -> DataFrame:
             toxic = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = B.flat(batch.column(1))
             for a, b, part, off in B.slices(data, offsets):
-                keys, rows, _ = pieces(part, off)
-                is_toxic = toxic[a:b][rows] == 1 if len(rows) else np.zeros(0, bool)
-                for c, own in enumerate((keys[~is_toxic], keys[is_toxic])):
-                    if len(own):
-                        held[c].append(np.unique(own, return_counts=True))
+                keys, _, text = grams(part, off)
+                ends = np.searchsorted(text, np.arange(b - a + 1))
+                found: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+                for i in range(b - a):
+                    own, times = np.unique(keys[ends[i] : ends[i + 1]], return_counts=True)
+                    found[int(toxic[a + i] == 1)].append((own, np.minimum(times, BURST)))
+                for c in (0, 1):
+                    if found[c]:
+                        held[c].append(merged(found[c]))
                         if len(held[c]) >= 12:
                             held[c][:] = [merged(held[c])]
                 if sum(len(p[0]) for parts in held for p in parts) > 3_000_000:
@@ -111,42 +119,71 @@ def piece_counts(labelled: DataFrame) -> DataFrame:
     return labelled.select("toxic", "text").mapInArrow(run, "key long, t long, o long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
 
 
-def shared_backoff(grams: DataFrame) -> DataFrame:
-    """key, p: of each counted piece the pooled Kneser-Ney probability.
+def discounts(rows: DataFrame, counts: list[str]) -> list[tuple[float, float, float]]:
+    """Of each column of counts the modified Kneser-Ney discounts of 1, 2 and 3 or more, each between 0 and the count."""
+    got = rows.agg(*[F.count_if(F.col(c) == k).alias(f"{c}{k}") for c in counts for k in (1, 2, 3, 4)]).first()
+    out = []
+    for c in counts:
+        n = [max(1, got[f"{c}{k}"]) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        out.append(tuple(float(min(k, max(0.0, k - (k + 1) * y * n[k] / n[k - 1]))) for k in (1, 2, 3)))
+    return out
+
+
+def discount(count: Column, d: tuple[float, float, float]) -> Column:
+    return F.when(count >= 3, d[2]).when(count == 2, d[1]).when(count == 1, d[0]).otherwise(0.0)
+
 
-    P(u) = (n(u) - D + D * kinds * P(prefix of u) * P(last byte)) / N; the count of a prefix is the number of distinct pieces
-    one byte longer that begin with it.
+def suffix(key: Column) -> Column:
+    """The gram without its oldest byte; 0 if it has one only."""
+    cut = F.lit(0).cast("long")
+    for k in range(1, ORDER):
+        cut = F.when(key >= (1 << 8 * k), key.bitwiseAND(F.lit((1 << 8 * k) - 1))).otherwise(cut)
+    return cut
+
+
+def shared_backoff(counts: DataFrame) -> DataFrame:
+    """key, p: of each counted gram the pooled, interpolated Kneser-Ney probability of its last byte after the others.
+
+    A context has at most 256 bytes after it, so no group is large at any level.
     """
-    tables, above = [], grams.select("key", (F.col("t") + F.col("o")).alias("n"))
-    for k in range(ORDER):
-        tables.append(above)
-        if k < ORDER - 1:
-            above = written(above.groupBy(F.shiftright("key", 8).alias("key")).agg(F.count("*").alias("n")).where("key <> 0"), f"tox-level{k}")
-    bytes_ = tables[0].groupBy(F.col("key").bitwiseAND(F.lit(255)).alias("last")).agg(F.count("*").alias("m"))
-    bytes_ = bytes_.select("last", (F.col("m") / F.lit(max(1, tables[0].count()))).alias("q"))  # at most 256 rows
+    level = counts.select("key", (F.col("t") + F.col("o")).alias("n"))
+    tables = [level]
+    for k in range(ORDER - 1):
+        level = tables[-1].select(suffix(F.col("key")).alias("key")).where("key <> 0").groupBy("key").agg(F.count("*").alias("n"))
+        tables.append(written(level, f"tox-level{k}"))
     below: DataFrame | None = None
-    for level in reversed(tables):
-        total, kinds = level.agg(F.coalesce(F.sum("n"), F.lit(1)), F.count("*")).first()
-        rows = level.withColumn("last", F.col("key").bitwiseAND(F.lit(255))).withColumn("prefix", F.shiftright("key", 8))
-        rows = rows.join(F.broadcast(bytes_), "last", "left")
-        if below is None:
-            lower = F.lit(1 / 256)
-        else:
-            rows = rows.join(below.select(F.col("key").alias("prefix"), F.col("p").alias("r")), "prefix", "left")
-            lower = F.coalesce("r", F.lit(1 / 256)) * F.coalesce("q", F.lit(1 / 256))
-        below = rows.select("key", ((F.col("n") - DISCOUNT + DISCOUNT * kinds * lower) / float(total)).alias("p"))
+    for k, level in reversed(list(enumerate(tables))):
+        (d,) = discounts(level, ["n"])
+        after = Window.partitionBy("ctx")
+        rows = level.withColumn("ctx", F.shiftright("key", 8)).withColumn("d", discount(F.col("n"), d))
+        rows = rows.withColumns({"total": F.sum("n").over(after), "mass": F.sum("d").over(after), "low": suffix(F.col("key"))})
+        if below is not None:
+            rows = rows.join(below.select(F.col("key").alias("low"), F.col("p").alias("q")), "low", "left")
+        q = F.lit(1 / SYMBOLS) if below is None else F.coalesce("q", F.lit(1 / SYMBOLS))
+        below = written(rows.select("key", ((F.col("n") - F.col("d") + F.col("mass") * q) / F.col("total")).alias("p")), f"tox-backoff{k}")
     return below
 
 
-def log_ratios(grams: DataFrame) -> DataFrame:
-    """key, ratio: log P_toxic / P_ordinary of every counted piece."""
-    part = lambda c: F.sum(F.least(F.lit(DISCOUNT), F.col(c)))
-    x = grams.agg(F.sum("t").alias("t"), F.sum("o").alias("o"), part("t").alias("mt"), part("o").alias("mo")).first()
-    if not x["t"] or not x["o"]:
-        return grams.select("key", F.lit(0.0).cast("float").alias("ratio"))
-    prob = lambda c, total, mass: (F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + mass * F.col("p")) / float(total)
-    rows = grams.join(shared_backoff(grams), "key")
-    return rows.select("key", F.log(prob("t", x["t"], x["mt"]) / prob("o", x["o"], x["mo"])).cast("float").alias("ratio"))
+def log_ratios(counts: DataFrame, prune: float = PRUNE) -> DataFrame:
+    """key, ratio: log P_toxic / P_ordinary of every counted gram, and under CONTEXT + ctx of every byte not seen after a context.
+
+    Without texts of both classes there are no rows. A gram is left out where its ratio is within `prune` of its context's, a
+    context where its own is within `prune` of 0.
+    """
+    have = counts.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("o"), F.lit(0))).first()
+    rows = counts.join(shared_backoff(counts), "key") if have[0] and have[1] else counts.withColumn("p", F.lit(1.0)).where(F.lit(False))
+    after = Window.partitionBy("ctx")
+    rows = rows.withColumn("ctx", F.shiftright("key", 8))
+    for c, d in zip("to", discounts(counts, ["t", "o"]), strict=True):
+        rows = rows.withColumn(f"{c}d", discount(F.col(c), d))
+        rows = rows.withColumns({f"{c}n": F.sum(c).over(after) + PRIOR, f"{c}m": F.sum(f"{c}d").over(after) + PRIOR})
+    prob = lambda c: (F.col(c) - F.col(f"{c}d") + F.col(f"{c}m") * F.col("p")) / F.col(f"{c}n")
+    unseen = F.log(F.col("tm") / F.col("tn")) - F.log(F.col("om") / F.col("on"))
+    rows = written(rows.select("key", "ctx", F.log(prob("t") / prob("o")).alias("ratio"), unseen.alias("unseen")), "tox-all-ratios")
+    own = rows.where(F.abs(F.col("ratio") - F.col("unseen")) > prune).select("key", "ratio")
+    contexts = rows.where(F.abs("unseen") > prune).select((F.col("ctx") + CONTEXT).alias("key"), F.col("unseen").alias("ratio")).distinct()
+    return own.unionByName(contexts).select("key", F.col("ratio").cast("float").alias("ratio"))
 
 
 class Table:
@@ -182,54 +219,73 @@ class Table:
         return out, found
 
 
-def slice_sums(rows: DataFrame, model: tuple[np.ndarray, np.ndarray], part: int, parts: int) -> DataFrame:
-    """Adds to the columns of `rows`, whose last is the text: ratio (sum over the pieces of this slice) and length, without the text."""
+def slice_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """A gram and its context are of one slice."""
+    contexts = np.where(keys >= np.uint64(CONTEXT), keys - np.uint64(CONTEXT), keys >> np.uint64(8))
+    return (B.mix(contexts) % np.uint64(parts)).astype(np.int64)
+
+
+def word_sums(table: Table, keys: np.ndarray, words: np.ndarray, own: np.ndarray | None) -> np.ndarray:
+    """Per word number the sum of log-ratios, of the grams whose place in `own` is true."""
+    if own is not None:
+        keys, places = keys[own], words[own]
+    else:
+        places = words
+    ratio, found = table.get(keys)
+    left = np.flatnonzero(~found)
+    ratio[left] = table.get((keys[left] >> np.uint64(8)) + np.uint64(CONTEXT))[0]
+    return np.bincount(places, weights=ratio, minlength=int(words[-1]) + 1 if len(words) else 0)
+
+
+def slice_scores(rows: DataFrame, model: tuple[np.ndarray, np.ndarray], part: int, parts: int) -> DataFrame:
+    """The last columns of `rows` are text and, from the second slice on, sums (of words so far). All but the last slice give text
+    and sums; the last gives evidence instead."""
     shared = rows.sparkSession.sparkContext.broadcast(model)  # about SLICE_ROWS rows at most
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    text_at = len(rows.columns) - (2 if part else 1)
+    last = part == parts - 1
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: text_at + (not last)]) + (", evidence double" if last else ", sums binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(*shared.value)
         for batch in batches:
-            data, offsets = B.flat(batch.column(batch.num_columns - 1))
-            total, length = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1)
+            data, offsets = B.flat(batch.column(text_at))
+            evidence, packed = np.zeros(len(offsets) - 1), []
             for a, b, piece, off in B.slices(data, offsets):
-                keys, of, count = pieces(piece, off)
-                tf = 1 + np.log(count)
-                length[a:b] = np.bincount(of, weights=tf, minlength=b - a)
-                if parts > 1:
-                    own = B.mix(keys) % np.uint64(parts) == part
-                    keys, of, tf = keys[own], of[own], tf[own]
-                total[a:b] = np.bincount(of, weights=tf * table.get(keys)[0], minlength=b - a)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(total), pa.array(length)], names=[*batch.schema.names[:-1], "ratio", "length"])
-
-    return rows.mapInArrow(run, f"{fields}, ratio double, length double")
-
-
-def sums(rows: DataFrame, ratios: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """As slice_sums, over the whole model."""
-    n = ratios.count()
-    parts = max(1, -(-n // slice_rows))
+                keys, words, text = grams(piece, off)
+                ratio = word_sums(table, keys, words, slice_of(keys, parts) == part if parts > 1 else None)
+                used = np.flatnonzero(np.diff(words, prepend=-1)) if len(words) else np.zeros(0, np.int64)
+                of, ratio = text[used], ratio[words[used]]  # one entry a word, in order
+                if part:
+                    ratio = ratio + np.concatenate([np.frombuffer(batch.column(text_at + 1)[i].as_buffer(), np.float64) for i in range(a, b)])
+                if last:
+                    clear = np.bincount(of, weights=np.maximum(ratio - MARGIN, 0), minlength=b - a)
+                    evidence[a:b] = clear / (np.bincount(of, minlength=b - a) + STEADY)
+                else:
+                    ends = np.searchsorted(of, np.arange(b - a + 1))
+                    packed += [ratio[ends[i] : ends[i + 1]].tobytes() for i in range(b - a)]
+            columns = [*batch.columns[: text_at + (not last)], pa.array(evidence) if last else pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[: text_at + (not last)], "evidence" if last else "sums"])
+
+    return rows.mapInArrow(run, fields)
+
+
+def scores(rows: DataFrame, ratios: DataFrame, slice_rows: int | None = None) -> DataFrame:
+    """The columns of `rows`, whose last is the text, with evidence in the text's place."""
+    parts = max(1, -(-ratios.count() // (slice_rows or SLICE_ROWS)))
     if parts == 1:
-        return slice_sums(rows, fetched(ratios), 0, 1)
-    keyed = written(sliced(ratios, parts), "tox-slices")
-    names = rows.columns[:-1]
-    numbered = written(rows.withColumn("__row", F.monotonically_increasing_id()).select(*names, "__row", rows.columns[-1]), "tox-rows")
-    done = [written(slice_sums(numbered, fetched(keyed.where(F.col("slice") == k)), k, parts), "tox-part") for k in range(parts)]
-    union = done[0]
-    for d in done[1:]:
-        union = union.unionByName(d)
-    return union.groupBy("__row").agg(*[F.first(c).alias(c) for c in names], F.sum("ratio").alias("ratio"), F.first("length").alias("length")).select(*names, "ratio", "length")
-
-
-def sliced(ratios: DataFrame, parts: int) -> DataFrame:
-    """Adds the slice of each row, as the workers compute it."""
+        return slice_scores(rows, fetched(ratios), 0, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy().astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((B.mix(keys) % np.uint64(parts)).astype(np.int32))], names=["key", "ratio", "slice"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(slice_of(keys, parts).astype(np.int32))], names=["key", "ratio", "slice"])
 
-    return ratios.mapInArrow(run, "key long, ratio float, slice int")
+    keyed = written(ratios.mapInArrow(run, "key long, ratio float, slice int"), "tox-slices")
+    for k in range(parts):
+        rows = slice_scores(rows, fetched(keyed.where(F.col("slice") == k)), k, parts)
+        if k < parts - 1:
+            rows = written(rows, f"tox-sums{k}")
+    return rows
 
 
 def fetched(ratios: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -253,25 +309,25 @@ def fit_logistic(mean: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tup
 def detect(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic", threshold: float = 0.7) -> DataFrame:
     """One row per row of `docs`: key, held_out, score (0 to 1), predicted (1 if score >= threshold).
 
-    Learns from the labelled rows that are not held out: four fifths give the counts, one fifth (by a hash of the text) fits
-    the logistic. A text without letters, or null, has mean 0 and so gets the intercept's score. Null labels teach nothing; labels that
-    repeat a key count each. Without any label, or labels of one class only, scores are all 0.5 or that of the class's rate.
+    Learns from the labelled rows that are not held out: four fifths of their distinct texts give the counts, one fifth (by a
+    hash of the text) fits the logistic. A text without letters, or null, has evidence 0 and so the intercept's score. Null
+    labels teach nothing; a text counts once for each class that its rows are labelled with. Without any label, or with labels of
+    one class only, scores are all 0.5 or that of the class's rate. Empty tables give empty results; other columns are not read.
     """
     teach = labels.where(F.col(toxic).isNotNull() & ~held_out(F.col(key))).select(F.col(key).alias("__key"), F.col(toxic).cast("int").alias("toxic"))
     if teach.count() <= LABELS_TO_BROADCAST:  # else joined by shuffle
         teach = F.broadcast(teach)
-    slim = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("text"))
-    labelled = slim.join(teach, "__key").select("toxic", "text")
-    tuning = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(5)) == 0
-    grams = written(piece_counts(labelled.where(~tuning)), "tox-grams")
-    ratios = written(log_ratios(grams), "tox-ratios")
-    tuned = sums(labelled.where(tuning).select("toxic", "text"), ratios)
-    mean = F.col("ratio") / (F.col("length") + STEADY)
-    # a histogram of fixed size of all tuning rows, fine near zero
-    binned = F.round(F.asinh(mean * 200) * 200).cast("int")
-    rows = tuned.groupBy(binned.alias("bin"), "toxic").count().collect()
-    x = np.sinh(np.array([r[0] for r in rows], float) / 200) / 200
+    slim = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    labelled = slim.join(teach, "__key").select("toxic", "text").withColumn("h", F.xxhash64("text"))
+    labelled = written(labelled.groupBy("toxic", "h").agg(F.min("text").alias("text")), "tox-labelled")
+    tuning = F.pmod(F.col("h"), F.lit(5)) == 0
+    ratios = written(log_ratios(written(gram_counts(labelled.where(~tuning)), "tox-counts")), "tox-ratios")
+    tuned = scores(labelled.where(tuning).select("toxic", "text"), ratios)
+    feature = F.asinh(F.col("evidence") * 200)
+    # a histogram of fixed size of all tuning texts, fine near zero
+    rows = tuned.groupBy(F.round(feature * 200).cast("int").alias("bin"), "toxic").count().collect()
+    x = np.array([r[0] for r in rows], float) / 200
     slope, intercept = fit_logistic(x, np.array([float(r[1] == 1) for r in rows]), np.array([float(r[2]) for r in rows])) if rows else (0.0, 0.0)
-    scored = sums(slim, ratios)
-    score = 1 / (1 + F.exp(-(mean * slope + intercept)))
+    scored = scores(slim, ratios)
+    score = 1 / (1 + F.exp(-(feature * slope + intercept)))
     return scored.select(F.col("__key").alias(key), held_out(F.col("__key")).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -356,18 +356,110 @@ def test_toxicity(spark, monkeypatch):
     assert sum(right) / len(right) > 0.95 and got[5000].score == got[5001].score < 0.7
     # the same in slices
     monkeypatch.setattr(toxicity, "SLICE_ROWS", 300)
-    monkeypatch.setattr(toxicity.sums, "__defaults__", (300,))
     sliced = {r.doc_id: r.score for r in toxicity.detect(docs, labels).collect()}
     assert all(sliced[i] == pytest.approx(r.score, abs=1e-6) for i, r in got.items())
+    # copies of rows change nothing, and columns of the result's names are not read
+    twice = {r.doc_id: r.score for r in toxicity.detect(docs.union(docs).withColumnsRenamed({"toxic": "score"}), labels).collect()}
+    assert all(twice[i] == pytest.approx(r.score, abs=1e-9) for i, r in got.items())
     assert {r.score for r in toxicity.detect(docs, labels.limit(0)).collect()} == {0.5}
+    one_class = {r.score for r in toxicity.detect(docs, labels.where("toxic = 0")).collect()}
+    assert len(one_class) == 1 and max(one_class) < 0.5
+    assert toxicity.detect(docs.limit(0), labels).count() == 0
 
 
-def test_pieces_of_text():
-    keys, rows, counts = toxicity.pieces(*_bytes.flat(pa.array(["Stupid, stupid of a", None, "", "é1 ab"])))
-    text = lambda k: int(k).to_bytes(toxicity.ORDER, "big").lstrip(b"\0").decode()
-    own = {(int(r), text(k)): int(c) for k, r, c in zip(keys, rows, counts, strict=True)}
-    assert own[(0, " stup")] == 2 and own[(0, "upid ")] == 2 and own[(0, " of ")] == 1 and own[(0, " a ")] == 1
-    assert {k for r, k in own if r == 3} == {" é ", " ab "} and {r for r, _ in own} == {0, 3}
+def plain_grams(text):
+    """(gram, number of the word) byte by byte."""
+    out = []
+    for k, w in enumerate("".join(c if c.isascii() and c.isalpha() or ord(c) > 127 else " " for c in (text or "").lower()).split()):
+        b = b" " + w.encode() + b" "
+        out += [(b[max(0, i - toxicity.ORDER + 1) : i + 1], k) for i in range(1, len(b))]
+    return out
+
+
+def test_grams_of_text():
+    texts = ["Stupid, stupid of a", None, "", "  é1 ab-", "...", "unquestionable"]
+    keys, words, of = toxicity.grams(*_bytes.flat(pa.array(texts)))
+    for i, t in enumerate(texts):
+        own = [int(k).to_bytes(8, "big").lstrip(b"\0") for k in keys[of == i]]
+        assert own == [g for g, _ in plain_grams(t)], t
+        assert np.unique(words[of == i], return_inverse=True)[1].tolist() == [k for _, k in plain_grams(t)]
+    assert (np.diff(words) >= 0).all()
+
+
+def plain_model(texts):
+    """gram -> log-ratio, context -> log-ratio of what follows it unseen, from (toxic, text), all in plain Python."""
+    count = {0: {}, 1: {}}
+    for toxic, t in set(texts):
+        times = {}
+        for g, _ in plain_grams(t):
+            times[g] = times.get(g, 0) + 1
+        for g, n in times.items():
+            count[toxic][g] = count[toxic].get(g, 0) + min(n, toxicity.BURST)
+
+    def taken(values):
+        n = [max(1, sum(v == k for v in values)) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        d = [0.0] + [min(k, max(0.0, k - (k + 1) * y * n[k] / n[k - 1])) for k in (1, 2, 3)]
+        return lambda v: d[min(3, v)]
+
+    def totals(counts, d):
+        total, mass = {}, {}
+        for g, n in counts.items():
+            total[g[:-1]] = total.get(g[:-1], 0) + n
+            mass[g[:-1]] = mass.get(g[:-1], 0) + d(n)
+        return total, mass
+
+    levels = [{g: count[0].get(g, 0) + count[1].get(g, 0) for g in count[0].keys() | count[1].keys()}]
+    for _ in range(toxicity.ORDER - 1):
+        shorter = {}
+        for g in levels[-1]:
+            if len(g) > 1:
+                shorter[g[1:]] = shorter.get(g[1:], 0) + 1
+        levels.append(shorter)
+    p = {}
+    for counts in reversed(levels):
+        d = taken(list(counts.values()))
+        total, mass = totals(counts, d)
+        p = {g: (n - d(n) + mass[g[:-1]] * p.get(g[1:], 1 / toxicity.SYMBOLS)) / total[g[:-1]] for g, n in counts.items()}
+    probability, unseen = {}, {}
+    for c in (0, 1):
+        d = taken([n for n in count[c].values()])
+        total, mass = totals(count[c], d)
+        for g in levels[0]:
+            n, at, free = count[c].get(g, 0), total.get(g[:-1], 0) + toxicity.PRIOR, mass.get(g[:-1], 0) + toxicity.PRIOR
+            probability[c, g] = (n - d(n) + free * p[g]) / at
+            unseen[c, g[:-1]] = free / at
+    return {g: np.log(probability[1, g] / probability[0, g]) for g in levels[0]}, {g[:-1]: np.log(unseen[1, g[:-1]] / unseen[0, g[:-1]]) for g in levels[0]}, p
+
+
+def test_kneser_ney_equals_plain_python(spark):
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choices(["an", "e", "tor", "il", "é", "ss"], k=rng.randrange(1, 5)))
+    texts = [(int(i % 3 == 0), " ".join(word() if rng.random() < 0.8 else ("vile" if i % 3 == 0 else "kind") for _ in range(rng.randrange(1, 40)))) for i in range(150)]
+    rows = spark.createDataFrame(texts, "toxic int, text string").distinct()
+    counts = toxicity.gram_counts(rows.repartition(3)).persist()
+    ratio, unseen, p = plain_model(texts)
+    packed = lambda g: int.from_bytes(g, "big")
+    shared = {r.key: r.p for r in toxicity.shared_backoff(counts).collect()}
+    assert shared == pytest.approx({packed(g): p[g] for g in ratio})
+    by_context = {}
+    for g in ratio:
+        by_context.setdefault(g[:-1], []).append(p[g])
+    assert all(sum(x) <= 1 + 1e-9 for x in by_context.values())
+    got = {r.key: r.ratio for r in toxicity.log_ratios(counts, prune=0.0).collect()}
+    want = {packed(g): r for g, r in ratio.items() if abs(r - unseen[g[:-1]]) > 0} | {toxicity.CONTEXT + packed(c): r for c, r in unseen.items() if abs(r) > 0}
+    assert {k for k, r in want.items() if abs(r) > 1e-9} <= set(got)
+    assert all(got[k] == pytest.approx(want.get(k, 0.0), abs=1e-5) for k in got)
+    # evidence of whole texts, in one slice and in several
+    odd = [*[t for _, t in texts[:40]], None, "", "12 !", "vile " * 500, "unheard of zzz"]
+    frame_ = spark.createDataFrame(list(enumerate(odd)), "id int, text string")
+    table = toxicity.log_ratios(counts, prune=0.0).persist()
+    for size in (10**6, 50):
+        for r in toxicity.scores(frame_, table, size).collect():
+            sums = {}
+            for g, k in plain_grams(odd[r.id]):
+                sums[k] = sums.get(k, 0.0) + ratio.get(g, unseen.get(g[:-1], 0.0))
+            assert r.evidence == pytest.approx(sum(max(0.0, x - toxicity.MARGIN) for x in sums.values()) / (len(sums) + toxicity.STEADY), abs=1e-5)
 
 
 def test_language_sample_is_bounded_by_distinct_texts(spark):
