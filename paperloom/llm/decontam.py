@@ -130,7 +130,8 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = 0.8, key: str = "
     slim = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     hits = probed(slim, probes)
     # documents with a probe once more: each with its places in one row
-    x = slim.withColumn("t", F.xxhash64("text")).join(hits.select(F.col("doc").alias("d"), F.col("t").alias("ht"), "hits"), F.col("doc").eqNullSafe(F.col("d")) & (F.col("t") == F.col("ht")))
+    x = among(slim.withColumn("t", F.xxhash64("text")), "t", hits.select(F.col("t").alias("ht")).distinct())  # others need not be shuffled
+    x = x.join(hits.select(F.col("doc").alias("d"), F.col("t").alias("ht"), "hits"), F.col("doc").eqNullSafe(F.col("d")) & (F.col("t") == F.col("ht")))
     tested = let(shingles(F.col("text")), lambda runs: F.struct(collisions(runs, F.col("hits")).alias("met"), F.array_distinct(runs).alias("set")))
     met = written(x.select("doc", tested.alias("x")).select("doc", "x.met", "x.set").where(F.size("met") > 0), "decontam-met")
     collided = met.select("doc", F.explode("met").alias("c")).select("doc", "c.h", "c.m", F.explode("c.masks").alias("s")).distinct()
