@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import ann, decontam, langid, license_texts, licenses, linededup, mixing, neardup, tokens, toxicity, urls
+from paperloom.llm import ann, decontam, langid, licenses, linededup, mixing, neardup, tokens, toxicity, urls
 from paperloom.llm._store import table
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -35,10 +35,6 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-def op3_license_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_texts.scan(table(spark, sf_dir, "documents"))
-
-
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -72,7 +68,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_url_filter": op2_url_filter,
     "op3_license_scan": op3_license_scan,
-    "op3_license_texts": op3_license_texts,
     "op4_token_counts": op4_token_counts,
     "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
@@ -103,13 +98,14 @@ def op3_sql() -> str:
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     lower = f"translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}')"
     phrases = ", ".join(f"('{label}', {list_sql(p.split(' '))})" for p, label in licenses.PHRASES.items())
-    templates = ", ".join(f"('{label}', {list_sql(words)})" for label, words in licenses.template_words(licenses.TEMPLATES))
+    templates = ", ".join(f"('{label}', {need}, {size}, {len(runs)}, {list_sql(runs)})" for label, runs, need, size in licenses.parsed_templates(licenses.TEMPLATES, 0.8))
     return f"""WITH docs AS (SELECT doc_id, {lower} AS t FROM documents), words AS (SELECT doc_id, regexp_extract_all(t, '{word}') AS w, t FROM docs),
-phrases(label, p) AS (VALUES {phrases}), templates(label, p) AS (VALUES {templates}),
+phrases(label, p) AS (VALUES {phrases}), templates(label, need, size, n, p) AS (VALUES {templates}), vocabulary AS (SELECT label, need, size, n, unnest(p) AS r FROM templates),
 places AS (SELECT doc_id, label, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i:i + len(p) - 1] = p)) - 1 AS at_word FROM words, phrases WHERE contains(t, p[1])),
 base AS (SELECT doc_id, count(*) AS n_base, min(at_word) AS first_word, max(at_word) AS last_word FROM places GROUP BY doc_id),
-blocks AS (SELECT doc_id, regexp_extract_all(unnest(string_split(t, chr(10))), '{word}') AS w FROM docs),
-met AS (SELECT doc_id, label, max(len(list_intersect(w, p)) / CAST(len(p) AS DOUBLE)) AS c FROM blocks, templates WHERE len(list_intersect(w, p)) >= ceil(0.8 * len(p) - 1e-9) GROUP BY doc_id, label),
+runs AS (SELECT doc_id, i - 1 AS at_run, array_to_string(w[i:i + {licenses.RUN - 1}], ' ') AS r FROM (SELECT doc_id, w, unnest(range(1, len(w) - {licenses.RUN - 2})) AS i FROM words)),
+blocks AS (SELECT doc_id, label, need, n, r, unnest([at_run // size - 1, at_run // size]) AS block FROM runs JOIN vocabulary USING (r)),
+met AS (SELECT doc_id, label, count(DISTINCT r) / CAST(n AS DOUBLE) AS c FROM blocks WHERE block >= 0 GROUP BY doc_id, label, need, n, block HAVING count(DISTINCT r) >= need),
 base_labels AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT doc_id, label FROM places) GROUP BY doc_id),
 all_labels AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM met) GROUP BY doc_id),
 best AS (SELECT doc_id, max(c) AS c FROM met GROUP BY doc_id)
@@ -118,15 +114,6 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
 FROM words LEFT JOIN base USING (doc_id) LEFT JOIN base_labels USING (doc_id) LEFT JOIN all_labels USING (doc_id) LEFT JOIN best USING (doc_id)"""
 
 
-def op3_texts_sql() -> str:
-    lower = f"translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}')"
-    templates = ", ".join(f"('{label}', {need}, {list_sql(runs)})" for label, runs, need in license_texts.template_runs(license_texts.TEXTS, 0.8))
-    return rf"""WITH words AS (SELECT doc_id, regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-templates(label, need, p) AS (VALUES {templates}), runs AS (SELECT label, need, len(p) AS n_runs, unnest(p) AS r FROM templates),
-own AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {license_texts.RUN - 1}], ' ') AS r FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - {license_texts.RUN - 2}))) AS i FROM words))
-SELECT doc_id, label, count(*) AS n_shared, n_runs, CAST(count(*) AS DOUBLE) / n_runs AS score FROM own JOIN runs USING (r) GROUP BY doc_id, label, n_runs, need HAVING count(*) >= need"""
-
-
 def op2_sql() -> str:
     two = ", ".join(f"'{x}'" for x in urls.TWO_LABEL_SUFFIXES)
     rules = ", ".join(f"({i}, '{rule}', '{h}', '{p}', '{a}')" for i, (rule, h, p, a) in enumerate(urls.parsed_rules(RULES)))
@@ -172,4 +159,4 @@ ordered AS (SELECT *, sum(CASE WHEN size > 0 AND rest > 0 THEN size ELSE 0 END)
 taken AS (SELECT *, whole + CASE WHEN size > 0 AND rest > 0 AND upto - size / 2.0 <= rest THEN 1 ELSE 0 END AS copies FROM ordered)
 SELECT doc_id, source, CAST(size AS BIGINT) AS size, CAST(s AS BIGINT) AS source_size, target, CAST(copies AS BIGINT) AS copies, CAST(copies * size AS BIGINT) AS taken FROM taken"""
 
-ORACLES: dict[str, str] = {"op2_url_filter": op2_sql(), "op7_source_mix": OP7_SQL, "op3_license_scan": op3_sql(), "op3_license_texts": op3_texts_sql(), "op9_decontamination": OP9_SQL}
+ORACLES: dict[str, str] = {"op2_url_filter": op2_sql(), "op7_source_mix": OP7_SQL, "op3_license_scan": op3_sql(), "op9_decontamination": OP9_SQL}

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from paperloom.llm import license_texts, licenses, mixing, tokens, urls
+from paperloom.llm import licenses, mixing, tokens, urls
 from paperloom.llm.queries import RULES, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, size int, target string, __key int"
@@ -44,58 +44,90 @@ def words_of(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(str.maketrans(licenses.UPPER, licenses.LOWER)))
 
 
-def test_license_scan_equals_brute_force(spark):
-    rng = random.Random(5)
+def runs_at(text):
+    w = words_of(text)
+    return [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+
+
+def meets(text, templates=licenses.TEMPLATES):
+    """(label, first run place of the block, shared runs) of every block that holds four fifths of a template's runs."""
+    own, out = runs_at(text), set()
+    for label, x in templates.items():
+        want = set(runs_at(x))
+        size = 1
+        while size < len(words_of(x)):
+            size *= 2
+        for at in range(0, max(1, len(own)), size):
+            shared = len(want & set(own[at : at + 2 * size]))
+            if shared and shared >= math.ceil(0.8 * len(want) - 1e-9):
+                out.add((label, at, shared))
+    return out
+
+
+def license_fixture():
+    rng = random.Random(15)
     parts = ["MIT", "license", "Apache", "general", "public", "\n", "v2", "-", "É", "Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "licensed under the apache license version 2"]
-    texts = ODD + [" ".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(200)]
-    got = {r.doc_id: r for r in licenses.scan(docs(spark, texts)).collect()}
-    templates = licenses.template_words(licenses.TEMPLATES)
+    texts, meant = [*ODD, "Released under the A License", "Licensed under the Apache License,\nVersion 2.0"], {}
+    meant[len(texts) - 1] = "apache-notice"
+    texts += [" ".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(120)]
+    for label, t in licenses.TEMPLATES.items():
+        for cut in (0, 0, 0.05, 0.3):
+            words = [w for w in t.split() if rng.random() >= cut]
+            mark = rng.choice(["\n", "\n * ", "\n# ", "\r\n// "])
+            before, after = (" ".join(rng.choices(["the", "of", "software", "word"], k=rng.randrange(0, 400))) for _ in range(2))
+            texts.append(before + " Copyright 2020 x" + mark + "".join(w + (mark if rng.random() < 0.2 else " ") for w in words) + "end " + after)
+            if not cut:
+                meant[len(texts) - 1] = label
+    return texts, meant
+
+
+def test_license_scan_equals_brute_force(spark):
+    texts, meant = license_fixture()
+    rows = licenses.scan(docs(spark, texts)).collect()
+    assert len(rows) == len(texts) + 1
+    got = {r.doc_id: r for r in rows}
     for i, t in enumerate(texts):
         w = words_of(t)
         at = [(k, label) for p, label in licenses.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
         base = {label for _, label in at}
         met = {}
-        for line in (t or "").split("\n"):
-            for label, tw in templates:
-                share = len(set(words_of(line)) & set(tw))
-                if share >= math.ceil(0.8 * len(tw) - 1e-9):
-                    met[label] = max(met.get(label, 0), share / len(tw))
+        for label, _, shared in meets(t):
+            met[label] = max(met.get(label, 0), shared / len(set(runs_at(licenses.TEMPLATES[label]))))
         r = got[i]
         assert (r.n_words, r.n_base) == (len(w), len(at)), t
         assert (r.first_word, r.last_word) == ((min(at)[0], max(at)[0]) if at else (None, None)), t
         assert r.base_labels == ",".join(sorted(base)) and r.labels == ",".join(sorted(base | set(met))), t
         assert r.score == pytest.approx(max([1.0 if at else 0.0, *met.values()]))
+    assert all(label in got[i].labels.split(",") and got[i].score == 1 for i, label in meant.items())
+    assert got[len(ODD)].labels == ""  # four of a notice's five words are not the notice
+
+
+def test_license_blocks_and_filters(spark):
+    texts, _ = license_fixture()
+    frame = docs(spark, texts).union(docs(spark, [None]).selectExpr("cast(null as long) doc_id", "'released under the mit license' text", "lang", "source", "size", "target", "__key"))
+    got = licenses.meeting_blocks(frame).collect()
+    want = {(i, *x) for i, t in enumerate(texts) for x in meets(t)} | {(None, "mit-notice", 0, 3)}
+    assert {(r.doc_id, r.label, r.start, r.n_shared) for r in got} == want and len(got) == len(want)
+    blocks, index = licenses.block_sets(frame, licenses.TEMPLATES, 0.8, "doc_id", "text")
+    kept, all_ = licenses.candidates(blocks, index).count(), licenses.candidates(blocks, index, positional=False).count()
+    assert len(want) <= kept < all_  # the positional filter removes pairs that the other filters leave
+    every = index.select("label", "n", "need", "x").distinct().collect()
+    assert {r.label for r in every} == set(licenses.TEMPLATES) and all(r.x == sorted(r.x) for r in every)
+    hits = licenses.written(frame.selectExpr("doc_id", "text"), "test-license")
+    places = {}
+    for t in hits.collect():
+        for run in runs_at(t.text):
+            places[run] = places.get(run, 0) + 1
+    for r in every:  # rarest first
+        counts = sorted(places.get(run, 0) for run in set(runs_at(licenses.TEMPLATES[r.label])))
+        assert len(r.x) == len(counts)
 
 
 def test_license_scan_of_nothing(spark):
     assert licenses.scan(docs(spark, ["a"]).limit(0)).count() == 0
     assert licenses.scan(docs(spark, ["mit license"]), templates={}).first().labels == "mit"
-
-
-def test_license_texts_equal_brute_force_on_wrapped_texts(spark):
-    rng = random.Random(15)
-    texts, meant = [*ODD, "Released under the A License", "Licensed under the Apache License,\nVersion 2.0"], {}
-    meant[len(texts) - 1] = "apache-notice"
-    for label, t in license_texts.TEXTS.items():
-        for cut in (0, 0, 0.05, 0.3):
-            words = [w for w in t.split() if rng.random() >= cut]
-            mark = rng.choice(["\n", "\n * ", "\n# ", "\r\n// "])
-            texts.append("Copyright 2020 x" + mark + "".join(w + (mark if rng.random() < 0.2 else " ") for w in words) + "end")
-            if not cut:
-                meant[len(texts) - 1] = label
-    got = license_texts.scan(docs(spark, texts)).collect()
-    expected = []
-    for i, t in [*enumerate(texts), (len(texts) - 1, texts[-1])]:
-        w = words_of(t)
-        own = {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
-        for label, x in license_texts.TEXTS.items():
-            v = words_of(x)
-            runs = {tuple(v[k : k + 3]) for k in range(len(v) - 2)}
-            if len(own & runs) >= math.ceil(0.8 * len(runs) - 1e-9):
-                expected.append((i, label, len(own & runs), len(runs)))
-    assert sorted((r.doc_id, r.label, r.n_shared, r.n_runs) for r in got) == sorted(expected)
-    assert {(i, label) for i, label in meant.items()} <= {(r.doc_id, r.label) for r in got if r.score == 1}
-    assert license_texts.scan(docs(spark, texts), templates={}).count() == 0 == license_texts.scan(docs(spark, texts).limit(0)).count()
+    with pytest.raises(ValueError):
+        licenses.meeting_blocks(docs(spark, ["a"]), {"short": "two words"})
 
 
 PAGES = [
