@@ -27,7 +27,7 @@ def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is the quality label of the document of the same id: quality 0 is bad."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
-    judged = urls.filter_urls(table(spark, sf_dir, "pages"), labels, RULES, block_above=0.25)
+    judged = urls.filter_urls(table(spark, sf_dir, "pages"), labels, RULES, block_lift=1.25)
     return judged.withColumns({c: F.round(c, 6) for c in ("bad_rate", "lower", "upper")})
 
 
@@ -115,12 +115,12 @@ FROM words LEFT JOIN base USING (doc_id) LEFT JOIN base_labels USING (doc_id) LE
 
 
 def op2_sql() -> str:
-    two = ", ".join(f"'{x}'" for x in urls.TWO_LABEL_SUFFIXES)
+    pair = f"regexp_extract(host, '{urls.COUNTRY_SUFFIX}', 1)"
     rules = ", ".join(f"({i}, '{rule}', '{h}', '{p}', '{a}')" for i, (rule, h, p, a) in enumerate(urls.parsed_rules(RULES)))
     sql = [
         f"""WITH urls AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{urls.UPPER}', '{urls.LOWER}') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)""",
         "named AS (SELECT u.host, count(l.quality) AS n, coalesce(sum(1 - l.quality), 0) AS k, string_split(u.host, '.') AS parts FROM urls u LEFT JOIN labels l ON u.page_id = l.doc_id GROUP BY u.host)",
-        f"hosts AS (SELECT *, CASE WHEN array_to_string(parts[-2:], '.') IN ({two}) THEN array_to_string(parts[-2:], '.') ELSE parts[-1] END AS suffix FROM named)",
+        f"hosts AS (SELECT *, CASE WHEN {pair} <> '' THEN {pair} ELSE parts[-1] END AS suffix FROM named)",
         "placed AS (SELECT *, CASE WHEN contains(suffix, '.') THEN array_to_string(parts[-3:], '.') ELSE array_to_string(parts[-2:], '.') END AS domain FROM hosts)",
         "overall AS (SELECT (sum(k) + 0.5::DOUBLE) / (sum(n) + 1.0::DOUBLE) AS p FROM placed)",
     ]
@@ -134,7 +134,7 @@ def op2_sql() -> str:
     sql.append(f"rules(pos, rule, r_host, r_path, action) AS (VALUES {rules})")
     sql.append("fits AS (SELECT page_id, min(pos) AS pos FROM urls, rules WHERE (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path) GROUP BY page_id)")
     return ",\n".join(sql) + """
-SELECT u.page_id, u.host, u.path, r.rule, coalesce(r.action, CASE WHEN greatest(0.0, rate - d) > 0.25 THEN 'block' ELSE 'allow' END) AS verdict, CAST(b.n AS BIGINT) AS n_labelled,
+SELECT u.page_id, u.host, u.path, r.rule, coalesce(r.action, CASE WHEN greatest(0.0, rate - d) > 1.25 * (SELECT p FROM overall) THEN 'block' ELSE 'allow' END) AS verdict, CAST(b.n AS BIGINT) AS n_labelled,
   round(rate, 6) AS bad_rate, round(greatest(0.0::DOUBLE, rate - d), 6) AS lower, round(least(1.0::DOUBLE, rate + d), 6) AS upper
 FROM urls u JOIN bounds b USING (host) LEFT JOIN fits f ON f.page_id = u.page_id LEFT JOIN rules r ON r.pos = f.pos"""
 

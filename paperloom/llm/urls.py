@@ -2,7 +2,7 @@
 
 Labelled page outcomes are counted per host, registered domain, suffix and overall. Each level's bad rate is shrunk towards
 its parent's through a beta-binomial prior whose strength is estimated by the method of moments over that level's children.
-A host is blocked when the lower bound of its posterior bad rate exceeds `block_above`.
+A host is blocked when the lower bound of its posterior bad rate exceeds `block_lift` times the overall rate.
 """
 
 from __future__ import annotations
@@ -12,10 +12,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm._store import written
+from paperloom.llm.components import HOT_KEYS, HOT_ROWS, dealt, repeated
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# Public suffixes of two labels that the engine knows; elsewhere the suffix is the last label.
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "org.au", "org.uk")
+# Labels that registries of countries use before their two letters; such a pair is a suffix (co.uk, edu.au, gov.in).
+COUNTRY_LABELS = "ac co com edu go gob gouv gov govt id ltd mil ne net nhs nic nom or org plc sch".split()
+COUNTRY_SUFFIX = rf"(?:^|\.)((?:{'|'.join(COUNTRY_LABELS)})\.[a-z][a-z])$"
 INLINE_RULES = 256
+HOT_SALTS = 64
 LEVELS = ("all", "suffix", "domain", "host")
 
 
@@ -30,14 +35,22 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)\A.*?://[^/?#]*([^?#]*)", 1)
 
 
-def suffix_of(host: Column) -> Column:
-    last_two = F.substring_index(host, ".", -2)
-    return F.when(last_two.isin(*TWO_LABEL_SUFFIXES), last_two).otherwise(F.substring_index(host, ".", -1))
+def suffix_of(host: Column, more: Sequence[str] = ()) -> Column:
+    """The last two labels where they are a country's usual pair, else the last; or the longest of the suffixes `more`, such as
+    those of a public list (at most some thousands, of up to four labels)."""
+    pair = F.regexp_extract(host, COUNTRY_SUFFIX, 1)
+    out = F.when(pair != "", pair).otherwise(F.substring_index(host, ".", -1))
+    for k in sorted({x.count(".") + 1 for x in more}):
+        tail = F.substring_index(host, ".", -k)
+        out = F.when(tail.isin(*[x for x in more if x.count(".") + 1 == k]), tail).otherwise(out)
+    return out
 
 
 def domain_of(host: Column, suffix: Column) -> Column:
     """One label more than the suffix; the host itself if it has no more."""
-    return F.when(suffix.contains("."), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+    labels = F.size(F.split(suffix, r"\.")) + 1
+    parts = F.split(host, r"\.")
+    return F.array_join(F.slice(parts, F.greatest(F.size(parts) - labels + 1, F.lit(1)), labels), ".")
 
 
 def parsed_rules(rules: Sequence[tuple[str, str]]) -> list[tuple[str, str, str, str]]:
@@ -84,16 +97,21 @@ def with_rule(urls: DataFrame, rules: Sequence[tuple[str, str]], inline: int = I
     return urls.join(best, ["host", "path"], "left")
 
 
-def reputations(outcomes: DataFrame, z: float = 1.645) -> tuple[DataFrame, dict]:
-    """Posterior bad rates of hosts from rows of (host, bad 0/1/null); null outcomes don't count.
+def host_counts(labelled: DataFrame, suffixes: Sequence[str] = ()) -> DataFrame:
+    """host, suffix, domain, n, k (bad), rows, from rows of (host, bad 0/1/null): counted once, the rest works on this table."""
+    hosts = labelled.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("k"), F.count("*").alias("rows"))
+    hosts = hosts.withColumn("suffix", suffix_of(F.col("host"), suffixes))
+    return written(hosts.withColumn("domain", domain_of(F.col("host"), F.col("suffix"))), "url-hosts")
+
+
+def reputations(hosts: DataFrame, z: float = 1.645) -> tuple[DataFrame, dict]:
+    """Posterior bad rates of hosts from their counts.
 
     Returns a table (host, n, n_bad, rate, lower, upper) of all hosts, those without outcomes included (their posterior is the
     prior that their registered domain gives), with the overall rate and the strengths. The strength M of the prior of a level is estimated from its children: with n_i outcomes, k_i of them bad
     and parent rate p_i, E[(k_i - n_i p_i)^2] = n_i p_i (1 - p_i) (1 + (n_i - 1) rho), so rho is the ratio of summed excess
     to summed weight, held within [0.001, 0.999], and M = 1/rho - 1. Bounds are z posterior standard deviations from the mean.
     """
-    hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("k"))
-    hosts = hosts.withColumn("suffix", suffix_of(F.col("host"))).withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
     levels = {
         "suffix": hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")),
         "domain": hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")),
@@ -120,19 +138,24 @@ def reputations(outcomes: DataFrame, z: float = 1.645) -> tuple[DataFrame, dict]
     return table, {"rate": overall, "strengths": strengths, "n": total["n"]}
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]], block_above: float, url: str = "url", key: str = "page_id", z: float = 1.645) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]], block_lift: float = 1.25, url: str = "url", key: str = "page_id", z: float = 1.645, suffixes: Sequence[str] = ()) -> DataFrame:
     """One row per row of `pages`: key, host, path, rule, verdict (allow or block), n_labelled, bad_rate, lower, upper.
 
     `outcomes` has (key, bad): 1 bad, 0 good, null unknown; rows that repeat a key count each, with each page of that key.
-    A rule's verdict wins; else a host is blocked if the lower bound of its posterior bad rate is above `block_above`. Null
-    urls and those without `://` share the empty host; a host without outcomes has its registered domain's prior. Other
-    columns, whatever their names, are not read; an empty table gives an empty result.
+    A rule's verdict wins; else a host is blocked if the lower bound of its posterior bad rate is above `block_lift` times the
+    overall rate: where outcomes don't depend on hosts, none is. Null urls and those without `://` share the empty host; a host
+    without outcomes has its registered domain's prior. Other columns, whatever their names, are not read; an empty table gives
+    an empty result. A host of very many pages is joined split.
     """
     urls = pages.select(F.col(key).alias("__key"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     labelled = urls.join(outcomes.select(F.col(key).alias("__key"), F.col("bad").cast("int").alias("bad")), "__key", "left").select("host", "bad")
-    table, _ = reputations(labelled, z)
-    judged = with_rule(urls, rules).join(table, "host")
-    method = F.when(F.col("lower") > block_above, "block").otherwise("allow")
+    hosts = host_counts(labelled, suffixes)
+    table, overall = reputations(hosts, z)
+    total = hosts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    # hosts with one of HOT_KEYS equal shares of the pages: at most HOT_KEYS
+    hot = hosts.where(F.col("rows") >= max(HOT_ROWS, -(-total // HOT_KEYS))).select("host", F.lit(HOT_SALTS).alias("salts"))
+    judged = dealt(with_rule(urls, rules), hot, "host", "__salt").join(repeated(written(table, "url-rates"), hot, "host", "__salt"), ["host", "__salt"])
+    method = F.when(F.col("lower") > block_lift * overall["rate"], "block").otherwise("allow")
     return judged.select(
         F.col("__key").alias(key), "host", "path", "rule", F.coalesce("rule_action", method).alias("verdict"),
         F.col("n").cast("long").alias("n_labelled"), F.col("rate").alias("bad_rate"), "lower", "upper",

@@ -5,8 +5,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from paperloom.llm import licenses, mixing, tokens, urls
+from paperloom.llm import licenses, mixing, queries, tokens, urls
 from paperloom.llm.queries import RULES, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, size int, target string, __key int"
@@ -139,7 +140,7 @@ PAGES = [
 def test_rules_and_hosts(spark):
     pages = spark.createDataFrame([(i, u, "h", 1) for i, u in enumerate(PAGES)], "page_id long, url string, html string, host int")
     none = spark.createDataFrame([], "page_id long, bad int")
-    got = {r.page_id: r for r in urls.filter_urls(pages, none, RULES, 0.25).collect()}
+    got = {r.page_id: r for r in urls.filter_urls(pages, none, RULES).collect()}
     assert len(got) == len(PAGES)
     for i, u in enumerate(PAGES):
         m = re.search(r"://([^/?#]*)([^?#]*)", u or "")
@@ -155,12 +156,41 @@ def test_reputation_shrinks_and_blocks(spark):
     rows = [(i, f"http://h{i % 40}.a.com/{i}") for i in range(4000)] + [(5000 + i, "http://bad.b.com/") for i in range(100)] + [(6000, "http://one.a.com/"), (6001, "http://new.b.com/")]
     pages = spark.createDataFrame(rows, "page_id long, url string")
     bad = spark.createDataFrame([(i, int(i // 40 % 20 == 0) if i < 4000 else 1) for i, _ in rows if i != 6001], "page_id long, bad int")
-    got = {r.page_id: r for r in urls.filter_urls(pages, bad, (), 0.5).collect()}
+    got = {r.page_id: r for r in urls.filter_urls(pages, bad, (), 2.0).collect()}
     assert got[5000].verdict == "block" and got[1].verdict == "allow"
     assert got[6000].verdict == "allow" and got[6000].bad_rate < 1  # one bad page says little
     assert got[6001].n_labelled == 0 and got[6001].bad_rate > got[1].bad_rate  # from its registered domain
 
 
+def test_suffixes_and_domains(spark):
+    hosts = {"a.b.co.uk": ("co.uk", "b.co.uk"), "x.edu.au": ("edu.au", "x.edu.au"), "gov.in": ("gov.in", "gov.in"), "www.example.com": ("com", "example.com"), "com.example": ("example", "com.example"), "localhost": ("localhost", "localhost"), "": ("", ""), "a.b.city.kawasaki.jp": ("jp", "kawasaki.jp")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    x = df.select("host", urls.suffix_of(F.col("host")).alias("s")).withColumn("d", urls.domain_of(F.col("host"), F.col("s")))
+    assert {r.host: (r.s, r.d) for r in x.collect()} == hosts
+    x = df.select("host", urls.suffix_of(F.col("host"), ("kawasaki.jp", "city.kawasaki.jp", "example")).alias("s")).withColumn("d", urls.domain_of(F.col("host"), F.col("s")))
+    assert {r.host: (r.s, r.d) for r in x.collect()}["a.b.city.kawasaki.jp"] == ("city.kawasaki.jp", "b.city.kawasaki.jp")
+
+
+def test_planted_bad_host_is_blocked_by_the_query(spark, tmp_path, monkeypatch):
+    """Through the registered query: one bad host among ordinary ones, a hot host, rules that win, repeated and empty rows."""
+    monkeypatch.setattr(urls, "HOT_ROWS", 100)
+    rng = random.Random(9)
+    pages = [(i, f"https://h{i % 30}.site{i % 6}.example.com/p{i}") for i in range(1500)] + [(i, f"https://bad.site1.example.com/{i}") for i in range(1500, 1560)] + [(i, f"https://hot.example.org/{i}") for i in range(1560, 2600)]
+    pages += [(2600, "https://bad.site1.example.com/de/x"), (2601, None), (1501, pages[1501][1]), (2602, "https://a.bad.net/")]
+    labels = [(i, int(rng.random() < 0.9) if not 1500 <= i < 1560 else 0, 0) for i in range(2600) if i % 2]
+    spark.createDataFrame(pages, "page_id long, url string").repartition(5).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels + [(2601, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = queries.QUERIES["op2_url_filter"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(pages)
+    by = {}
+    for r in rows:
+        by.setdefault((r.host, r.rule), set()).add(r.verdict)
+    assert by.pop(("bad.site1.example.com", None)) == {"block"} and by.pop(("bad.site1.example.com", "example.com/de/")) == {"block"} and by.pop(("a.bad.net", "net/")) == {"block"}
+    assert all(v == {"allow"} for v in by.values())
+    spark.createDataFrame([], "page_id long, url string").write.mode("overwrite").parquet(f"{tmp_path}/pages.parquet")
+    assert queries.QUERIES["op2_url_filter"](spark, str(tmp_path)).count() == 0
+
+
 def test_mix_meets_targets(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(["w"] * rng.randrange(0, 60)), rng.choice(["a", "b", "b", "b", "b", None, "é", "d"]), 1) for i in range(3000)] + [(7, None, "a", 1), (8, "", "only-empty", 2)]
