@@ -14,6 +14,8 @@ from paperloom.functions.text import SPACE, let, rstrip, strings, strip
 OPEN, MID, SHUT = "\ufdd0", "\ufdd1", "\ufdd2"
 REFERENCE_LENGTH = 20
 CAPTION_WINDOW = 300
+SHORTEST_TABLE = 10
+# The patterns that say what a heading, a reference heading, a table and a caption are.
 HEADING = rf"(?md)^{SPACE}{{0,3}}(#{{1,6}}){SPACE}+(.+?){SPACE}*$"
 REFERENCES = rf"(?imdu)^{SPACE}{{0,3}}#{{1,6}}{SPACE}+\**{SPACE}*(?:references|bibliography|works{SPACE}+cited|literature{SPACE}+cited){SPACE}*\**{SPACE}*$"
 TABLE = rf"(?md)(?:\n|^)(?:\|[^\n]*\|\n)(?:\|[{SPACE[1:-1]}:|-]+\|\n)(?:\|[^\n]*\|\n)+"
@@ -82,22 +84,20 @@ def tables(md: Column, window: int = CAPTION_WINDOW) -> Column:
     column 0 and closed by `|`; the caption is looked for in the `window` characters before; page is always 0."""
     marked = F.split(F.regexp_replace(_guarded(md), TABLE, f"{OPEN}$0{SHUT}"), OPEN)
 
+    # a match has at least ten characters, so the window lies within so many parts
+    reach = -(-window // SHORTEST_TABLE) + 1
+
     def found(parts: Column) -> Column:
-        plain = F.transform(parts, lambda p: F.replace(p, F.lit(SHUT), F.lit("")))
+        tails = F.transform(parts, lambda p: F.right(F.replace(p, F.lit(SHUT), F.lit("")), F.lit(window)))
 
-        def with_offsets(texts: Column) -> Column:
+        def with_captions(ends: Column) -> Column:
             def one(p: Column, i: Column) -> Column:
-                # what precedes the match: only its last `window` characters are needed
-                before = F.array_join(F.slice(texts, 1, i), "")
-                return F.struct(
-                    (i - 1).alias("index"), strip(F.substring_index(p, SHUT, 1)).alias("markdown"),
-                    let(before, lambda b: caption_in(F.substring(b, F.greatest(F.length(b) - window + 1, F.lit(1)), F.lit(window)))).alias("caption"),
-                    F.lit(0).alias("page"),
-                )
+                before = F.right(F.array_join(F.slice(ends, F.greatest(i - (reach - 1), F.lit(1)), F.least(i, F.lit(reach))), ""), F.lit(window))
+                return F.struct((i - 1).alias("index"), strip(F.substring_index(p, SHUT, 1)).alias("markdown"), caption_in(before).alias("caption"), F.lit(0).alias("page"))
 
             return F.filter(F.transform(parts, lambda p, i: F.when(i > 0, one(p, i))), lambda t: t.isNotNull())
 
-        return let(plain, with_offsets)
+        return let(tails, with_captions)
 
     return let(marked, found)
 
