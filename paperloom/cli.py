@@ -27,6 +27,7 @@ def figure_lines(figures: Column) -> Column:
 
 
 def parser() -> argparse.ArgumentParser:
+    # Names of arguments and flags, and their defaults.
     p = argparse.ArgumentParser(prog="paperloom", description="Extract the structure of a PDF.")
     p.add_argument("pdf_path")
     p.add_argument("--backend", choices=["auto", "pymupdf4llm", "marker"], default="auto")

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions.keys import EXTRACT_VERSION
+from paperloom.schemas import ExtractedDoc
 from paperloom.sources.files import exists
 
-DOC = (
-    "markdown string, figures array<struct<index:int,image_path:string,caption:string,page:int,bbox:array<double>,kind:string>>, "
-    "tables array<struct<index:int,markdown:string,caption:string,page:int>>, references array<struct<raw:string>>, "
-    "metadata struct<title:string,authors:string,year:string,abstract:string,n_pages:int,auto_fallback:string>, backend string"
-)
+DOC = ExtractedDoc
 ROOT_CONF = "spark.paperloom.cache.dir"
 
 
@@ -33,65 +30,122 @@ def parsed_doc(json: Column) -> Column:
     empty, unknown ones ignored."""
     x = F.from_json(json, DOC)
     broken = F.exists(F.coalesce(x["figures"], F.array()), lambda f: f["index"].isNull() | f["page"].isNull())
-    whole = F.struct(
-        F.coalesce(x["markdown"], F.lit("")).alias("markdown"), *[F.coalesce(x[c], F.from_json(F.lit("[]"), t)).alias(c) for c, t in (("figures", DOC.split("figures ")[1].split(", tables")[0]), ("tables", "array<struct<index:int,markdown:string,caption:string,page:int>>"), ("references", "array<struct<raw:string>>"))],
-        x["metadata"].alias("metadata"), F.coalesce(x["backend"], F.lit("")).alias("backend"),
-    )
+    lists = [F.coalesce(x[c], F.from_json(F.lit("[]"), ExtractedDoc[c].dataType)).alias(c) for c in ("figures", "tables", "references")]
+    whole = F.struct(F.coalesce(x["markdown"], F.lit("")).alias("markdown"), *lists, x["metadata"].alias("metadata"), F.coalesce(x["backend"], F.lit("")).alias("backend"))
     return F.when(F.try_parse_json(json).isNotNull() & F.startswith(F.ltrim(json), F.lit("{")) & ~broken, whole)
 
 
+ENTRY = "sha16 string, doc string, written_at timestamp, checked boolean, backend string, extract_version string"
+FAILURE = "sha16 string, problem string, failed_at timestamp, backend string, extract_version string"
+FIGURE = "sha16 string, name string, data binary, written_at timestamp, backend string, extract_version string"
+
+
 class DocCache:
-    """Entries (sha16, backend, extract_version) -> document. Of entries with one key the latest written counts."""
+    """Entries (sha16, backend, extract_version) -> document. Of entries with one key the latest written counts.
+
+    Three tables under one root, all written by Spark and so on any file system the cluster shares: docs, figures (image bytes by
+    content key and name) and failures (why a content could not be converted; a failure is never a hit). An entry that save()
+    wrote is marked as checked, so that looking up keys reads no document; others are decoded first.
+    """
 
     def __init__(self, spark: SparkSession, root: str | None = None, version: str = EXTRACT_VERSION):
         self.spark, self.version = spark, version
-        self.path = f"{(root or cache_root(spark)).rstrip('/')}/docs"
+        self.root = (root or cache_root(spark)).rstrip("/")
+        self.path = f"{self.root}/docs"
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        path = f"{self.root}/{name}"
+        return self.spark.read.schema(schema).parquet(path) if exists(self.spark, path) else self.spark.createDataFrame([], schema)
+
+    def _own(self, rows: DataFrame, backend: str) -> DataFrame:
+        return rows.where((F.col("backend") == backend) & (F.col("extract_version") == self.version))
+
+    def _append(self, rows: DataFrame, name: str, backend: str) -> None:
+        x = rows.withColumns({"backend": F.lit(backend), "extract_version": F.lit(self.version)})
+        x.write.mode("append").partitionBy("backend", "extract_version").parquet(f"{self.root}/{name}")
 
     def all(self) -> DataFrame:
         """Every entry as written: sha16, doc (JSON), written_at, backend, extract_version."""
-        schema = "sha16 string, doc string, written_at timestamp, backend string, extract_version string"
-        if not exists(self.spark, self.path):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path)
+        return self._read("docs", ENTRY).drop("checked")
 
     def entries(self, backend: str) -> DataFrame:
         """sha16, cached (document struct) of this version; entries that can't be decoded are none. Reads one partition."""
-        x = self.all().where((F.col("backend") == backend) & (F.col("extract_version") == self.version))
-        x = x.groupBy("sha16").agg(F.max_by("doc", "written_at").alias("doc"))
+        x = self._own(self._read("docs", ENTRY), backend).groupBy("sha16").agg(F.max_by("doc", "written_at").alias("doc"))
         return x.select("sha16", parsed_doc(F.col("doc")).alias("cached")).where(F.col("cached").isNotNull())
 
+    def keys(self, backend: str) -> DataFrame:
+        """sha16 of the entries that can be decoded; documents are read only where save() did not write the entry."""
+        own = self._own(self._read("docs", ENTRY), backend)
+        sure = own.where("checked").select("sha16", "written_at", F.lit(True).alias("good"))
+        other = own.where("checked IS NULL").select("sha16", "written_at", parsed_doc(F.col("doc")).isNotNull().alias("good"))
+        return sure.unionByName(other).groupBy("sha16").agg(F.max_by("good", "written_at").alias("good")).where("good").select("sha16")
+
     def hits(self, files: DataFrame, backend: str) -> DataFrame:
-        return files.join(self.entries(backend), "sha16")
+        """The rows of `files` with a cached document, with it; only entries of their keys are decoded."""
+        wanted = files.select("sha16").distinct()
+        x = self._own(self._read("docs", ENTRY), backend).join(wanted, "sha16", "left_semi").groupBy("sha16").agg(F.max_by("doc", "written_at").alias("doc"))
+        return files.join(x.select("sha16", parsed_doc(F.col("doc")).alias("cached")).where(F.col("cached").isNotNull()), "sha16")
 
     def misses(self, files: DataFrame, backend: str) -> DataFrame:
-        return files.join(self.entries(backend).select("sha16"), "sha16", "left_anti")
+        return files.join(self.keys(backend), "sha16", "left_anti")
 
     def save(self, docs: DataFrame, backend: str) -> None:
         """Appends from (sha16, doc struct); the commit protocol makes it whole or nothing."""
-        x = docs.select("sha16", doc_json(F.col("doc")).alias("doc"), F.current_timestamp().alias("written_at"), F.lit(backend).alias("backend"), F.lit(self.version).alias("extract_version"))
-        x.write.mode("append").partitionBy("backend", "extract_version").parquet(self.path)
+        self._append(docs.select("sha16", doc_json(F.col("doc")).alias("doc"), F.current_timestamp().alias("written_at"), F.lit(True).alias("checked")), "docs", backend)
+
+    def save_figures(self, images: DataFrame, backend: str) -> None:
+        """Appends from (sha16, name, data)."""
+        self._append(images.select("sha16", "name", "data", F.current_timestamp().alias("written_at")), "figures", backend)
+
+    def figures(self, backend: str) -> DataFrame:
+        """sha16, name, data: the saved images of this version, the latest of each name."""
+        x = self._own(self._read("figures", FIGURE), backend)
+        return x.groupBy("sha16", "name").agg(F.max_by("data", "written_at").alias("data"))
+
+    def export_figures(self, keys: DataFrame, backend: str, folder: str) -> int:
+        """Writes the images of the given sha16s as folder/sha16/name; returns their number."""
+        return export_images(self.figures(backend).join(keys.select("sha16").distinct(), "sha16", "left_semi"), folder)
+
+    def save_failures(self, rows: DataFrame, backend: str) -> None:
+        """Appends from (sha16, problem)."""
+        self._append(rows.select("sha16", "problem", F.current_timestamp().alias("failed_at")), "failures", backend)
+
+    def failures(self, backend: str) -> DataFrame:
+        """sha16, problem: the latest failure of each content."""
+        return self._own(self._read("failures", FAILURE), backend).groupBy("sha16").agg(F.max_by("problem", "failed_at").alias("problem"))
 
     def evict(self, keys: DataFrame, backend: str) -> int:
         """Removes this version's entries of the given sha16s; returns how many there were. Rewrites one partition."""
-        own = self.all().where((F.col("backend") == backend) & (F.col("extract_version") == self.version))
-        gone = own.join(keys.select("sha16").distinct(), "sha16", "left_semi").select("sha16").distinct().count()
+        own = self._own(self._read("docs", ENTRY), backend)
+        gone = own.select("sha16").join(keys.select("sha16").distinct(), "sha16", "left_semi").distinct().count()
         if gone:
             self._replace(own.join(keys.select("sha16").distinct(), "sha16", "left_anti"), f"backend={backend}/extract_version={self.version}")
         return gone
 
     def evict_older(self, backend: str, days: int) -> None:
         """Removes entries written more than `days` days ago."""
-        own = self.all().where((F.col("backend") == backend) & (F.col("extract_version") == self.version))
+        own = self._own(self._read("docs", ENTRY), backend)
         self._replace(own.where(F.col("written_at") >= F.current_timestamp() - F.make_dt_interval(F.lit(days))), f"backend={backend}/extract_version={self.version}")
 
     def _replace(self, rows: DataFrame, partition: str) -> None:
-        aside = f"{self.path}.new"
-        rows.drop("backend", "extract_version").write.mode("overwrite").parquet(aside)
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        new, old = jvm.org.apache.hadoop.fs.Path(aside), jvm.org.apache.hadoop.fs.Path(f"{self.path}/{partition}")
-        fs = old.getFileSystem(conf)
-        fs.delete(old, True)
-        fs.rename(new, old)
+        """Writes the rows beside the partition, moves the old one aside, the new one in, and deletes the old one last.
+
+        Names are unique, so that two evictions don't share a folder; whatever is interrupted leaves the old or the new rows
+        under the root.
+        """
+        import uuid
+
+        mark = uuid.uuid4().hex
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        new, aside, old = path(f"{self.root}/.new-{mark}"), path(f"{self.root}/.old-{mark}"), path(f"{self.path}/{partition}")
+        rows.drop("backend", "extract_version").write.parquet(new.toString())
+        fs = old.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if fs.exists(old) and not fs.rename(old, aside):
+            raise OSError(f"{partition} of the cache can't be moved")
+        if not fs.rename(new, old):
+            fs.rename(aside, old)
+            raise OSError(f"{partition} of the cache can't be replaced")
+        fs.delete(aside, True)
 
     def inventory(self) -> DataFrame:
         """backend, extract_version, entries, bytes of JSON."""
@@ -99,12 +153,22 @@ class DocCache:
         return x.groupBy("backend", "extract_version").agg(F.count_distinct("sha16").alias("entries"), F.sum(F.octet_length("doc")).alias("bytes"))
 
 
-def first_of_content(files: DataFrame) -> DataFrame:
-    """One file per content key, the least path: equal bytes are extracted once."""
-    return files.groupBy("sha16").agg(F.min("path").alias("path"))
+def export_images(images: DataFrame, folder: str) -> int:
+    """Writes (sha16, name, data) as folder/sha16/name, through the cluster's file system; returns how many.
+
+    Images are streamed one after another, so the driver holds one task's images at a time.
+    """
+    spark, n = images.sparkSession, 0
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for r in images.select("sha16", "name", "data").toLocalIterator():
+        p = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{r['sha16']}/{r['name']}")
+        out = p.getFileSystem(conf).create(p, True)
+        out.write(r["data"])
+        out.close()
+        n += 1
+    return n
 
 
-def latest(entries: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """Of rows with equal keys the latest."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(at))
-    return entries.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+def first_of_content(files: DataFrame) -> DataFrame:
+    """sha16, path, n: one file per content key, the least path, and how many files share it; equal bytes are extracted once."""
+    return files.groupBy("sha16").agg(F.min("path").alias("path"), F.count("*").alias("n"))

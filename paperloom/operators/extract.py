@@ -12,15 +12,16 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions.keys import FAST, RESERVED, STRUCTURED, THIN, is_thin
 from paperloom.functions.markdown import body_without_references, figures, references, tables
-from paperloom.operators.cache import DocCache
+from paperloom.operators.cache import DocCache, export_images, first_of_content
 from paperloom.sources.files import pdf_files, with_key
 
-RAW = "sha16 string, path string, markdown string, title string, authors string, n_pages int, images array<string>, problem string"
+RAW = "sha16 string, path string, markdown string, title string, authors string, n_pages int, images array<string>, data array<struct<name:string,data:binary>>, problem string"
 Converted = dict
 
 
@@ -32,8 +33,13 @@ class Backend:
     convert: Callable[[bytes, dict], Converted]
     requires: str | None = None
     mines: bool = False
+    stored_as: str | None = None  # the cache's name for its results, if another program makes them
     options: dict = field(default_factory=dict)
 
+    @property
+    def cached_as(self) -> str:
+        return self.stored_as or self.name
+
     def available(self, spark: SparkSession) -> bool:
         """Whether the needed module can be imported, on the driver and on an executor."""
         if self.requires is None:
@@ -46,14 +52,21 @@ class Backend:
 
 
 def native_text(data: bytes, options: dict) -> Converted:
-    """The own reader: text of simple PDFs; what can't be read is empty."""
+    """The own reader: text of simple PDFs. A file that is no PDF, or that it can't follow, raises."""
     from paperloom.sources.pdf import Reader
 
-    blank = {"markdown": "", "title": "", "authors": "", "n_pages": 0, "images": {}}
+    reader = Reader(data)
+    pages = reader.pages()
+    return {"markdown": reader.markdown(), "title": "", "authors": "", "n_pages": len(pages), "images": {}} | reader.metadata()
+
+
+def info(data: bytes) -> Converted:
+    """Title, authors and number of pages as the own reader finds them; blank where it can't."""
+    blank = {"title": "", "authors": "", "n_pages": 0}
     try:
-        reader = Reader(data)
-        return blank | {"markdown": reader.markdown(), "n_pages": len(reader.pages())} | reader.metadata()
-    except Exception:  # noqa: BLE001  thin text is what routing acts on
+        got = native_text(data, {})
+        return {k: got[k] for k in blank}
+    except Exception:  # noqa: BLE001  another backend has the text; metadata is extra
         return blank
 
 
@@ -90,13 +103,26 @@ def optional_structured(data: bytes, options: dict) -> Converted:
     finally:
         os.unlink(f.name)
     text, _, images = text_from_rendered(rendered)
-    own = native_text(data, {})
+    own = info(data)
     meta = getattr(rendered, "metadata", None) or {}
     return {"markdown": text, "title": own["title"] or str(meta.get("title") or "").strip(), "authors": own["authors"], "n_pages": own["n_pages"], "images": images or {}}
 
 
+def png(image: object) -> bytes:
+    """The bytes of an image; whatever is no bytes yet is saved as its own save() does."""
+    import io
+
+    if isinstance(image, (bytes, bytearray)):
+        return bytes(image)
+    out = io.BytesIO()
+    image.save(out, format="PNG")
+    return out.getvalue()
+
+
+# Where the package is missing the own reader stands in; its results never pass for the package's in the cache.
+OWN_READER = "paperloom-reader"
 BACKENDS: dict[str, Backend] = {
-    FAST: Backend(FAST, optional_fast),
+    FAST: Backend(FAST, optional_fast, stored_as=None if importlib.util.find_spec("pymupdf4llm") else OWN_READER),
     STRUCTURED: Backend(STRUCTURED, optional_structured, requires="marker", mines=True),
 }
 
@@ -113,44 +139,36 @@ def checked(backend: str) -> str:
     return backend
 
 
-def converted(files: DataFrame, backend: Backend, options: dict | None = None, figures_dir: str | None = None) -> DataFrame:
-    """(sha16, path, content) through a backend: RAW rows. An exception becomes the row's problem; images go to figures_dir/sha16/."""
+def converted(files: DataFrame, backend: Backend, options: dict | None = None) -> DataFrame:
+    """(sha16, path, content) through a backend: RAW rows. An exception becomes the row's problem.
+
+    images are the names in order, null for one whose bytes could not be taken (a gap in the numbers); data are the others' bytes.
+    """
     settings = backend.options | (options or {})
     convert = backend.convert
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
         for batch in batches:
-            rows = []
-            for sha16, path, data in zip(batch["sha16"], batch["path"], batch["content"], strict=True):
-                row = {"sha16": sha16, "path": path, "markdown": "", "title": "", "authors": "", "n_pages": 0, "images": [], "problem": None}
+            for sha16, path, data in zip(batch["sha16"], batch["path"], batch["content"], strict=True):  # a paper at a time
+                row = {"sha16": sha16, "path": path, "markdown": "", "title": "", "authors": "", "n_pages": 0, "images": [], "data": [], "problem": None}
                 try:
                     got = convert(bytes(data), settings)
                     row |= {k: got[k] for k in ("markdown", "title", "authors", "n_pages")}
-                    images = dict(got.get("images") or {})
-                    row["images"] = sorted(images)
-                    if figures_dir and images:
-                        os.makedirs(f"{figures_dir}/{sha16}", exist_ok=True)
-                        for name, image in images.items():
-                            try:
-                                if isinstance(image, (bytes, bytearray)):
-                                    with open(f"{figures_dir}/{sha16}/{name}", "wb") as f:
-                                        f.write(image)
-                                else:
-                                    image.save(f"{figures_dir}/{sha16}/{name}")
-                            except Exception:  # noqa: BLE001  a figure that can't be saved leaves a gap in the numbers
-                                row["images"] = [n if n != name else None for n in row["images"]]
+                    for name, image in sorted(dict(got.get("images") or {}).items()):
+                        try:
+                            row["data"].append({"name": name, "data": png(image)})
+                            row["images"].append(name)
+                        except Exception:  # noqa: BLE001
+                            row["images"].append(None)
                 except Exception as e:  # noqa: BLE001
                     row["problem"] = f"{type(e).__name__}: {e}"
-                rows.append(row)
-            yield pd.DataFrame(rows)
+                yield pd.DataFrame([row])
 
     return files.select("sha16", "path", "content").mapInPandas(run, RAW)
 
 
 def document(raw: DataFrame, backend: Backend) -> DataFrame:
-    """RAW rows as (sha16, path, problem, doc): references split off, tables harvested from what is left, figures in name order."""
+    """RAW rows as (sha16, path, problem, doc, data): references split off, tables harvested from what is left, figures in name order."""
     body = body_without_references(F.col("markdown"))
     raw = raw.withColumn("__body", body)
     none = lambda t: F.from_json(F.lit("[]"), t)
@@ -163,30 +181,55 @@ def document(raw: DataFrame, backend: Backend) -> DataFrame:
         F.col("__body").alias("markdown"), (own_figures if backend.mines else none(figure)).alias("figures"), (tables(F.col("__body")) if backend.mines else none(table)).alias("tables"),
         F.transform(references(F.col("markdown")), lambda r: F.struct(r.alias("raw"))).alias("references"), meta.alias("metadata"), F.lit(backend.name).alias("backend"),
     )
-    return raw.select("sha16", "path", "problem", doc.alias("doc"))
+    return raw.select("sha16", "path", "problem", doc.alias("doc"), "data")
 
 
 def through(files: DataFrame, name: str, cache: DocCache | None, options: dict | None = None, figures_dir: str | None = None) -> DataFrame:
-    """(sha16, path, problem, doc) of one backend: cached documents, and the others converted once per content and cached."""
+    """(sha16, path, problem, doc) of one backend: cached documents, and the others converted once per content and cached.
+
+    What fails is never cached as a document; its reason is kept in the cache's failures and told in `problem`, and the content
+    is tried anew next time. A document that failed has no doc.
+    """
     backend = BACKENDS[name]
     if not backend.available(files.sparkSession):
         raise ImportError(f"the backend {name} needs the module {backend.requires}")
+    good = F.when(F.col("problem").isNull(), F.col("doc")).alias("doc")
     if cache is None:
-        return document(converted(files, backend, options, figures_dir), backend)
-    missing = cache.misses(files, name)
-    once = missing.join(missing.groupBy("sha16").agg(F.min("path").alias("path")), ["sha16", "path"], "left_semi")
-    fresh = document(converted(once, backend, options, figures_dir), backend)
-    cache.save(fresh.where(F.col("problem").isNull()), name)
+        docs = document(converted(files, backend, options), backend)
+        if figures_dir and backend.mines:
+            docs = docs.persist(StorageLevel.DISK_ONLY)  # images and documents come from one conversion
+            export_images(docs.select("sha16", F.explode("data").alias("d")).select("sha16", "d.name", "d.data"), figures_dir)
+        return docs.select("sha16", "path", "problem", good)
+    missing = cache.misses(files, backend.cached_as)
+    once = missing.join(first_of_content(missing).select("sha16", "path"), ["sha16", "path"], "left_semi")
+    keep(document(converted(once, backend, options), backend), backend, cache)
     names = files.select("sha16", "path")
-    found = names.join(cache.entries(name).withColumnRenamed("cached", "doc"), "sha16", "left")
-    return found.select("sha16", "path", F.when(F.col("doc").isNull(), "conversion failed").alias("problem"), "doc")
+    if figures_dir and backend.mines:
+        cache.export_figures(names, backend.cached_as, figures_dir)
+    found = names.join(cache.hits(names.select("sha16").distinct(), backend.cached_as).withColumnRenamed("cached", "doc"), "sha16", "left")
+    why = cache.failures(backend.cached_as).withColumnRenamed("problem", "__why")
+    return found.join(why, "sha16", "left").select("sha16", "path", F.when(F.col("doc").isNull(), F.coalesce("__why", F.lit("not converted"))).alias("problem"), "doc")
+
+
+def keep(docs: DataFrame, backend: Backend, cache: DocCache) -> None:
+    """Saves document() rows: documents, images and failures, each conversion run once."""
+    docs = docs.persist(StorageLevel.DISK_ONLY)
+    try:
+        cache.save(docs.where(F.col("problem").isNull()), backend.cached_as)
+        images = docs.where(F.col("problem").isNull()).select("sha16", F.explode("data").alias("d")).select("sha16", "d.name", "d.data")
+        if backend.mines:
+            cache.save_figures(images, backend.cached_as)
+        cache.save_failures(docs.where(F.col("problem").isNotNull()), backend.cached_as)
+    finally:
+        docs.unpersist()
 
 
 def extract(spark: SparkSession, path: str, backend: str = "auto", figures_dir: str | None = None, skip_ocr: bool = False, use_cache: bool = True, cache: DocCache | None = None, thin: int = THIN) -> DataFrame:
     """One row per PDF under `path`: sha16, path, problem, doc. A missing path is told before an unknown backend.
 
-    auto: documents whose body has fewer than `thin` characters take the structured backend; where that is not installed they
-    keep the fast result, with metadata.auto_fallback, which is never cached.
+    auto: documents whose body has fewer than `thin` characters, and those that the fast backend could not read, take the
+    structured backend; where that is not installed they keep the fast result, with metadata.auto_fallback, which is never cached.
+    Images are kept in the cache, and written to `figures_dir`/sha16/ too where that is given.
     """
     files = pdf_files(spark, path)
     checked(backend)
@@ -198,9 +241,12 @@ def extract_files(files: DataFrame, backend: str = "auto", figures_dir: str | No
     spark = files.sparkSession
     cache = (cache or DocCache(spark)) if use_cache else None
     options = {"skip_ocr": skip_ocr}
+
     if checked(backend) != "auto":
         return through(files, backend, cache, options, figures_dir)
-    fast = through(files, FAST, cache, options).persist()  # both branches read it
+    fast = through(files, FAST, cache, options)
+    if cache is None:
+        fast = fast.persist()  # both branches read it; with a cache both read the cache
     thick, rest = routed(fast, thin)
     if not BACKENDS[STRUCTURED].available(spark):
         flagged = F.col("doc").withField("metadata", F.col("doc.metadata").withField("auto_fallback", F.lit(f"{STRUCTURED}_unavailable")))

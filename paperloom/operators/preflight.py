@@ -14,6 +14,7 @@ from paperloom.functions.text import let
 SCHEMA = "pdf_read_preflight/1"
 TOOL = "paperloom-preflight"
 PASS, FAIL, UNAVAILABLE = "PASS", "FAIL", "UNAVAILABLE"
+# What parts and begins an object in a file's bytes, and its end mark.
 SEPARATOR = r"(?:[\x00\t\n\x0c\r ]|%[^\r\n]*[\r\n])"
 NUMBER = r"[+-]?0*[0-9]{1,10}"
 OBJECT = rf"(?:\A|{SEPARATOR}){SEPARATOR}*({NUMBER}){SEPARATOR}+{NUMBER}{SEPARATOR}+obj(?![A-Za-z0-9_])"

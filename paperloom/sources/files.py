@@ -43,9 +43,8 @@ def project_citekeys(spark: SparkSession, root: str) -> DataFrame:
         return spark.createDataFrame([], "citekey string")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{references,main}.bib").option("ignoreCorruptFiles", "true").load(root)
     bibs = files.where(F.col("path").rlike(r"/paper-[^/]*/(?:.*/)?(?:references|main)\.bib$"))
-    # bytes that are no UTF-8 become U+FFFD; keys keep to what is left, as when they are dropped
-    text = F.regexp_replace(F.decode(F.col("content"), "ISO-8859-1"), r"\x00", "")
-    decoded = F.coalesce(F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")), text)
+    # bytes that are no UTF-8 are dropped, all others read as they are
+    decoded = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
     return bibs.select(F.explode(F.coalesce(citekeys(decoded), strings())).alias("citekey")).distinct()
 
 
