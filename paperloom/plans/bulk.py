@@ -11,7 +11,8 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.keys import STRUCTURED, attachment_path
@@ -49,6 +50,21 @@ def order(prioritised: bool = True) -> list[Column]:
     return [F.desc("is_hot"), F.when(F.col("is_hot"), F.lit(0.0)).otherwise(-F.coalesce("created", F.lit(0)).cast("double")), F.col("ord")]
 
 
+def placed(entries: DataFrame, prioritised: bool = True) -> DataFrame:
+    """Adds place, the number of each entry in the order of the queue, from 1.
+
+    Entries are sorted by ranges over all tasks; a place is the number inside the range plus the sizes of the ranges before, of
+    which only one count a range is gathered.
+    """
+    ranges = entries.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    # kept on disk, so that numbers and sizes come from the same ranges
+    x = entries.repartitionByRange(int(ranges), *order(prioritised)).sortWithinPartitions(*order(prioritised)).persist(StorageLevel.DISK_ONLY)
+    x = x.withColumn("__id", F.monotonically_increasing_id()).withColumn("__range", F.shiftright("__id", 33).cast("int")).withColumn("__at", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = x.groupBy("__range").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("__range")) - F.col("n")).select("__range", "before")  # one row a range
+    return x.join(F.broadcast(before), "__range").withColumn("place", F.col("before") + F.col("__at") + 1).drop("__id", "__range", "__at", "before")
+
+
 def not_blocklisted(entries: DataFrame, blocked: DataFrame) -> DataFrame:
     return entries.join(blocked.select("citekey").distinct(), "citekey", "left_anti")
 
@@ -123,48 +139,102 @@ class Budget:
     batch: int = 64
 
 
-def guarded(convert: Callable[[bytes, dict], dict], per_paper: int, rss_mb: int) -> Callable[[bytes, dict], dict]:
-    """The conversion under a time limit (SIGALRM in the worker) and a memory cap, as TimeoutError and MemoryError."""
+def resident_mb(pid: int) -> float:
+    """Memory that a process holds now; 0 where it can't be told."""
+    try:
+        with open(f"/proc/{pid}/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / (1 << 20)
+    except (OSError, IndexError, ValueError):
+        return 0.0
+
 
-    def run(data: bytes, options: dict) -> dict:
-        import resource
-        import signal
+def guarded(convert: Callable[[bytes, dict], dict], per_paper: float, rss_mb: float, until: float | None = None, every: float = 0.1) -> Callable[[bytes, dict], dict]:
+    """The conversion in a child process under a time limit and a memory cap, as TimeoutError and MemoryError.
 
-        def late(*_: object) -> None:
-            raise TimeoutError(f"over {per_paper} s")
+    The child serves one paper after another, so what a backend loads is loaded once; it is killed where a paper breaches a limit,
+    native code included, and the next paper gets a new one. Memory is what the child holds at the moment, looked at `every`
+    seconds and at the end, so a paper never answers for the one before. After `until` (seconds since the epoch) no paper is
+    begun: InterruptedError; one that runs then is cut as if by its own limit.
+    """
+    held: dict = {}
+
+    def serve(pipe, others) -> None:
+        others.close()  # so that the pipe ends with the worker
+        while True:
+            try:
+                data, options = pipe.recv()
+            except EOFError:
+                os._exit(0)
+            try:
+                pipe.send((True, convert(data, options)))
+            except BaseException as e:  # noqa: BLE001  whatever it is, the parent tells it
+                pipe.send((False, e if isinstance(e, Exception) else RuntimeError(repr(e))))
+
+    def stop() -> None:
+        if held:
+            held["process"].kill()
+            held["process"].join()
+            held["pipe"].close()
+            held.clear()
 
-        before = signal.signal(signal.SIGALRM, late)
-        signal.alarm(per_paper)
-        try:
-            got = convert(data, options)
-        finally:
-            signal.alarm(0)
-            signal.signal(signal.SIGALRM, before)
-        used = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
-        if rss_mb and used > rss_mb:
-            raise MemoryError(f"{used:.0f} MB")
-        return got
+    def run(data: bytes, options: dict) -> dict:
+        import multiprocessing
+
+        began = time.time()
+        if until is not None and began >= until:
+            raise InterruptedError("the run's time is over")
+        limit = per_paper if until is None else min(per_paper, until - began)
+        if not held:
+            context = multiprocessing.get_context("fork")
+            mine, theirs = context.Pipe()
+            held["process"], held["pipe"] = context.Process(target=serve, args=(theirs, mine), daemon=True), mine
+            held["process"].start()
+            theirs.close()
+        held["pipe"].send((data, options))
+        while True:
+            there = held["pipe"].poll(every)
+            used = resident_mb(held["process"].pid)
+            if rss_mb and used > rss_mb:
+                stop()
+                raise MemoryError(f"{used:.0f} MB")
+            if there:
+                try:
+                    ok, got = held["pipe"].recv()
+                except EOFError:
+                    stop()
+                    raise RuntimeError("the conversion's process died") from None
+                if not ok:
+                    raise got
+                return got
+            if time.time() - began > limit:
+                stop()
+                raise TimeoutError(f"over {limit:.0f} s")
 
     return run
 
 
 def status_of(problem: Column) -> Column:
-    return F.when(problem.isNull(), "ok").when(problem.startswith("TimeoutError"), "timeout").when(problem.startswith("MemoryError"), "memguard").otherwise("failed")
+    """ok, timeout, memguard, skipped (the run's time was over before the paper began) or failed."""
+    return (
+        F.when(problem.isNull(), "ok").when(problem.startswith("TimeoutError"), "timeout").when(problem.startswith("MemoryError"), "memguard")
+        .when(problem.startswith("InterruptedError"), "skipped").otherwise("failed")
+    )
 
 
 def run(spark: SparkSession, todo: DataFrame, cache: DocCache, budget: Budget, backend: str = STRUCTURED, log_path: str | None = None, sidecars: str | None = None, free: Callable[[], float] = system_free_percent) -> DataFrame:
     """Works through a queue (citekey, path, sha16, in order) in batches and returns the run log: citekey, path, status, problem, n_md, n_figs, n_tabs, n_refs.
 
-    Between batches the deadline and the free memory are looked at; a paper that breaches the memory cap ends the run after its
-    batch. A file that fails the preflight is logged, its sidecar is kept, and it counts towards the limit.
+    The deadline is looked at before each paper, on the executors: papers it leaves out are not in the log. The free memory is
+    looked at between batches; a paper that breaches the memory cap ends the run after its batch. A file that fails the preflight
+    is logged, its sidecar is kept, and it counts towards the limit.
     """
     from dataclasses import replace
 
-    from paperloom.operators.extract import BACKENDS, converted, document
+    from paperloom.operators.extract import BACKENDS, converted, document, keep
     from paperloom.sources.files import pdf_files, with_key
 
     own = BACKENDS[backend]
-    own = replace(own, convert=guarded(own.convert, budget.per_paper, budget.rss_mb))
+    own = replace(own, convert=guarded(own.convert, budget.per_paper, budget.rss_mb, time.time() + budget.seconds))
     rows = [(r["citekey"], r["path"]) for r in todo.select("citekey", "path").limit(budget.papers).collect()]  # a queue of at most `papers`
     deadline, log = time.monotonic() + budget.seconds, None
     for at in range(0, len(rows), budget.batch):
@@ -177,9 +247,10 @@ def run(spark: SparkSession, todo: DataFrame, cache: DocCache, budget: Budget, b
         bad = checked.where(F.col("verdict") == FAIL)
         if sidecars:
             bad.drop("content", "sha16").write.mode("append").partitionBy("citekey").json(sidecars)
-        docs = document(converted(passed(checked).dropDuplicates(["sha16"]), own), own).persist()
-        cache.save(docs.where(F.col("problem").isNull()), backend)
-        done = passed(checked).select("citekey", "path", "sha16").join(docs.drop("path"), "sha16").select(
+        docs = document(converted(passed(checked).dropDuplicates(["sha16"]), own), own).persist(StorageLevel.DISK_ONLY)
+        late = F.coalesce(F.col("problem").startswith("InterruptedError"), F.lit(False))
+        keep(docs.where(~late), own, cache)
+        done = passed(checked).select("citekey", "path", "sha16").join(docs.where(~late).drop("path"), "sha16").select(
             "citekey", "path", status_of(F.col("problem")).alias("status"), "problem", F.length("doc.markdown").alias("n_md"), F.size("doc.figures").alias("n_figs"), F.size("doc.tables").alias("n_tabs"), F.size("doc.references").alias("n_refs"),
         )
         failed = bad.select("citekey", "path", F.lit("preflight").alias("status"), F.lit("page counts disagree").alias("problem"), *[F.lit(0).alias(c) for c in ("n_md", "n_figs", "n_tabs", "n_refs")])
