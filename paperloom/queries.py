@@ -39,40 +39,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-# Carrier: (literal | column) parts, the same on both sides.
+# Carrier: literals and columns, the same on both sides. The whole text stands once as a section and once as the lines of a reference list.
 CARRIER: list = [
-    "# Doc ", "doc_id", "\n\n## Introduction\n\n", ("text", 1, 200), "\n\n## Methods\n\n", ("text", 201, 300), "\n\n### Detail of methods\n\n", ("text", 501, 200),
-    "\n\nTable ", "doc_id", ": Sizes of it.\n\n| field | value |\n|:---|---:|\n| lang | ", "lang", " |\n| chars | ", "n_chars", " |\n\n## Results\n\n", ("text", 701, 400),
-    "\n\n| source |\n|--------|\n| ", "source", " |\n\nEnd of results.\n\n## **References**\n\n", ("text", 1, 60), "\n[2] ", ("text", 61, 50), "\nshort\n# not an entry of the list\n- ", ("text", 111, 90), "\n",
-]
-# The same headings around the whole text, once as a section of all depths and once as the lines of a reference list.
-WHOLE: list = [
     "# Doc ", "doc_id", "\n\n## Introduction\n\nOf ", "source", ".\n\n## Methods\n\n### Detail of methods\n\n", "text",
-    "\n\n## Results\n\nTable ", "doc_id", ": Sizes of it.\n\n| field | value |\n|:---|---:|\n| lang | ", "lang", " |\n| chars | ", "n_chars", " |\n\nEnd of results.\n\n## **References**\n\n", "text", "\n",
+    "\n\n## Results\n\nTable ", "doc_id", ": Sizes of it.\n\n| field | value |\n|:---|---:|\n| lang | ", "lang", " |\n| chars | ", "n_chars",
+    " |\n\nSome lines that part the tables.\n\n| source |\n|--------|\n| ", "source", " |\n\nEnd of results.\n\n## **References**\n\n", "text", "\nshort\n# not an entry of the list\n- one more entry of the list, from ", "source", "\n",
 ]
 COLUMNS = {"doc_id", "lang", "n_chars", "source", "text"}
 
 
-def carrier(parts: list = CARRIER) -> Column:
-    def one(x: str | tuple) -> Column:
-        if isinstance(x, tuple):
-            return F.substring(F.coalesce(x[0], F.lit("")), x[1], x[2])
-        return F.coalesce(F.col(x).cast("string"), F.lit("")) if x in COLUMNS else F.lit(x)
-
-    return F.concat(*[one(x) for x in parts])
+def carrier() -> Column:
+    return F.concat(*[F.coalesce(F.col(x).cast("string"), F.lit("")) if x in COLUMNS else F.lit(x) for x in CARRIER])
 
 
-def _sql(x: str | tuple) -> str:
-    if isinstance(x, tuple):
-        return f"substr(coalesce({x[0]}, ''), {x[1]}, {x[2]})"
+def _sql(x: str) -> str:
     return f"coalesce(CAST({x} AS VARCHAR), '')" if x in COLUMNS else "E'" + x.replace("\n", "\\n") + "'"
 
 
-def _carried_sql(parts: list) -> str:
-    return f"carried AS (SELECT doc_id, lang, source, n_chars, {' || '.join(_sql(x) for x in parts)} AS md FROM documents)"
-
-
-CARRIED_SQL = _carried_sql(CARRIER)
+CARRIED_SQL = f"carried AS (SELECT doc_id, lang, source, n_chars, {' || '.join(_sql(x) for x in CARRIER)} AS md FROM documents)"
 LINES_SQL = rf"""{CARRIED_SQL},
 split AS (SELECT doc_id, string_split(md, E'\n') AS a FROM carried),
 numbered AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS ln FROM split),
@@ -81,8 +65,8 @@ lines AS (SELECT *, CASE WHEN regexp_matches(line, '^\s{{0,3}}#{{1,6}}\s+\S') TH
 WHITE = r"E' \n\t\r'"
 
 
-def carried(spark: SparkSession, sf_dir: str, parts: list = CARRIER) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", "lang", "source", "n_chars", carrier(parts).alias("md"))
+def carried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", "lang", "source", "n_chars", carrier().alias("md"))
 
 
 def long(c: str | Column) -> Column:
@@ -90,14 +74,14 @@ def long(c: str | Column) -> Column:
 
 
 @query(f"WITH {LINES_SQL} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ln) - 1 AS pos, CAST(depth AS BIGINT) AS depth, title FROM lines WHERE depth IS NOT NULL")
-def headings(spark: SparkSession, sf_dir: str, parts: list = CARRIER) -> DataFrame:
-    x = carried(spark, sf_dir, parts).select("doc_id", F.posexplode(markdown.headings(F.col("md"))).alias("pos", "h"))
+def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = carried(spark, sf_dir).select("doc_id", F.posexplode(markdown.headings(F.col("md"))).alias("pos", "h"))
     return x.select("doc_id", long("pos").alias("pos"), long("h.depth").alias("depth"), F.col("h.title").alias("title"))
 
 
 @query(f"WITH {LINES_SQL} SELECT CAST(depth AS BIGINT) AS depth, count(*) AS n FROM lines WHERE depth IS NOT NULL GROUP BY ALL")
-def heading_depth_counts(spark: SparkSession, sf_dir: str, parts: list = CARRIER) -> DataFrame:
-    return carried(spark, sf_dir, parts).select(F.explode(markdown.headings(F.col("md"))).alias("h")).groupBy(long("h.depth").alias("depth")).agg(F.count("*").alias("n"))
+def heading_depth_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return carried(spark, sf_dir).select(F.explode(markdown.headings(F.col("md"))).alias("h")).groupBy(long("h.depth").alias("depth")).agg(F.count("*").alias("n"))
 
 
 def section_sql(needle: str) -> str:
@@ -109,7 +93,7 @@ SELECT e.doc_id, coalesce(trim(b.t, {WHITE}), '') AS section_text FROM ends e LE
 
 
 def _section(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir, parts=CARRIER: carried(spark, sf_dir, parts).select("doc_id", markdown.section(F.col("md"), name).alias("section_text")).where(F.col("section_text").isNotNull())
+    return lambda spark, sf_dir: carried(spark, sf_dir).select("doc_id", markdown.section(F.col("md"), name).alias("section_text")).where(F.col("section_text").isNotNull())
 
 
 for _name, _needle in (("section_methods", "Methods"), ("section_nested_parent", "doc "), ("section_detail", " DETAIL OF "), ("section_missing", "acknowledgements")):
@@ -122,19 +106,19 @@ ENTRIES_SQL = f"{REFS_SQL}, entries AS (SELECT l.doc_id, l.ln, trim(l.line, {WHI
 
 
 @query(f"WITH {REFS_SQL} SELECT l.doc_id, rtrim(string_agg(l.line, E'\\n' ORDER BY l.ln), {WHITE}) AS body FROM lines l LEFT JOIN heads h ON l.doc_id = h.doc_id WHERE h.at IS NULL OR l.ln < h.at GROUP BY l.doc_id")
-def reference_body(spark: SparkSession, sf_dir: str, parts: list = CARRIER) -> DataFrame:
-    return carried(spark, sf_dir, parts).select("doc_id", markdown.body_without_references(F.col("md")).alias("body"))
+def reference_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return carried(spark, sf_dir).select("doc_id", markdown.body_without_references(F.col("md")).alias("body"))
 
 
 @query(f"WITH {ENTRIES_SQL} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ln) - 1 AS pos, entry FROM entries")
-def reference_entries(spark: SparkSession, sf_dir: str, parts: list = CARRIER) -> DataFrame:
-    x = carried(spark, sf_dir, parts).select("doc_id", F.posexplode(markdown.references(F.col("md"))).alias("pos", "entry"))
+def reference_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = carried(spark, sf_dir).select("doc_id", F.posexplode(markdown.references(F.col("md"))).alias("pos", "entry"))
     return x.select("doc_id", long("pos").alias("pos"), "entry")
 
 
 @query(f"WITH {ENTRIES_SQL} SELECT c.doc_id, count(e.ln) AS n_refs FROM carried c LEFT JOIN entries e USING (doc_id) GROUP BY c.doc_id")
-def reference_counts(spark: SparkSession, sf_dir: str, parts: list = CARRIER) -> DataFrame:
-    return carried(spark, sf_dir, parts).select("doc_id", long(F.size(markdown.references(F.col("md")))).alias("n_refs"))
+def reference_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return carried(spark, sf_dir).select("doc_id", long(F.size(markdown.references(F.col("md")))).alias("n_refs"))
 
 
 # Tables as islands of pipe lines: a header, a separator, and ln0 least one row.
@@ -149,33 +133,23 @@ wlines AS (SELECT doc_id, idx, unnest(string_split(w, E'\n')) AS line, generate_
 caps AS (SELECT doc_id, idx, arg_max(trim(line, {WHITE}), ln) AS caption FROM wlines WHERE regexp_matches(trim(line, {WHITE}), '(?i)^(table\s+\d+[.:]|tbl\.?\s*\d+)') GROUP BY ALL)"""
 
 
-def _tables(spark: SparkSession, sf_dir: str, parts: list = CARRIER) -> DataFrame:
-    return carried(spark, sf_dir, parts).select("doc_id", F.explode(markdown.tables(F.col("md"))).alias("t"))
+def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return carried(spark, sf_dir).select("doc_id", F.explode(markdown.tables(F.col("md"))).alias("t"))
 
 
 @query(f"WITH {TABLES_SQL} SELECT doc_id, idx, t AS table_md FROM tabs")
-def table_blocks(spark: SparkSession, sf_dir: str, parts: list = CARRIER) -> DataFrame:
-    return _tables(spark, sf_dir, parts).select("doc_id", long("t.index").alias("idx"), F.col("t.markdown").alias("table_md"))
+def table_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tables(spark, sf_dir).select("doc_id", long("t.index").alias("idx"), F.col("t.markdown").alias("table_md"))
 
 
 @query(f"WITH {CAPTIONS_SQL} SELECT t.doc_id, t.idx, c.caption FROM tabs t LEFT JOIN caps c USING (doc_id, idx)")
-def table_captions(spark: SparkSession, sf_dir: str, parts: list = CARRIER) -> DataFrame:
-    return _tables(spark, sf_dir, parts).select("doc_id", long("t.index").alias("idx"), F.col("t.caption").alias("caption"))
+def table_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tables(spark, sf_dir).select("doc_id", long("t.index").alias("idx"), F.col("t.caption").alias("caption"))
 
 
 @query(f"WITH {CAPTIONS_SQL} SELECT t.doc_id, t.idx, '--- table ' || t.idx || CASE WHEN coalesce(c.caption, '') = '' THEN '' ELSE '  (' || c.caption || ')' END || ' (page 0) ---' || E'\\n' || t.t || E'\\n' AS printed FROM tabs t LEFT JOIN caps c USING (doc_id, idx)")
-def cli_tables(spark: SparkSession, sf_dir: str, parts: list = CARRIER) -> DataFrame:
-    return carried(spark, sf_dir, parts).select("doc_id", F.posexplode(table_lines(markdown.tables(F.col("md")))).alias("idx", "printed")).select("doc_id", long("idx").alias("idx"), "printed")
-
-
-def _whole(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: QUERIES[name](spark, sf_dir, WHOLE)
-
-
-# Each query so far once more over whole texts; the slices of the ones above end at character 1,100.
-for _name in list(QUERIES):
-    ORACLES[f"{_name}_whole"] = ORACLES[_name].replace(CARRIED_SQL, _carried_sql(WHOLE))
-    QUERIES[f"{_name}_whole"] = _whole(_name)
+def cli_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return carried(spark, sf_dir).select("doc_id", F.posexplode(table_lines(markdown.tables(F.col("md")))).alias("idx", "printed")).select("doc_id", long("idx").alias("idx"), "printed")
 
 
 NAMES_SQL = "names AS (SELECT doc_id, unnest(['page_' || (doc_id % 13) || '_image_1.png', 'page-' || (doc_id % 7) || '.png', '_page_' || (doc_id % 7) || '_Figure_1.jpeg', 'page' || (doc_id % 13) || '.png', 'fig' || (doc_id % 7) || '.png']) AS name FROM documents)"
@@ -215,7 +189,7 @@ def attachment_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, substr(sha1(coalesce(text, '')), 1, 16) AS sha16 FROM documents")
 def content_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _keyed(spark, sf_dir).select("doc_id", "sha16")
+    return keyed(spark, sf_dir).select("doc_id", "sha16")
 
 
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents")
@@ -223,44 +197,10 @@ def sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha256"))
 
 
-def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).withColumn("sha16", keys.content_key(F.coalesce("text", F.lit("")).cast("binary")))
 
 
-KEYED_SQL = "keyed AS (SELECT *, substr(sha1(coalesce(text, '')), 1, 16) AS sha16 FROM documents), cached AS (SELECT DISTINCT sha16 FROM keyed WHERE doc_id % 5 = 0)"
-
-
-def _cached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _keyed(spark, sf_dir).where("doc_id % 5 = 0").select("sha16").distinct()
-
-
-@query("SELECT min(doc_id) AS doc_id, sha16, count(*) AS n FROM (SELECT doc_id, substr(sha1(coalesce(text, '')), 1, 16) AS sha16 FROM documents) GROUP BY sha16")
-def cache_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _keyed(spark, sf_dir).groupBy("sha16").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
-
-
-@query(f"WITH {KEYED_SQL} SELECT doc_id, sha16 FROM keyed WHERE sha16 IN (SELECT sha16 FROM cached)")
-def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _keyed(spark, sf_dir).join(_cached(spark, sf_dir), "sha16", "left_semi").select("doc_id", "sha16")
-
-
-@query(f"WITH {KEYED_SQL} SELECT doc_id, sha16 FROM keyed WHERE NOT EXISTS (SELECT 1 FROM cached c WHERE c.sha16 = keyed.sha16)")
-def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _keyed(spark, sf_dir).join(_cached(spark, sf_dir), "sha16", "left_anti").select("doc_id", "sha16")
-
-
-@query(f"WITH {KEYED_SQL} SELECT DISTINCT sha16 FROM keyed k WHERE sha16 NOT IN (SELECT sha16 FROM keyed WHERE lang = 'de')")
-def cache_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _keyed(spark, sf_dir)
-    return x.join(x.where("lang = 'de'").select("sha16").distinct(), "sha16", "left_anti").select("sha16").distinct()
-
-
-@query("SELECT CASE WHEN doc_id % 3 = 0 THEN 'marker' ELSE 'pymupdf4llm' END AS backend, CASE WHEN doc_id % 4 = 0 THEN '0.0.9' ELSE '0.1.0' END AS extract_version, count(DISTINCT sha1(coalesce(text, ''))) AS entries, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS bytes FROM documents GROUP BY ALL")
-def cache_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _keyed(spark, sf_dir).withColumn("backend", F.when(F.col("doc_id") % 3 == 0, keys.STRUCTURED).otherwise(keys.FAST)).withColumn("extract_version", F.when(F.col("doc_id") % 4 == 0, "0.0.9").otherwise(keys.EXTRACT_VERSION))
-    return x.groupBy("backend", "extract_version").agg(F.count_distinct("sha16").alias("entries"), F.sum(F.octet_length(F.coalesce("text", F.lit("")))).cast("long").alias("bytes"))
-
-
 @query("SELECT doc_id, CASE WHEN length(coalesce(text, '')) >= 100 THEN 'pymupdf4llm' ELSE 'marker' END AS backend, length(coalesce(text, '')) AS n FROM documents")
 def auto_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -285,7 +225,7 @@ QUEUE_SQL = f"{ENTRIES}, cached AS (SELECT sha16 FROM entries WHERE ord % 17 = 0
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _keyed(spark, sf_dir).select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("citekey"), F.when(F.col("doc_id") % 11 != 0, F.col("n_chars")).alias("created"), "sha16")
+    x = keyed(spark, sf_dir).select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("citekey"), F.when(F.col("doc_id") % 11 != 0, F.col("n_chars")).alias("created"), "sha16")
     return bulk.with_priority(x, _cited(spark, sf_dir))
 
 
@@ -307,32 +247,29 @@ def queue_other(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bulk.long_tail(_entries(spark, sf_dir), _cited(spark, sf_dir)).select("ord")
 
 
-def _ranked(x: DataFrame, prioritised: bool, limit: int) -> DataFrame:
-    from pyspark.sql import Window
-
-    top = x.orderBy(*bulk.order(prioritised)).limit(limit)
-    return top.select(F.row_number().over(Window.orderBy(*bulk.order(prioritised))).cast("long").alias("place"), "ord", "citekey")
+def _ranked(x: DataFrame, prioritised: bool) -> DataFrame:
+    """Places from 1 in the order of the queue; the whole order is numbered by ranges, not in one task."""
+    return bulk.placed(x, prioritised).select("place", "ord", "citekey")
 
 
 PRIORITY = "ORDER BY is_hot DESC, CASE WHEN is_hot THEN 0 ELSE -coalesce(created, 0) END, ord"
 
 
-@query(f"WITH {ENTRIES} SELECT row_number() OVER ({PRIORITY}) AS place, ord, citekey FROM entries QUALIFY place <= 500")
+@query(f"WITH {ENTRIES} SELECT row_number() OVER ({PRIORITY}) AS place, ord, citekey FROM entries")
 def queue_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feature is the head of the queue: its first 500 places."""
-    return _ranked(_entries(spark, sf_dir), True, 500)
+    return _ranked(_entries(spark, sf_dir), True)
 
 
-@query(f"WITH {ENTRIES} SELECT row_number() OVER (ORDER BY ord) AS place, ord, citekey FROM entries QUALIFY place <= 500")
+@query(f"WITH {ENTRIES} SELECT row_number() OVER (ORDER BY ord) AS place, ord, citekey FROM entries")
 def queue_unprioritised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(_entries(spark, sf_dir), False, 500)
+    return _ranked(_entries(spark, sf_dir), False)
 
 
 @query(f"WITH {QUEUE_SQL} SELECT row_number() OVER ({PRIORITY}) AS place, ord, citekey FROM free QUALIFY place <= 200")
 def queue_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _entries(spark, sf_dir)
     cached, blocked = _sides(x)
-    return _ranked(bulk.queue(x, cached, blocked, 200), True, 200)
+    return _ranked(bulk.queue(x, cached, blocked, 200), True)
 
 
 @query(f"WITH {QUEUE_SQL} SELECT count(*) FILTER (WHERE is_hot) AS n_hot, count(*) FILTER (WHERE NOT is_hot) AS n_other, count(*) FILTER (WHERE sha16 IN (SELECT sha16 FROM cached)) AS n_cached, count(*) FILTER (WHERE sha16 NOT IN (SELECT sha16 FROM cached) AND citekey IN (SELECT citekey FROM blocked)) AS n_blocked FROM entries")

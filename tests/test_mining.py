@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from paperloom import queries
 from paperloom.functions import keys, markdown
 from paperloom.operators import preflight
 
+# The patterns that say what a heading, a reference heading, a table and a caption are.
 HEADING = re.compile(r"^\s{0,3}(#{1,6})\s+(.+?)\s*$", re.M)
 REFS = re.compile(r"^\s{0,3}#{1,6}\s+\**\s*(?:references|bibliography|works\s+cited|literature\s+cited)\s*\**\s*$", re.M | re.I)
 TABLE = re.compile(r"(?:\n|^)((?:\|[^\n]*\|\n)(?:\|[\s:|-]+\|\n)(?:\|[^\n]*\|\n)+)", re.M)
@@ -67,6 +69,29 @@ def test_mining_equals_re(spark, seed):
         assert [(y.depth, y.title) for y in x.h] == [(len(m[1]), m[2]) for m in HEADING.finditer(t)], repr(t)
 
 
+def test_very_many_tables_take_linear_time(spark):
+    def took(n):
+        md = "".join(f"Table {i}. t\n\n| a |\n|---|\n| {i} |\n\n" for i in range(n))
+        df = spark.createDataFrame([(md,)], "md string").repartition(1)
+        began = time.monotonic()
+        got = df.select(markdown.tables(F.col("md")).alias("t")).first().t
+        assert len(got) == n and all(t.caption == f"Table {i}. t" for i, t in enumerate(got))
+        return time.monotonic() - began
+
+    took(100)
+    assert took(3200) < 6
+
+
+def test_schemas_are_those_of_documents(spark):
+    import paperloom
+    from paperloom.operators.cache import parsed_doc
+
+    got = spark.createDataFrame([('{"markdown": "x"}',)], "j string").select(parsed_doc(F.col("j")).alias("d")).schema["d"].dataType
+    assert got.simpleString() == paperloom.ExtractedDoc.simpleString()
+    assert paperloom.ExtractedDoc["figures"].dataType.elementType == paperloom.ExtractedFigure
+    assert {"extract", "section", "ExtractedDoc", "ExtractedFigure", "ExtractedTable", "ExtractedReference", "EXTRACT_VERSION", "__version__"} == set(paperloom.__all__)
+
+
 def test_sentinels_and_nulls(spark):
     df = spark.createDataFrame([(0, "# M﷐\nx"), (1, None)], "id int, md string")
     md = F.col("md")
@@ -109,19 +134,19 @@ def test_whole_texts_are_mined(spark, tmp_path):
     texts = [late, None, "short"]
     spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     run = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
-    md = {r.doc_id: r.md for r in queries.carried(spark, str(tmp_path), queries.WHOLE).collect()}
+    md = {r.doc_id: r.md for r in queries.carried(spark, str(tmp_path)).collect()}
     assert all(md[i].count(t or "") >= 2 for i, t in enumerate(texts))
     found = {i: [(len(m[1]), m[2]) for m in HEADING.finditer(t)] for i, t in md.items()}
     assert (1, "Late one") in found[0]
-    assert sorted((r.doc_id, r.pos, r.depth, r.title) for r in run("headings_whole")) == sorted((i, k, *h) for i, hs in found.items() for k, h in enumerate(hs))
-    assert {r.depth: r.n for r in run("heading_depth_counts_whole")} == {d: sum(h[0] == d for hs in found.values() for h in hs) for d in (1, 2, 3)}
+    assert sorted((r.doc_id, r.pos, r.depth, r.title) for r in run("headings")) == sorted((i, k, *h) for i, hs in found.items() for k, h in enumerate(hs))
+    assert {r.depth: r.n for r in run("heading_depth_counts")} == {d: sum(h[0] == d for hs in found.values() for h in hs) for d in (1, 2, 3)}
     for name, needle in (("methods", "methods"), ("nested_parent", "doc "), ("detail", "detail of")):
-        assert {r.doc_id: r.section_text for r in run(f"section_{name}_whole")} == {i: sections(t, needle) for i, t in md.items()}
-    assert {r.doc_id: r.body for r in run("reference_body_whole")} == {i: split(t)[0] for i, t in md.items()}
-    assert sorted((r.doc_id, r.pos, r.entry) for r in run("reference_entries_whole")) == sorted((i, k, x) for i, t in md.items() for k, x in enumerate(split(t)[1]))
-    assert {r.doc_id: r.n_refs for r in run("reference_counts_whole")} == {i: len(split(t)[1]) for i, t in md.items()}
+        assert {r.doc_id: r.section_text for r in run(f"section_{name}")} == {i: sections(t, needle) for i, t in md.items()}
+    assert {r.doc_id: r.body for r in run("reference_body")} == {i: split(t)[0] for i, t in md.items()}
+    assert sorted((r.doc_id, r.pos, r.entry) for r in run("reference_entries")) == sorted((i, k, x) for i, t in md.items() for k, x in enumerate(split(t)[1]))
+    assert {r.doc_id: r.n_refs for r in run("reference_counts")} == {i: len(split(t)[1]) for i, t in md.items()}
     blocks = sorted((i, k, t, c) for i, x in md.items() for k, t, c, _ in tables(x))
     assert (0, 0, "| a |\n|---|\n| 1 |", "Table 9: late.") in blocks
-    assert sorted((r.doc_id, r.idx, r.table_md) for r in run("table_blocks_whole")) == [x[:3] for x in blocks]
-    assert sorted((r.doc_id, r.idx, r.caption) for r in run("table_captions_whole")) == [(i, k, c) for i, k, _, c in blocks]
-    assert len(run("cli_tables_whole")) == len(blocks)
+    assert sorted((r.doc_id, r.idx, r.table_md) for r in run("table_blocks")) == [x[:3] for x in blocks]
+    assert sorted((r.doc_id, r.idx, r.caption) for r in run("table_captions")) == [(i, k, c) for i, k, _, c in blocks]
+    assert len(run("cli_tables")) == len(blocks)

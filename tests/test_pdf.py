@@ -1,7 +1,12 @@
 """Preflight verdicts on generated files, and extraction end to end."""
 
+import importlib.machinery
 import io
 import json
+import os
+import sys
+import time
+import types
 from contextlib import redirect_stderr, redirect_stdout
 
 import pandas as pd
@@ -18,6 +23,7 @@ from paperloom.sources import files
 from paperloom.streaming.ingest import ingest
 from tests.pdfs import objects_of, packed, simple, updated, written
 
+OWN = ex.BACKENDS[FAST].cached_as
 PAGES = [[(10, "one")], [(10, "two")]]
 CASES = {
     "good": (simple(3), "PASS", (3, 3, 3), ""),
@@ -122,15 +128,109 @@ def test_cache_keys_evict_and_corruption(spark, folder):
     f = files.with_key(files.pdf_files(spark, str(folder / "pdfs"))).select("sha16", "path", "content").persist()
     assert all(len(r["sha16"]) == 16 for r in f.collect())
     extract(spark, str(folder / "pdfs"), backend=FAST, cache=cache).count()
-    assert cache.misses(f, STRUCTURED).count() == 3 and cache.misses(f, FAST).count() == 0
-    assert DocCache(spark, str(folder / "cache"), version="9").misses(f, FAST).count() == 3
+    assert cache.misses(f, STRUCTURED).count() == 3 and cache.misses(f, OWN).count() == 0
+    # the own reader's results don't pass for the package's
+    assert OWN != FAST and cache.misses(f, FAST).count() == 3
+    assert DocCache(spark, str(folder / "cache"), version="9").misses(f, OWN).count() == 3
     keys = f.where(F.col("path").endswith("/a.pdf"))
-    assert cache.evict(keys, FAST) == 1 and cache.evict(keys, FAST) == 0 and cache.misses(f, FAST).count() == 2
+    assert cache.evict(keys, OWN) == 1 and cache.evict(keys, OWN) == 0 and cache.misses(f, OWN).count() == 2
     bad = spark.createDataFrame([(keys.first()["sha16"], "{not valid")], "sha16 string, doc string")
-    bad.select("sha16", "doc", F.current_timestamp().alias("written_at"), F.lit(FAST).alias("backend"), F.lit(cache.version).alias("extract_version")).write.mode("append").partitionBy("backend", "extract_version").parquet(cache.path)
-    assert cache.misses(f, FAST).count() == 2 and cache.inventory().first()["entries"] == 2
-    cache.evict_older(FAST, 60)
+    bad.select("sha16", "doc", F.current_timestamp().alias("written_at"), F.lit(OWN).alias("backend"), F.lit(cache.version).alias("extract_version")).write.mode("append").partitionBy("backend", "extract_version").parquet(cache.path)
+    assert cache.misses(f, OWN).count() == 2 and cache.inventory().first()["entries"] == 2
+    cache.evict_older(OWN, 60)
     assert cache.inventory().first()["entries"] == 2
+    assert sorted(p.name for p in (folder / "cache").iterdir() if p.name.startswith(".")) == []  # nothing is left beside the tables
+
+
+def test_lookups_read_no_documents_that_were_saved_here(spark, folder):
+    cache = DocCache(spark, str(folder / "cache"))
+    f = files.with_key(files.pdf_files(spark, str(folder / "pdfs"))).select("sha16", "path")
+    extract(spark, str(folder / "pdfs"), backend=FAST, cache=cache).count()
+    plan = cache.misses(f, OWN)._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.split("\n") if "ReadSchema" in x or "Scan parquet" in x]
+    with_doc = [x for x in scans if "doc:string" in x]
+    assert scans and all("IsNull(checked)" in x for x in with_doc)  # only what another program wrote is decoded
+
+
+def test_failures_are_told_and_never_cached(spark, folder, monkeypatch):
+    (folder / "pdfs" / "broken.pdf").write_bytes(b"no document at all")
+    cache = DocCache(spark, str(folder / "cache"))
+    for kept in (cache, None, cache):
+        got = {r["path"].rsplit("/", 1)[1]: r for r in extract(spark, str(folder / "pdfs"), backend=FAST, cache=kept, use_cache=kept is not None).collect()}
+        assert got["broken.pdf"]["doc"] is None and got["broken.pdf"]["problem"].startswith("PdfError") and got["a.pdf"]["problem"] is None
+    assert cache.keys(OWN).count() == 2 and cache.failures(OWN).count() == 1
+    # auto takes what the fast backend can't read to the structured one
+    structured_stub(monkeypatch, [])
+    auto = {r["path"].rsplit("/", 1)[1]: r for r in extract(spark, str(folder / "pdfs"), cache=cache).collect()}
+    assert auto["broken.pdf"]["doc"]["backend"] == STRUCTURED and auto["broken.pdf"]["problem"] is None
+    # once it can be read, it is
+    monkeypatch.setitem(ex.BACKENDS, FAST, ex.Backend(FAST, lambda d, o: {"markdown": "now " * 40, "title": "", "authors": "", "n_pages": 1, "images": {}}, stored_as=OWN))
+    later = {r["path"].rsplit("/", 1)[1]: r for r in extract(spark, str(folder / "pdfs"), backend=FAST, cache=cache).collect()}
+    assert later["broken.pdf"]["problem"] is None and later["broken.pdf"]["doc"]["markdown"].startswith("now")
+
+
+def test_figures_are_kept_in_the_cache(spark, folder, monkeypatch):
+    structured_stub(monkeypatch, [])
+    cache = DocCache(spark, str(folder / "cache"))
+    got = extract(spark, str(folder / "pdfs"), backend=STRUCTURED, cache=cache).collect()
+    assert all([f["image_path"] for f in r["doc"]["figures"]] == ["page_10_x.png", "page_2_x.png"] for r in got)
+    kept = {(r["sha16"], r["name"]): bytes(r["data"]) for r in cache.figures(STRUCTURED).collect()}
+    assert len(kept) == 4 and {v for (_, n), v in kept.items() if n == "page_2_x.png"} == {b"y"}
+    assert cache.export_figures(spark.createDataFrame([(got[0]["sha16"],)], "sha16 string"), STRUCTURED, str(folder / "out")) == 2
+    assert (folder / "out" / got[0]["sha16"] / "page_10_x.png").read_bytes() == b"x"
+    extract(spark, str(folder / "pdfs"), backend=STRUCTURED, use_cache=False, figures_dir=str(folder / "plain")).count()
+    assert len(list((folder / "plain").glob("*/*.png"))) == 4
+
+    class Odd:
+        def save(self, *_, **__):
+            raise OSError("no")
+
+    convert = lambda d, o: {"markdown": "x", "title": "", "authors": "", "n_pages": 1, "images": {"page_1_a": b"a", "page_2_b": Odd(), "page_3_c": b"c"}}
+    monkeypatch.setitem(ex.BACKENDS, STRUCTURED, ex.Backend(STRUCTURED, convert, mines=True))
+    figures = extract(spark, str(folder / "pdfs" / "thin.pdf"), backend=STRUCTURED, use_cache=False).first()["doc"]["figures"]
+    assert [(f["index"], f["image_path"], f["page"]) for f in figures] == [(0, "page_1_a", 1), (1, "page_3_c", 3)]
+
+
+def test_adapters_of_optional_packages(monkeypatch):
+    """The calls that the adapters make, against stand-ins for the packages."""
+    made = []
+
+    class Opened:
+        metadata, page_count = {"title": " T ", "author": None}, 7
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            made.append("closed")
+
+    pymupdf = types.SimpleNamespace(open=lambda stream, filetype: made.append((stream, filetype)) or Opened())
+    fast = types.SimpleNamespace(to_markdown=lambda doc: "# md")
+    fast.__spec__ = importlib.machinery.ModuleSpec("pymupdf4llm", None)
+    monkeypatch.setitem(sys.modules, "pymupdf", pymupdf)
+    monkeypatch.setitem(sys.modules, "pymupdf4llm", fast)
+    assert ex.optional_fast(b"pdf", {}) == {"markdown": "# md", "title": "T", "authors": "", "n_pages": 7, "images": {}}
+    assert made == [(b"pdf", "pdf"), "closed"]
+
+    class Converter:
+        def __init__(self, artifact_dict, config):
+            made.append((artifact_dict, config))
+
+        def __call__(self, path):
+            with open(path, "rb") as f:
+                made.append(f.read())
+            return types.SimpleNamespace(metadata={"title": "Given"})
+
+    loads = []
+    monkeypatch.setattr(ex, "_models", {})
+    for name, content in {"marker": {}, "marker.converters": {}, "marker.converters.pdf": {"PdfConverter": Converter}, "marker.models": {"create_model_dict": lambda: loads.append(1) or "models"}, "marker.output": {"text_from_rendered": lambda r: ("text", "md", {"page_1.png": b"i"})}}.items():
+        monkeypatch.setitem(sys.modules, name, types.SimpleNamespace(**content))
+    made.clear()
+    for _ in range(2):
+        got = ex.optional_structured(simple(2), {"skip_ocr": True})
+    assert got == {"markdown": "text", "title": "A Title", "authors": "Ann Author", "n_pages": 2, "images": {"page_1.png": b"i"}}
+    assert made[0] == ("models", {"skip_ocr": True}) and made[1] == simple(2) and loads == [1]
+    assert ex.optional_structured(b"no pdf", {})["title"] == "Given"  # metadata is extra; the text stays
 
 
 def test_bulk_run(spark, folder, monkeypatch):
@@ -180,9 +280,62 @@ def test_bulk_command_line(spark, folder, monkeypatch):
         assert "busy" in run("--library-json", str(folder / "lib.json"))[1]
 
 
-def test_guards_and_locks(tmp_path):
-    import time
+def test_bibliographies_with_stray_bytes(spark, tmp_path):
+    (tmp_path / "paper-y").mkdir()
+    (tmp_path / "paper-y" / "main.bib").write_bytes("@article{müller2020,\n}\n".encode() + b"% stray \xff byte\n@book{na\xffme,\n}\n")
+    assert {r["citekey"] for r in files.project_citekeys(spark, str(tmp_path)).collect()} == {"müller2020", "name"}
+
 
+def test_memory_is_looked_at_while_a_paper_runs():
+    def convert(data, options):
+        held = bytearray(int(data) << 20)
+        held[:: 4096] = b"x" * len(held[:: 4096])
+        time.sleep(0.05 if int(data) < 200 else 20)
+        return {"size": len(held)}
+
+    base = bulk.resident_mb(os.getpid())
+    run = bulk.guarded(convert, 30, base + 300, every=0.05)
+    began = time.monotonic()
+    assert run(b"1", {}) == {"size": 1 << 20}
+    with pytest.raises(MemoryError):  # ended while it runs, not after its 20 s
+        run(b"700", {})
+    assert time.monotonic() - began < 15
+    assert run(b"2", {}) == {"size": 2 << 20}  # the next paper isn't blamed
+
+
+def test_a_conversion_that_dies_or_raises_or_is_late():
+    def convert(data, options):
+        if data == b"die":
+            os._exit(3)
+        if data == b"raise":
+            raise ValueError("bad file")
+        time.sleep(0.1)
+        return {"pid": os.getpid()}
+
+    run = bulk.guarded(convert, 5, 0)
+    first = run(b"", {})["pid"]
+    assert first != os.getpid() and run(b"", {})["pid"] == first  # one child for all papers
+    with pytest.raises(RuntimeError):
+        run(b"die", {})
+    with pytest.raises(ValueError, match="bad file"):
+        run(b"raise", {})
+    assert run(b"", {})["pid"] != first
+    with pytest.raises(InterruptedError):
+        bulk.guarded(convert, 5, 0, until=time.time() - 1)(b"", {})
+
+
+def test_papers_after_the_deadline_are_left_out(spark, folder, monkeypatch):
+    structured_stub(monkeypatch, [])
+    found = files.with_key(files.pdf_files(spark, str(folder / "pdfs"))).select(F.lit("k").alias("citekey"), "path", "sha16")
+    cache = DocCache(spark, str(folder / "cache"))
+    moments = iter([0.0, 0.0, 10.0])
+    monkeypatch.setattr(bulk.time, "monotonic", lambda: 0.0)  # the loop goes on, so the executors must stop
+    monkeypatch.setattr(bulk.time, "time", lambda: next(moments, -100.0) - 50.0)
+    log = bulk.run(spark, found, cache, bulk.Budget(seconds=1, rss_mb=0), free=lambda: 100.0)
+    assert log.count() == 0 and cache.keys(STRUCTURED).count() == 0 and cache.failures(STRUCTURED).count() == 0
+
+
+def test_guards_and_locks(tmp_path):
     with pytest.raises(TimeoutError):
         bulk.guarded(lambda d, o: time.sleep(3), 1, 0)(b"", {})
     with pytest.raises(MemoryError):
