@@ -23,6 +23,11 @@ CACHE_ENTRIES = 400_000
 CACHED_CHARS = 64
 
 
+def n_bytes(text: str) -> int:
+    """Length in UTF-8; ASCII text is not encoded for it."""
+    return len(text) if text.isascii() else len(text.encode())
+
+
 class Counter:
     """Counts tokens as `tokenizers` gives them, without added tokens, truncation or padding."""
 
@@ -59,7 +64,7 @@ class Counter:
         held = 0
         for c in chunks:  # balanced by bytes, not by number
             batch.append(c)
-            held += len(c)
+            held += n_bytes(c)
             if held >= BATCH_BYTES:
                 out += map(len, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False))
                 batch, held = [], 0
@@ -82,12 +87,12 @@ class Counter:
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        if len(text) <= BATCH_BYTES:
+        if n_bytes(text) <= BATCH_BYTES:
             return self._sum(self._list(text))
         total, window, held = 0, [], 0
         for c in self._chunks(text):
             window.append(c)
-            held += len(c)
+            held += n_bytes(c)
             if held >= BATCH_BYTES:
                 total += self._sum(window)
                 window, held = [], 0
@@ -99,10 +104,11 @@ class Counter:
         group: list[str] = []
         held = 0
         for text in [*texts, None]:
-            if text is not None and len(text) <= BATCH_BYTES:
+            size = 0 if text is None else n_bytes(text)
+            if text is not None and size <= BATCH_BYTES:
                 group.append(text)
-                held += len(text)
-            if group and (held >= BATCH_BYTES or text is None or len(text) > BATCH_BYTES):
+                held += size
+            if group and (held >= BATCH_BYTES or text is None or size > BATCH_BYTES):
                 parts = [self._list(t) for t in group]
                 get = self.known.get
                 new = list({c for p in parts for c in p if get(c) is None})
@@ -117,7 +123,7 @@ class Counter:
                         del known[c]
                 self.known = known
                 group, held = [], 0
-            if text is not None and len(text) > BATCH_BYTES:
+            if text is not None and size > BATCH_BYTES:
                 out.append(self.count(text))
             elif text is None:
                 out.append(0)
@@ -142,7 +148,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", keep: tupl
             sizes: list[int] = []
             for at in range(0, len(texts), 256):  # strings of a few rows at a time
                 part = texts.slice(at, 256).to_pylist()
-                sizes += [len(t.encode()) if t else 0 for t in part]
+                sizes += [n_bytes(t) if t else 0 for t in part]
                 counts += counter.counts([t or "" for t in part])
             columns = [*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "n_bytes", "n_tokens", "over_limit"])

@@ -37,8 +37,21 @@ def test_tokens_equal_the_librarys_on_whole_texts(spark):
 def test_long_texts_are_counted_in_windows(monkeypatch):
     monkeypatch.setattr(tokens, "BATCH_BYTES", 50)
     c = tokens.Counter(tokenizer_path())
-    texts = ["one two three " * 40, "short", "", "nospacesatall" * 30]
+    texts = ["one two three " * 40, "short", "", "nospacesatall" * 30, "é字 " * 40, "é" * 26]
+    seen = []
+    encode = c.tokenizer.encode_batch_fast
+    monkeypatch.setattr(c, "tokenizer", type("T", (), {"encode": c.tokenizer.encode, "encode_batch_fast": lambda _, b, **k: seen.append(b) or encode(b, **k)})())
     assert c.counts(texts) == [len(c.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    # batches hold at most about BATCH_BYTES bytes, whatever the characters
+    assert len(seen) > 3 and all(len("".join(b[:-1]).encode()) < 50 for b in seen)
+
+
+def test_token_counts_of_odd_tables(spark):
+    empty = tokens.count_tokens(docs(spark, ["a"]).limit(0), tokenizer_path())
+    assert empty.count() == 0 and empty.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+    clash = spark.createDataFrame([(None, "a b", "n", 1, 2)] * 2 + [(1, None, None, None, None)], "doc_id long, text string, n_tokens string, n_bytes int, __text int")
+    got = tokens.count_tokens(clash, tokenizer_path()).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in got) == [(0, 3, 2), (0, 3, 2), (1, 0, 0)]
 
 
 def words_of(t):
