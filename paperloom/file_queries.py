@@ -19,7 +19,7 @@ from paperloom import bulk_cli, cli
 from paperloom.functions import keys
 from paperloom.operators import preflight
 from paperloom.operators.cache import DocCache, doc_json, export_images, first_of_content
-from paperloom.operators.extract import BACKENDS, extract_files
+from paperloom.operators.extract import BACKENDS, Backend, extract_files, register
 from paperloom.plans import bulk
 from paperloom.queries import documents, keyed, long, query, table
 from paperloom.schemas import ExtractedDoc
@@ -315,3 +315,58 @@ def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
             text = str(json.loads(text)["n_pages" if what == "metadata" else "verdict"])
         rows.append((what, code, text.split("\n")[0]))
     return spark.createDataFrame(rows, "what string, code int, first string")
+
+
+@query("SELECT doc_id, substr(sha1(coalesce(text, '')), 1, 16) || '_' || CASE WHEN doc_id % 2 = 0 THEN 'marker' ELSE 'pymupdf4llm' END || '_v0.1.0' AS entry FROM documents")
+def entry_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    backend = F.when(F.col("doc_id") % 2 == 0, keys.STRUCTURED).otherwise(keys.FAST)
+    return keyed(spark, sf_dir).select("doc_id", keys.entry_name(F.col("sha16"), backend, F.lit(keys.EXTRACT_VERSION)).alias("entry"))
+
+
+@query(f"WITH {LIBRARY_SQL} SELECT 'k' || item_id AS citekey, 'FAIL' AS verdict, greatest(1, item_id % 4) + 2 AS declared, greatest(1, item_id % 4) AS enumerated FROM queue WHERE item_id % 8 = 3")
+def fail_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a bulk run keeps of files whose page counts disagree."""
+    root = _library(spark, sf_dir, "sidecars")
+    entries, blocked = _queue(spark, root)
+    todo = bulk.not_blocklisted(entries, blocked)
+    bulk.run(spark, todo, DocCache(spark, f"{root}/cache"), bulk.Budget(free_percent=0), keys.FAST, sidecars=f"{root}/sidecars")
+    schema = "verdict string, declared_page_count long, enumerated_page_count long, citekey string"
+    return spark.read.schema(schema).json(f"{root}/sidecars").select("citekey", "verdict", F.col("declared_page_count").alias("declared"), F.col("enumerated_page_count").alias("enumerated"))
+
+
+@query("SELECT 'k' || item_id AS citekey, 'memory' AS reason, CAST(item_id AS INTEGER) AS rss_mb FROM (SELECT DISTINCT item_id FROM benchmark)")
+def blocklist_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch(spark, 'blocklist')}/blocklist.json"
+    rows = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("k"), F.col("item_id").cast("string")).alias("citekey"), F.lit("memory").alias("reason"), F.col("item_id").cast("int").alias("rss_mb"), F.lit("x.pdf").alias("pdf"), F.lit("2020-01-01").alias("date")).distinct()
+    files.save_blocklist(rows, path)
+    return files.blocklist(spark, path).select("citekey", "reason", "rss_mb")
+
+
+def _stand_in(data: bytes, options: dict) -> dict:
+    """A structured conversion that needs no package: tables, references and images by the number in the file's title."""
+    from paperloom.sources.pdf import Reader
+
+    reader = Reader(data)
+    n = int(reader.metadata()["title"].split(" ")[1])
+    tables = "".join(f"Table {k}. Of {n}\n\n| a | b |\n|---|---|\n| {k} | {n} |\n\n" for k in range(n % 4))
+    refs = "".join(f"[{k}] An entry of the list that is long enough, {n}.\n" for k in range(n % 3))
+    return {"markdown": f"# Paper {n}\n\n{tables}End.\n\n## References\n\n{refs}", "title": "", "authors": "", "n_pages": len(reader.pages()), "images": {f"page_{k}_x.png": b"%d" % n for k in range(n % 5)}}
+
+
+@query("""WITH x AS (SELECT doc_id, doc_id % 8 <> 5 AS good FROM documents) SELECT doc_id, good, CASE WHEN good THEN doc_id % 4 END AS n_tables, CASE WHEN good AND doc_id % 4 > 0 THEN 'Table ' || (doc_id % 4 - 1) || '. Of ' || doc_id END AS last_caption,
+CASE WHEN good THEN doc_id % 3 END AS n_refs, CASE WHEN good THEN doc_id % 5 END AS n_figures, CASE WHEN good THEN doc_id % 5 ELSE 0 END AS n_saved, CASE WHEN good THEN greatest(0, doc_id % 5 - 1) END AS last_page FROM x""")
+def extract_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The structured path with a stand-in for the package: tables, captions, references, figures and their images in the cache."""
+    cache = DocCache(spark, scratch(spark, "cache"))
+    register(Backend("stand-in", _stand_in, mines=True))
+    try:
+        out = extract_files(_document_pdfs(spark, sf_dir), "stand-in", cache=cache)
+    finally:
+        BACKENDS.pop("stand-in")
+    saved = cache.figures("stand-in").groupBy("sha16").agg(F.count("*").alias("n_saved"))
+    doc = F.col("doc")
+    return out.join(saved, "sha16", "left").select(
+        _id().alias("doc_id"), doc.isNotNull().alias("good"), long(F.when(doc.isNotNull(), F.size(doc["tables"]))).alias("n_tables"), F.get(F.reverse(doc["tables"]), 0)["caption"].alias("last_caption"),
+        long(F.when(doc.isNotNull(), F.size(doc["references"]))).alias("n_refs"), long(F.when(doc.isNotNull(), F.size(doc["figures"]))).alias("n_figures"), F.coalesce("n_saved", F.lit(0)).alias("n_saved"),
+        long(F.when(doc.isNotNull(), F.coalesce(F.get(F.reverse(doc["figures"]), 0)["page"], F.lit(0)))).alias("last_page"),
+    )

@@ -21,6 +21,7 @@ from paperloom.functions.markdown import body_without_references, figures, refer
 from paperloom.operators.cache import DocCache, export_images, first_of_content
 from paperloom.sources.files import pdf_files, with_key
 
+PATHS_TO_BROADCAST = 200_000
 RAW = "sha16 string, path string, markdown string, title string, authors string, n_pages int, images array<string>, data array<struct<name:string,data:binary>>, problem string"
 Converted = dict
 
@@ -200,10 +201,13 @@ def through(files: DataFrame, name: str, cache: DocCache | None, options: dict |
             docs = docs.persist(StorageLevel.DISK_ONLY)  # images and documents come from one conversion
             export_images(docs.select("sha16", F.explode("data").alias("d")).select("sha16", "d.name", "d.data"), figures_dir)
         return docs.select("sha16", "path", "problem", good)
-    missing = cache.misses(files, backend.cached_as)
-    once = missing.join(first_of_content(missing).select("sha16", "path"), ["sha16", "path"], "left_semi")
-    keep(document(converted(once, backend, options), backend), backend, cache)
-    names = files.select("sha16", "path")
+    names = files.select("sha16", "path").persist(StorageLevel.DISK_ONLY)  # bytes are hashed once
+    missing = first_of_content(cache.misses(names, backend.cached_as)).select("sha16", "path")
+    n = missing.count()
+    if n:
+        # bytes stay where they are read as long as the list of paths is small
+        wanted = F.broadcast(missing) if n <= PATHS_TO_BROADCAST else missing
+        keep(document(converted(files.join(wanted, ["sha16", "path"], "left_semi"), backend, options), backend), backend, cache)
     if figures_dir and backend.mines:
         cache.export_figures(names, backend.cached_as, figures_dir)
     found = names.join(cache.hits(names.select("sha16").distinct(), backend.cached_as).withColumnRenamed("cached", "doc"), "sha16", "left")

@@ -242,7 +242,8 @@ def run(spark: SparkSession, todo: DataFrame, cache: DocCache, budget: Budget, b
             break
         part = spark.createDataFrame(rows[at : at + budget.batch], "citekey string, path string")
         files = with_key(spark.read.format("binaryFile").load([p for _, p in rows[at : at + budget.batch]]))
-        files = files.select(F.col("path").alias("file"), "sha16", "content").join(part.withColumn("file", F.concat(F.lit("file:"), F.regexp_replace("path", "^file:", ""))), "file")
+        plain = lambda c: F.regexp_replace(c, "^file:/*", "/")  # noqa: E731  a local path may stand with or without its scheme
+        files = files.select(F.col("path").alias("file"), "sha16", "content").join(part.withColumn("__plain", plain("path")), plain("file") == F.col("__plain")).drop("__plain")
         checked = files.join(preflight(files, "path").select(F.col("file").alias("path"), "verdict", "declared_page_count", "enumerated_page_count", "reader_page_count", "warnings"), "path").persist()
         bad = checked.where(F.col("verdict") == FAIL)
         if sidecars:
