@@ -568,3 +568,87 @@ def test_stages_on_odd_rows(spark):
     assert ids["decontaminate"] == [i for i in every if i[1] != 44]
     assert {r["doc_id"] for r in out["mix_sources"]} <= {r[0] for r in rows} and all(r["copy"] <= r["copies"] for r in out["mix_sources"])
     assert next(r for r in out["line_dedup"] if r["doc_id"] == 43)["text"] == long_text
+
+
+def plain_classes(texts):
+    """id -> least id of its class: components of weighted Jaccard similarity of 0.8 or more over all pairs."""
+    sets, _, _ = exact_weights(texts)
+    label = {i: i for i, _ in texts}
+    for i in label:
+        for j in label:
+            a, b = sets[i], sets[j]
+            if i < j and a and b:
+                common = sum(min(a[k], b[k]) for k in a.keys() & b.keys())
+                if common / (sum(a.values()) + sum(b.values()) - common) >= 0.8:
+                    old, new = max(label[i], label[j]), min(label[i], label[j])
+                    label = {k: new if v == old else v for k, v in label.items()}
+    return label
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """run() over planted copies, passages, leaks and texts of no language, against each stage done in plain Python or SQL."""
+    import duckdb
+
+    from paperloom.llm import queries
+
+    rng = random.Random(77)
+    tongue = {"en": ["the", "and", "with", "house", "green", "water", "people", "before"], "de": ["und", "nicht", "straße", "über", "grün", "wasser", "leute", "schön"]}
+    prose_ = lambda la, n: " ".join(rng.choice(tongue[la]) + str(rng.randrange(60)) for _ in range(n))
+    bench = [prose_("en", 30) for _ in range(3)]
+    passage = prose_("en", 55)
+    rows = []
+    for i in range(120):
+        la = "en" if i % 3 else "de"
+        lines = [prose_(la, rng.randrange(15, 40)) for _ in range(rng.randrange(2, 6))]
+        if i % 17 == 5:
+            lines.insert(1, passage)
+        if i % 40 == 7:
+            lines[0] += " " + bench[i % 3]
+        rows.append([i, "\n".join(lines), la, f"s{i % 4}"])
+    rows += [[200 + k, rows[k][1].replace(" ", "  ", 1) if k % 2 else edited(rng, rows[k][1], 0.005), rows[k][2], "s1"] for k in range(0, 30, 3)]
+    rows += [[300, None, "en", "s0"], [301, "", "en", "s0"], [302, "123 ...", "en", None]]
+    rows = [(i, t, la, so, len(t or "")) for i, t, la, so in rows]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(bench)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # 1: the fitted model's table, applied in plain Python
+    model = langid.fit(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    seen = {}
+    for i, t, *_ in rows:
+        x = [c if 97 <= c < 123 or c >= 128 else 32 for c in (t or "").lower().encode()]
+        logits, n = np.zeros(len(model.labels)), 0
+        for size in langid.ORDERS:
+            for at in range(len(x) - size + 1):
+                if x[at] == 32 and x[at + 1] == 32:
+                    continue
+                h = size
+                for c in x[at : at + size]:
+                    h = (h * 0x01000193 & 0xFFFFFFFF) ^ c
+                logits += model.table[(h * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - langid.BITS]
+                n += 1
+        z = (logits / max(1, n) + model.bias) / model.temperature
+        p = (np.exp(z - z.max()) / np.exp(z - z.max()).sum()).max()
+        if re.search(r"[^\W\d_]", t or "") and p >= model.threshold:
+            seen[i] = t
+    assert not {300, 301, 302} & seen.keys() and len(seen) > 115
+    # 2: later repeated runs of lines
+    ids = sorted(seen)
+    gone = brute_later([seen[i] for i in ids])
+    assert sum(map(len, gone)) >= 6
+    cut = {i: "\n".join(x for k, x in enumerate(seen[i].split("\n")) if k not in g) for i, g in zip(ids, gone, strict=True)}
+    cut = {i: t for i, t in cut.items() if not (t != seen[i] and not re.search(r"[^\W_]", t))}
+    # 3: the least of each class
+    label = plain_classes(sorted(cut.items()))
+    left = {i: t for i, t in cut.items() if label[i] == i}
+    assert len(left) < len(cut)
+    # 4: no benchmark item
+    clean = {i: t for i, t in left.items() if not any(len(shingle_set(x) & shingle_set(t)) >= 0.8 * len(shingle_set(x)) for x in bench)}
+    assert len(clean) < len(left)
+    # 5: the mix in SQL
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [(i, t, next(r[3] for r in rows if r[0] == i)) for i, t in clean.items()])
+    copies = {r[0]: r[1] for r in con.execute(f"SELECT doc_id, copies FROM ({queries.OP7_SQL})").fetchall()}
+    assert sorted((r.doc_id, r.copy) for r in got) == sorted((i, k + 1) for i, n in copies.items() for k in range(n))
+    assert all(r.text == clean[r.doc_id] and r.copies == copies[r.doc_id] for r in got)
+    assert all(r.n_chars == len(r.text) for r in got)
