@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm import _bytes as B
 from paperloom.llm._store import written
-from paperloom.llm.components import join_split
+from paperloom.llm.components import join_split, short_list
 
 NOISE, GUARANTEE = 25, 50
 SPACE = np.zeros(256, bool)
@@ -161,7 +161,8 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", nois
     tie = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("h").cast("string"))
     # one row for each document, with at most as many places as the text has lines
     shared = written(places.join(prints, "print").groupBy("id", "h").agg(F.collect_set("at").alias("at")).select("id", "h", "at", tie.alias("tie")), "lines-shared")
-    own = x.select(tie.alias("tie"), "raw").join(shared.select("tie").hint("merge"), "tie", "left_semi").dropDuplicates(["tie"])
+    own = x.join(short_list(shared.select("h").distinct()), "h", "left_semi").select(tie.alias("tie"), "raw")
+    own = own.join(shared.select("tie"), "tie", "left_semi").dropDuplicates(["tie"])
     found = written(text_units(shared.join(own, "tie"), noise, guarantee), "lines-units")
     firsts = found.groupBy("unit").agg(F.min(F.struct("id", "h", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("unit", "first")
     later = join_split(found, written(firsts, "lines-firsts"), "unit").where(F.col("first") < F.struct("id", "h", "start"))
@@ -180,8 +181,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", noise: int =
     runs = written(repeated_runs(docs, key, text, noise, guarantee), "lines-runs").select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("first_id").alias("__first"), F.col("runs").alias("__runs"))
     x = docs.drop("n_lines", "n_deleted", "first_id")
     x = x.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    # runs grow with the documents: a shuffle at every size, never a broadcast
-    x = x.join(runs.hint("merge"), F.col("__hash").eqNullSafe(F.col("__h")) & F.col(key).cast("long").eqNullSafe(F.col("__id")), "left")
+    # only texts with a run meet the runs; the others need not be shuffled
+    same = F.col("__hash").eqNullSafe(F.col("__h")) & F.col(key).cast("long").eqNullSafe(F.col("__id"))
+    hashes = short_list(runs.select(F.col("__h").alias("__hash")).distinct())
+    x = x.join(hashes, "__hash", "left_semi").join(runs, same, "left").unionByName(x.join(hashes, "__hash", "left_anti"), allowMissingColumns=True)
     parts = F.split(F.col(text), "\n")
     kept = F.filter(parts, lambda line, i: ~F.exists("__runs", lambda r: (i >= r["start"]) & (i < r["end"])))
     x = x.withColumn("__lines", F.when(F.col("__runs").isNotNull(), F.array(F.array_join(kept, "\n"), F.size(kept).cast("string"))))
