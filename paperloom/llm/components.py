@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 
 from paperloom.llm._store import written
 
+LONGS_TO_BROADCAST = 2_000_000
 HOT_KEYS = 10_000
 HOT_ROWS = 1000
 
 
+def short_list(longs: DataFrame) -> DataFrame:
+    """A table of one column of longs, marked to be broadcast if it has at most LONGS_TO_BROADCAST rows, else to be joined by shuffle."""
+    return F.broadcast(longs) if longs.count() <= LONGS_TO_BROADCAST else longs.hint("merge")
+
+
 def hot_keys(rows: DataFrame, key: str) -> DataFrame | None:
     """key, salts: the keys that hold at least HOT_ROWS rows and one of HOT_KEYS equal shares of all, so at most HOT_KEYS; salts is
     how many times that least number each holds, rounded up. None if there are none."""
@@ -20,13 +26,22 @@ def hot_keys(rows: DataFrame, key: str) -> DataFrame | None:
     return None if hot.isEmpty() else hot
 
 
-def join_split(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """rows join table on `key`, which may be hot in `rows` and stands about once in `table`; how is inner or left.
+def hot_among(sizes: DataFrame, key: str, size: str) -> DataFrame | None:
+    """As hot_keys(), from a table that has the number of rows of each key already."""
+    total = sizes.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    least = max(HOT_ROWS, -(-total // HOT_KEYS))
+    hot = written(sizes.where(F.col(size) >= least).select(key, F.ceil(F.col(size) / least).cast("int").alias("salts")), "hot-keys")
+    return None if hot.isEmpty() else hot
+
+
+def join_split(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", hot: DataFrame | None | bool = True) -> DataFrame:
+    """rows join table on `key`, which may be hot in `rows` and stands about once in `table`; how is inner or left. `hot` is what
+    hot_keys() or hot_among() gave, if that is known.
 
     The rows of `table` with hot keys are broadcast, at most HOT_KEYS, which must be narrow; so hot rows never meet in one task.
     All other keys are joined as Spark sees fit.
     """
-    hot = hot_keys(rows, key)
+    hot = hot_keys(rows, key) if hot is True else hot
     if hot is None:
         return rows.join(table, key, how)
     keys = F.broadcast(hot.select(key))

@@ -25,10 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm._store import written
+from paperloom.llm.components import short_list
 
 WORDS = 5
 MISS = 1e-6
-LONGS_TO_BROADCAST = 2_000_000  # a broadcast table of one long a row; beyond that the same rows are joined by shuffle
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -88,10 +88,8 @@ def item_minima(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def among(rows: DataFrame, column: str, longs: DataFrame) -> DataFrame:
-    """The rows whose column is one of `longs` (one distinct column), which is broadcast only if it is small."""
-    name = longs.columns[0]
-    longs = F.broadcast(longs) if longs.count() <= LONGS_TO_BROADCAST else longs.hint("merge")
-    return rows.join(longs, F.col(column) == F.col(name), "left_semi")
+    """The rows whose column is one of `longs` (one distinct column)."""
+    return rows.join(short_list(longs), F.col(column) == F.col(longs.columns[0]), "left_semi")
 
 
 def probed(docs: DataFrame, probes: DataFrame) -> DataFrame:

@@ -102,7 +102,7 @@ def test_hot_keys_are_joined_whole(spark, monkeypatch):
     assert sorted((r.id, r.v) for r in x.join(components.repeated(table, hot, "k", "s"), ["k", "s"]).collect()) == want
 
 
-def test_near_classes_equal_brute_force(spark):
+def test_near_classes_equal_brute_force(spark, monkeypatch):
     texts = near_fixture()
     docs = frame(spark, texts + texts[:3] + [(None, "no key")])
     sets, _, _ = exact_weights([*texts, *((5000 + i, t) for i, t in texts[:3]), (6000, "no key")])  # all rows count
@@ -120,6 +120,9 @@ def test_near_classes_equal_brute_force(spark):
     got = {r.doc_id: r.class_id for r in rows}
     assert got.pop(None) is None and got == label
     assert {r.doc_id: r.class_size for r in rows if r.doc_id is not None} == {i: sum(v == c for v in label.values()) for i, c in label.items()}
+    monkeypatch.setattr(components, "HOT_ROWS", 5)  # nearly all keys are hot, and no list is short
+    monkeypatch.setattr(components, "LONGS_TO_BROADCAST", 0)
+    assert sorted(map(str, neardup.near_classes(docs).collect())) == sorted(map(str, rows))
     kept = neardup.without_copies(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {*label.values(), None}
     assert neardup.near_classes(docs.limit(0)).count() == 0
@@ -192,12 +195,16 @@ def test_later_texts_are_compared_where_the_first_place_holds_less(spark):
     assert all(rows[i].first_id == i - 1 for i in range(2, len(texts), 3))
 
 
-def test_units_cover_repeated_runs_and_nothing_else(spark):
+def test_units_cover_repeated_runs_and_nothing_else(spark, monkeypatch):
     rng = random.Random(13)
     pool = [prose(rng, n) for n in (0, 0, 3, 8, 14, 20, 26, 31, 49, 50)]
     texts = ["\n".join(rng.choices(pool, k=rng.randrange(1, 16))) for _ in range(60)]
     gone = brute_later(texts)
-    rows = {r.doc_id: r for r in linededup.dedup(frame(spark, list(enumerate(texts)))).collect()}
+    docs = frame(spark, list(enumerate(texts)))
+    rows = {r.doc_id: r for r in linededup.dedup(docs).collect()}
+    monkeypatch.setattr(components, "HOT_ROWS", 5)
+    monkeypatch.setattr(components, "LONGS_TO_BROADCAST", 0)
+    assert sorted(map(str, linededup.dedup(docs).collect())) == sorted(map(str, rows.values()))
     for i, t in enumerate(texts):
         assert rows[i].text == "\n".join(p for k, p in enumerate(t.split("\n")) if k not in gone[i]), i
 
@@ -266,7 +273,7 @@ def test_decontamination_searches_by_minima_only(spark, monkeypatch):
     index = decontam.item_minima(decontam.item_sets(items_df, "item_id", "text"), 0.8)
     probes = index.select("h").distinct().count()
     assert probes < sum(len(shingle_set(x)) for _, x in bench)  # not every shingle of an item is looked for
-    monkeypatch.setattr(decontam, "LONGS_TO_BROADCAST", 0)
+    monkeypatch.setattr(components, "LONGS_TO_BROADCAST", 0)
     assert sorted(map(str, decontam.find(docs, items_df).collect())) == sorted(map(str, got))
     left = decontam.without_leaks(docs, items_df)
     assert sorted(map(str, left.collect())) == sorted(str(r) for r in docs.collect() if r.doc_id not in {d for d, _ in want})
