@@ -6,7 +6,7 @@ over randomised byte values, taken from prefix sums and then mixed, so that ever
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ def powers(base: U, n: int) -> np.ndarray:
         have = np.full(max(n, SLICE_BYTES + 1), base, U)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if len(have) <= 4 * SLICE_BYTES:
+        if len(have) <= SLICE_BYTES + 1:  # longer ones, of single long texts, are not kept
             _powers[int(base)] = have
     return have[:n]
 
@@ -54,15 +54,42 @@ def flat(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of rows of about SLICE_BYTES, so that temporaries stay small: first row, end row, bytes, offsets."""
-    at, n = 0, len(offsets) - 1
-    while at < n:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
-        yield at, end, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
+def parts(texts: pa.Array, lower: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of rows of about SLICE_BYTES, so that temporaries stay small and a batch is never copied as a whole: first row, end row,
+    bytes, offsets."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_BYTES, "right")) - 1)
+        yield at, end, *flat(texts.slice(at, end - at), lower)
         at = end
 
 
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function over batches; when a task ends, the worker, which is kept for later tasks, gives freed memory back."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
+def give_back() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def spans(flags: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of True, none of which crosses an offset."""
     if not len(flags):

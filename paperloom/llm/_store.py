@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from paperloom.sources.files import remove_at_exit
+
 LOCAL_DIR = "/tmp/checkpoints"
 
 
@@ -22,8 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def own_dir(spark: SparkSession) -> str:
-    """The folder of this application's intermediate tables."""
-    return f"{shared_dir(spark)}/paperloom-{spark.conf.get('spark.app.id', 'local')}"
+    """The folder of this application's intermediate tables, deleted when the application ends."""
+    return remove_at_exit(spark, f"{shared_dir(spark)}/paperloom-{spark.conf.get('spark.app.id', 'local')}")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

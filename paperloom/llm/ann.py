@@ -11,8 +11,6 @@ node's vector are added when results are merged, so a vector that very many rows
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window

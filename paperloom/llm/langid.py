@@ -61,10 +61,9 @@ class Model:
 
     def logits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Per text the mean of its features' logits, and its number of features."""
-        data, offsets = B.flat(texts)
-        out = np.zeros((len(offsets) - 1, len(self.labels)))
-        count = np.zeros(len(offsets) - 1, np.int64)
-        for a, b, part, off in B.slices(data, offsets):
+        out = np.zeros((len(texts), len(self.labels)))
+        count = np.zeros(len(texts), np.int64)
+        for a, b, part, off in B.parts(texts):
             ids, rows = features(part, off)
             n = np.bincount(rows, minlength=b - a)
             count[a:b] = n
@@ -162,9 +161,8 @@ def sample(labelled: DataFrame, per_label: int, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = B.flat(batch.column(2))
             packed: list[list[bytes]] = [[], []]
-            for a, b, part, off in B.slices(data, offsets):
+            for a, b, part, off in B.parts(batch.column(2)):
                 ids, rows = features(part, off)
                 by = np.argsort(rows, kind="stable")
                 ids, ends = ids[by], np.searchsorted(rows[by], np.arange(b - a + 1))
@@ -174,7 +172,7 @@ def sample(labelled: DataFrame, per_label: int, seed: int) -> DataFrame:
                     packed[1].append(n.astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.binary()) for x in packed)], names=["label", "h", "ids", "n"])
 
-    return drawn_texts(labelled, per_label, seed).mapInArrow(run, "label string, h long, ids binary, n binary")
+    return drawn_texts(labelled, per_label, seed).mapInArrow(B.releasing(run), "label string, h long, ids binary, n binary")
 
 
 MODEL = "labels array<string>, share binary, bias binary, temperature double, threshold double"
@@ -210,25 +208,26 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     lang_pred is a learned label, or `und` with score 0 where the text is null or has no letter; such rows are rejected, as
     are those whose probability is under the model's threshold. Whole texts count; other columns are not read.
     """
-    kept = docs.select(*[F.col(c) for c in keep], F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letter"), F.col(text).cast("string").alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-2])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size: 2**BITS rows
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def probabilities(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        names = np.array([*m.labels, UNKNOWN], object)
-        for batch in batches:
-            letter = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False)
-            z, _ = m.logits(batch.column(batch.num_columns - 1))
-            p = softmax(z / m.temperature)
-            best = np.where(letter, p.argmax(axis=1), len(m.labels))
-            score = np.where(letter, p.max(axis=1) if len(p) else 0.0, 0.0)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-2], pa.array(names[best], pa.string()), pa.array(score, pa.float64()), pa.array(~letter | (score < m.threshold), pa.bool_())],
-                names=[*batch.schema.names[:-2], "lang_pred", "score", "rejected"],
-            )
-
-    return kept.mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
+        names = np.array(m.labels, object)
+        try:
+            for batch in texts:
+                p = softmax(m.logits(batch)[0] / m.temperature)
+                yield pa.StructArray.from_arrays([pa.array(names[p.argmax(axis=1)], pa.string()), pa.array(p.max(axis=1), pa.float64())], names=["lang", "score"])
+        finally:
+            B.give_back()
+
+    # only the text goes to Python, and only a label and a number come back; declared so that no filter has it run twice
+    got = F.arrow_udf(probabilities, "struct<lang: string, score: double>").asNondeterministic()(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    x = docs.select(F.struct(*[F.col(c) for c in keep]).alias("__kept"), letter.alias("__letter"), got.alias("__got"))
+    score = F.when(F.col("__letter"), F.col("__got.score")).otherwise(0.0)
+    x = x.select("__kept", "__letter", F.when(F.col("__letter"), F.col("__got.lang")).otherwise(UNKNOWN).alias("__lang"), score.alias("__score"))
+    rejected = ~F.col("__letter") | (F.col("__score") < model.threshold)
+    return x.select(*[F.col("__kept")[c].alias(c) for c in keep], F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), rejected.alias("rejected"))
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_label: int = 1500) -> DataFrame:

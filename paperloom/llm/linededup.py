@@ -99,9 +99,8 @@ def text_lines(docs: DataFrame, noise: int, guarantee: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = B.flat(batch.column(2), lower=False)
             raw, prints, places = [], [], []
-            for _, _, part, off in B.slices(data, offsets):
+            for _, _, part, off in B.parts(batch.column(2), lower=False):
                 hashes, words, at = lines(part, off)
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                     raw.append(hashes[a:b].tobytes() + words[a:b].astype(np.uint32).tobytes())
@@ -111,7 +110,7 @@ def text_lines(docs: DataFrame, noise: int, guarantee: int) -> DataFrame:
             columns = [batch.column(0), batch.column(1), pa.array(raw, pa.binary()), pa.array(prints, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "raw", "prints", "places"])
 
-    return docs.mapInArrow(run, "id long, h long, raw binary, prints array<bigint>, places array<int>")
+    return docs.mapInArrow(B.releasing(run), "id long, h long, raw binary, prints array<bigint>, places array<int>")
 
 
 def text_units(shared: DataFrame, noise: int, guarantee: int) -> DataFrame:
@@ -132,7 +131,7 @@ def text_units(shared: DataFrame, noise: int, guarantee: int) -> DataFrame:
             columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(unit.astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "unit", "start", "end"])
 
-    return shared.select("id", "h", "at", "raw").mapInArrow(run, "id long, h long, unit long, start int, end int")
+    return shared.select("id", "h", "at", "raw").mapInArrow(B.releasing(run), "id long, h long, unit long, start int, end int")
 
 
 def united(runs: Column) -> Column:

@@ -99,8 +99,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
 
         for batch in batches:
             toxic = batch.column(0).to_numpy(zero_copy_only=False)
-            data, offsets = B.flat(batch.column(1))
-            for a, b, part, off in B.slices(data, offsets):
+            for a, b, part, off in B.parts(batch.column(1)):
                 keys, _, text = grams(part, off)
                 ends = np.searchsorted(text, np.arange(b - a + 1))
                 found: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
@@ -116,7 +115,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
                     yield from out()
         yield from out()
 
-    return labelled.select("toxic", "text").mapInArrow(run, "key long, t long, o long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    return labelled.select("toxic", "text").mapInArrow(B.releasing(run), "key long, t long, o long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
 
 
 def discounts(rows: DataFrame, counts: list[str]) -> list[tuple[float, float, float]]:
@@ -248,9 +247,8 @@ def slice_scores(rows: DataFrame, model: tuple[np.ndarray, np.ndarray], part: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(*shared.value)
         for batch in batches:
-            data, offsets = B.flat(batch.column(text_at))
-            evidence, packed = np.zeros(len(offsets) - 1), []
-            for a, b, piece, off in B.slices(data, offsets):
+            evidence, packed = np.zeros(batch.num_rows), []
+            for a, b, piece, off in B.parts(batch.column(text_at)):
                 keys, words, text = grams(piece, off)
                 ratio = word_sums(table, keys, words, slice_of(keys, parts) == part if parts > 1 else None)
                 used = np.flatnonzero(np.diff(words, prepend=-1)) if len(words) else np.zeros(0, np.int64)
@@ -266,7 +264,7 @@ def slice_scores(rows: DataFrame, model: tuple[np.ndarray, np.ndarray], part: in
             columns = [*batch.columns[: text_at + (not last)], pa.array(evidence) if last else pa.array(packed, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[: text_at + (not last)], "evidence" if last else "sums"])
 
-    return rows.mapInArrow(run, fields)
+    return rows.mapInArrow(B.releasing(run), fields)
 
 
 def scores(rows: DataFrame, ratios: DataFrame, slice_rows: int | None = None) -> DataFrame:

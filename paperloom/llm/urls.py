@@ -13,14 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm._store import written
-from paperloom.llm.components import HOT_KEYS, HOT_ROWS, dealt, repeated
+from paperloom.llm.components import dealt, hot_among, repeated
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Labels that registries of countries use before their two letters; such a pair is a suffix (co.uk, edu.au, gov.in).
 COUNTRY_LABELS = "ac co com edu go gob gouv gov govt id ltd mil ne net nhs nic nom or org plc sch".split()
 COUNTRY_SUFFIX = rf"(?:^|\.)((?:{'|'.join(COUNTRY_LABELS)})\.[a-z][a-z])$"
 INLINE_RULES = 256
-HOT_SALTS = 64
 LEVELS = ("all", "suffix", "domain", "host")
 
 
@@ -151,9 +150,7 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str
     labelled = urls.join(outcomes.select(F.col(key).alias("__key"), F.col("bad").cast("int").alias("bad")), "__key", "left").select("host", "bad")
     hosts = host_counts(labelled, suffixes)
     table, overall = reputations(hosts, z)
-    total = hosts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    # hosts with one of HOT_KEYS equal shares of the pages: at most HOT_KEYS
-    hot = hosts.where(F.col("rows") >= max(HOT_ROWS, -(-total // HOT_KEYS))).select("host", F.lit(HOT_SALTS).alias("salts"))
+    hot = hot_among(hosts, "host", "rows")
     judged = dealt(with_rule(urls, rules), hot, "host", "__salt").join(repeated(written(table, "url-rates"), hot, "host", "__salt"), ["host", "__salt"])
     method = F.when(F.col("lower") > block_lift * overall["rate"], "block").otherwise("allow")
     return judged.select(

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.llm import licenses, mixing, queries, tokens, urls
+from paperloom.llm import components, licenses, mixing, queries, tokens, urls
 from paperloom.llm.queries import RULES, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, size int, target string, __key int"
@@ -186,7 +186,7 @@ def test_suffixes_and_domains(spark):
 
 def test_planted_bad_host_is_blocked_by_the_query(spark, tmp_path, monkeypatch):
     """Through the registered query: one bad host among ordinary ones, a hot host, rules that win, repeated and empty rows."""
-    monkeypatch.setattr(urls, "HOT_ROWS", 100)
+    monkeypatch.setattr(components, "HOT_ROWS", 100)
     rng = random.Random(9)
     pages = [(i, f"https://h{i % 30}.site{i % 6}.example.com/p{i}") for i in range(1500)] + [(i, f"https://bad.site1.example.com/{i}") for i in range(1500, 1560)] + [(i, f"https://hot.example.org/{i}") for i in range(1560, 2600)]
     pages += [(2600, "https://bad.site1.example.com/de/x"), (2601, None), (1501, pages[1501][1]), (2602, "https://a.bad.net/")]
