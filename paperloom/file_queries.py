@@ -29,13 +29,14 @@ from paperloom.streaming.ingest import ingest
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that the cluster shares: below spark.checkpoint.dir, or, with a local master only, below /tmp."""
+    """A new folder that the cluster shares, deleted with the application: below spark.checkpoint.dir, or, with a local master only, below /tmp."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/paperloom-queries/{name}-{uuid.uuid4().hex}"
+    own = files.remove_at_exit(spark, f"{base.rstrip('/')}/paperloom-queries-{spark.conf.get('spark.app.id', 'local')}")
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def _doc(markdown: Column, backend: str) -> Column:

@@ -18,6 +18,29 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
 
 
+_removed: set[str] = set()
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> str:
+    """Has a folder deleted when the driver's Python ends, if the JVM is still there then; returns the path."""
+    import atexit
+
+    if path not in _removed:
+        _removed.add(path)
+        jvm = spark._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+        def remove() -> None:
+            try:
+                system.delete(target, True)
+            except Exception:  # noqa: BLE001  the JVM is gone; the cluster's own clean-up remains
+                pass
+
+        atexit.register(remove)
+    return path
+
+
 def pdf_files(spark: SparkSession, path: str) -> DataFrame:
     """path, modificationTime, length, content of one file or of all *.pdf under a folder; content is only read where selected."""
     if not exists(spark, path):

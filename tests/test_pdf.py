@@ -191,6 +191,12 @@ def test_figures_are_kept_in_the_cache(spark, folder, monkeypatch):
     assert [(f["index"], f["image_path"], f["page"]) for f in figures] == [(0, "page_1_a", 1), (1, "page_3_c", 3)]
 
 
+def test_options_reach_the_backend(spark, folder, monkeypatch):
+    monkeypatch.setitem(ex.BACKENDS, STRUCTURED, ex.Backend(STRUCTURED, lambda d, o: {"markdown": repr(o), "title": "", "authors": "", "n_pages": 1, "images": {}}, options={"given": 1}))
+    told = [extract(spark, str(folder / "pdfs" / "a.pdf"), backend=STRUCTURED, use_cache=False, skip_ocr=skip).first()["doc"]["markdown"] for skip in (True, False)]
+    assert told == ["{'given': 1, 'skip_ocr': True}", "{'given': 1, 'skip_ocr': False}"]
+
+
 def test_adapters_of_optional_packages(monkeypatch):
     """The calls that the adapters make, against stand-ins for the packages."""
     made = []
