@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import ann, decontam, langid, licenses, linededup, mixing, neardup, tokens, toxicity, urls
+from paperloom.llm import ann, decontam, filteraudit, langid, licenses, linededup, mixing, neardup, tokens, toxicity, urls
 from paperloom.llm._store import table
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -64,6 +64,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_classes(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_url_filter": op2_url_filter,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_near_duplicates": op10_near_duplicates,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 # Words and shingles as lists, without hashes or signatures.
@@ -159,4 +164,19 @@ ordered AS (SELECT *, sum(CASE WHEN size > 0 AND rest > 0 THEN size ELSE 0 END)
 taken AS (SELECT *, whole + CASE WHEN size > 0 AND rest > 0 AND upto - size / 2.0 <= rest THEN 1 ELSE 0 END AS copies FROM ordered)
 SELECT doc_id, source, CAST(size AS BIGINT) AS size, CAST(s AS BIGINT) AS source_size, target, CAST(copies AS BIGINT) AS copies, CAST(copies * size AS BIGINT) AS taken FROM taken"""
 
-ORACLES: dict[str, str] = {"op2_url_filter": op2_sql(), "op7_source_mix": OP7_SQL, "op3_license_scan": op3_sql(), "op9_decontamination": OP9_SQL}
+# Every document is taken through every order, without masks or cells.
+OP13_SQL = r"""WITH RECURSIVE letters(f) AS (SELECT unnest(['A', 'B', 'C', 'D', 'E'])),
+orders(o) AS (SELECT '' UNION ALL SELECT o || f FROM orders, letters WHERE length(o) < 5 AND NOT contains(o, f)),
+steps AS (SELECT o AS filter_order, CAST(s AS INT) AS step, o[s] AS own, substr(o, 1, s - 1) AS before FROM orders, range(1, 6) r(s) WHERE length(o) = 5),
+marks AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+docs AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, concat(
+  CASE WHEN len(w) < 50 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' END, CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' END,
+  CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' END) AS fails FROM texts LEFT JOIN marks USING (doc_id)),
+walked AS (SELECT part, filter_order, step, own, good, toxic, fails = own AS only_own, contains(fails, own) AS failing, length(translate(fails, before, '')) < length(fails) AS gone FROM docs, steps),
+counted AS (SELECT part, filter_order, step, own, count_if(NOT failing AND NOT gone) AS kept, count_if(failing AND NOT gone) AS removed, count_if(failing AND gone) AS redundant, count_if(only_own) AS unique_fails,
+  count_if(failing AND NOT gone AND good = 1) AS good_lost, count_if(failing AND NOT gone AND toxic = 1) AS toxic_lost FROM walked GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM counted"""
+
+ORACLES: dict[str, str] = {"op2_url_filter": op2_sql(), "op7_source_mix": OP7_SQL, "op3_license_scan": op3_sql(), "op9_decontamination": OP9_SQL, "op13_filter_audit": OP13_SQL}
