@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import ann, decontam, filteraudit, langid, licenses, linededup, mixing, neardup, tokens, toxicity, urls
+from paperloom.llm import ann, convtrie, decontam, filteraudit, langid, licenses, linededup, mixing, neardup, tokens, toxicity, urls
 from paperloom.llm._store import table
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -64,6 +64,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations are rebuilt to share starts within families of five before the trie is made."""
+    return convtrie.trie(*convtrie.shared_starts(*convtrie.turns_of(table(spark, sf_dir, "conversations"))))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_conversation_trie": op11_conversation_trie,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -164,6 +170,25 @@ ordered AS (SELECT *, sum(CASE WHEN size > 0 AND rest > 0 THEN size ELSE 0 END)
 taken AS (SELECT *, whole + CASE WHEN size > 0 AND rest > 0 AND upto - size / 2.0 <= rest THEN 1 ELSE 0 END AS copies FROM ordered)
 SELECT doc_id, source, CAST(size AS BIGINT) AS size, CAST(s AS BIGINT) AS source_size, target, CAST(copies AS BIGINT) AS copies, CAST(copies * size AS BIGINT) AS taken FROM taken"""
 
+# Nodes by grouping whole prefixes, subtrees by joining each node to all its ancestors; CRC-32 from its polynomial.
+OP11_SQL = """WITH crc(t) AS (SELECT list(c ORDER BY i) FROM (SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS c FROM range(256) r(i))),
+turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS k,
+  md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id, strlen(coalesce(text, '')) AS b FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT conv_id, conv_id - conv_id % 5 AS base, count(*) AS size FROM turns GROUP BY conv_id),
+convs AS (SELECT conv_id, base, size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda a, d: xor(a // 256, t[CAST(xor(a, d) % 256 + 1 AS INT)])), 4294967295) % 9 AS h FROM sizes, crc),
+plans AS (SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(b.size, 0)) AS given FROM convs c LEFT JOIN convs b ON b.conv_id = c.base),
+rebuilt AS (SELECT p.conv_id, k + 1 AS depth, id, b FROM plans p JOIN turns t ON t.conv_id = p.base WHERE k < h UNION ALL SELECT p.conv_id, k - h + given + 1, id, b FROM plans p JOIN turns t ON t.conv_id = p.conv_id WHERE k >= h),
+prefixes AS (SELECT conv_id, depth, md5(string_agg(id, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node, b FROM rebuilt UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+nodes AS (SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n, any_value(b) AS b FROM prefixes GROUP BY node, depth),
+edges AS (SELECT DISTINCT c.node, p.node AS parent FROM prefixes c JOIN prefixes p ON p.conv_id = c.conv_id AND p.depth = c.depth - 1),
+families AS (SELECT parent AS node, count(*) AS n_children FROM edges GROUP BY parent),
+below AS (SELECT p.node, sum((x.n - 1) * x.b) AS saved, count_if(f.node IS NULL) AS n_leaves FROM nodes x LEFT JOIN families f USING (node) JOIN prefixes p ON p.conv_id = x.conv_id AND p.depth <= x.depth GROUP BY p.node),
+lasts AS (SELECT conv_id, max_by(node, depth) AS node FROM prefixes GROUP BY conv_id),
+ends AS (SELECT node, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS sha FROM lasts GROUP BY node)
+SELECT x.conv_id, CAST(x.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, x.n AS n_convs, coalesce(f.n_children, 0) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, coalesce(z.sha, sha256('')) AS ends_sha256
+FROM nodes x JOIN below s USING (node) LEFT JOIN families f USING (node) LEFT JOIN edges e USING (node) LEFT JOIN nodes up ON up.node = e.parent LEFT JOIN ends z ON z.node = x.node"""
+
 # Every document is taken through every order, without masks or cells.
 OP13_SQL = r"""WITH RECURSIVE letters(f) AS (SELECT unnest(['A', 'B', 'C', 'D', 'E'])),
 orders(o) AS (SELECT '' UNION ALL SELECT o || f FROM orders, letters WHERE length(o) < 5 AND NOT contains(o, f)),
@@ -179,4 +204,4 @@ counted AS (SELECT part, filter_order, step, own, count_if(NOT failing AND NOT g
 SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
   CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM counted"""
 
-ORACLES: dict[str, str] = {"op2_url_filter": op2_sql(), "op7_source_mix": OP7_SQL, "op3_license_scan": op3_sql(), "op9_decontamination": OP9_SQL, "op13_filter_audit": OP13_SQL}
+ORACLES: dict[str, str] = {"op2_url_filter": op2_sql(), "op7_source_mix": OP7_SQL, "op3_license_scan": op3_sql(), "op9_decontamination": OP9_SQL, "op11_conversation_trie": OP11_SQL, "op13_filter_audit": OP13_SQL}
