@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import ann, convtrie, decontam, filteraudit, langid, licenses, linededup, mixing, neardup, tokens, toxicity, urls
+from paperloom.llm import ann, bpe, convtrie, decontam, filteraudit, langid, licenses, linededup, mixing, neardup, tokens, toxicity, urls
 from paperloom.llm._store import table
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -69,6 +69,12 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convtrie.trie(*convtrie.shared_starts(*convtrie.turns_of(table(spark, sf_dir, "conversations"))))
 
 
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    digests = {"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2(ids, 256), "decoded_sha256": F.sha2("decoded", 256)}
+    return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), columns=digests)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_near_duplicates": op10_near_duplicates,
     "op11_conversation_trie": op11_conversation_trie,
+    "op12_bpe_round_trip": op12_bpe_round_trip,
     "op13_filter_audit": op13_filter_audit,
 }
 
