@@ -24,7 +24,7 @@ from paperloom.plans import bulk
 from paperloom.queries import documents, keyed, long, query, table
 from paperloom.schemas import ExtractedDoc
 from paperloom.sources import files
-from paperloom.sources.pdf_writer import pdf_bytes
+from paperloom.sources.pdf_writer import packed_bytes, pdf_bytes, updated
 from paperloom.streaming.ingest import ingest
 
 
@@ -186,6 +186,41 @@ def preflight_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(_id("file").alias("doc_id"), "verdict", *counts, F.substring_index(F.get("warnings", 0), ":", 1).alias("warning"))
 
 
+FONT = {3: b"<< /Type /Font /Subtype /Type1 /BaseFont /Courier >>"}
+
+
+def revised(number: int, text: str) -> bytes:
+    """A file of one revision or two, of one of eight kinds."""
+    pages = [[(20, f"Paper {number}"), *((10, line) for line in text.split("\n"))]]
+    whole = lambda **more: pdf_bytes(pages, f"Title {number}", **more)
+    kinds = [
+        whole, lambda: updated(whole(), FONT, stale=True), lambda: updated(packed_bytes(pages), FONT, stale=True), lambda: updated(whole(), FONT),
+        lambda: b"junk ahead\n" + whole(), lambda: updated(whole(shift=-1), FONT, stale=True), lambda: updated(whole(), {60 + number % 7: b"<< /New true >>"}, stale=True), lambda: packed_bytes(pages),
+    ]
+    return kinds[number % 8]()
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 8 IN (1, 2, 4, 6) THEN 'UNAVAILABLE' ELSE 'PASS' END AS verdict, CASE doc_id % 8 WHEN 1 THEN 'xref-coverage: later copies of objects [3]'
+WHEN 2 THEN 'xref-coverage: direct copies after their object stream [3]' WHEN 4 THEN 'parser' WHEN 6 THEN 'xref-coverage: objects outside the cross-reference [' || (60 + doc_id % 7) || ']' END AS warning, sha256(coalesce(text, '')) AS sha256
+FROM documents""")
+def preflight_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coverage of revisions: superseded, displaced, updated, repaired, not comparable and orphaned copies of objects, a file per
+    document. sha256 is the preflight's of the text's own bytes, judged in the same table as files that are no PDF."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                part = list(batch.iloc[at : at + 64].itertuples(index=False))
+                made = [(f"{r.doc_id}.pdf", revised(r.doc_id, r.text)) for r in part] + [(f"{r.doc_id}.txt", r.text.encode()) for r in part]
+                yield pd.DataFrame(made, columns=["path", "content"])
+
+    x = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "path string, content binary")
+    x = preflight.preflight(x).withColumn("pdf", F.endswith("file", F.lit(".pdf")))
+    first = F.get("warnings", 0)
+    shown = F.when(first.startswith("parser"), "parser").otherwise(first)
+    return x.groupBy(_id("file").alias("doc_id")).agg(F.max(F.when(F.col("pdf"), F.col("verdict"))).alias("verdict"), F.max(F.when(F.col("pdf"), shown)).alias("warning"), F.max(F.when(~F.col("pdf"), F.col("sha256"))).alias("sha256"))
+
+
 # Texts are compared without white space and number signs; characters that a file can't hold are question marks.
 SOLID = r"[\t-\r\x1c-\x20\x85\xa0#]"
 EXTRACTED_SQL = rf"""WITH x AS (SELECT doc_id, doc_id % 8 = 5 AS bad, greatest(1, doc_id % 4) AS n, coalesce(source, '') AS source, 'Paper ' || doc_id || coalesce(text, '') || '{LAST}{LAST}' ||

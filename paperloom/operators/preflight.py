@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import let
+from paperloom.sources.shared import written
 
 SCHEMA = "pdf_read_preflight/1"
 TOOL = "paperloom-preflight"
@@ -53,41 +54,55 @@ def verdict(declared: Column, enumerated: Column, reader: Column, repaired: Colu
 
 SIGNALS = (
     "path string, problem string, declared int, enumerated int, reader int, known array<bigint>, "
-    "direct array<struct<number:bigint,offset:bigint>>, packed array<struct<number:bigint,container:bigint>>, "
+    "direct array<struct<number:bigint,offset:bigint>>, packed array<struct<number:bigint,container:bigint,offset:bigint>>, "
     "raw array<struct<number:bigint,offset:bigint>>, repairs array<string>, coverage_problem string"
 )
 
 
-def coverage(signals: DataFrame) -> DataFrame:
-    """Adds orphaned, superseded, displaced: object numbers whose newest copy in the bytes the active cross-reference doesn't reach.
+def coverage(signals: DataFrame, key: str = "id") -> DataFrame:
+    """One row per file with objects: `key`, and orphaned, superseded, displaced: sorted numbers of objects whose newest copy in the
+    bytes the active cross-reference doesn't reach.
 
     orphaned: in the bytes but not in the cross-reference. superseded: stored directly, with a later copy than the referenced one;
     only judged if some referenced offset is a raw one (else offsets are shifted by leading junk). displaced: stored in an
     object stream, with a direct copy after that stream.
+
+    Raw and referenced objects are rows of one list, merged by one aggregation over (file, number), so the work is linear in the
+    number of objects and a large file is spread over many tasks.
     """
-    numbers = lambda c: F.transform(c, lambda x: x["number"])
-    latest = lambda n: F.array_max(F.transform(F.filter("raw", lambda r: r["number"] == n), lambda r: r["offset"]))
-    direct = F.filter("direct", lambda d: F.array_contains(numbers(F.col("raw")), d["number"]))
-    calibrated = F.exists(direct, lambda d: F.exists("raw", lambda r: (r["number"] == d["number"]) & (r["offset"] == d["offset"])))
-    offset_of = lambda n: F.get(F.transform(F.filter("direct", lambda d: d["number"] == n), lambda d: d["offset"]), 0)
-    return signals.withColumns({
-        "orphaned": F.array_sort(F.array_except(F.array_distinct(numbers(F.col("raw"))), F.col("known"))),
-        "superseded": F.when(calibrated, F.array_sort(numbers(F.filter(direct, lambda d: latest(d["number"]) > d["offset"])))).otherwise(F.array().cast("array<bigint>")),
-        "displaced": F.array_sort(numbers(F.filter("packed", lambda p: F.coalesce(~F.array_contains(numbers(F.col("direct")), p["number"]) & (latest(p["number"]) > offset_of(p["container"])), F.lit(False))))),
-    })
+    entry = "array<struct<kind:string,number:bigint,at:bigint>>"
+
+    def tagged(kind: str) -> Column:
+        row = lambda number, at: F.struct(F.lit(kind).alias("kind"), number.alias("number"), at.alias("at"))
+        if kind == "known":
+            return F.transform(kind, lambda n: row(n, F.lit(None).cast("bigint")))
+        return F.transform(kind, lambda x: row(x["number"], x["offset"]))
+
+    rows = [F.coalesce(tagged(kind), F.array().cast(entry)) for kind in ("raw", "direct", "packed", "known")]
+    objects = signals.select(key, F.explode(F.concat(*rows)).alias("o"))
+    of = lambda kind: F.when(F.col("o.kind") == kind, F.col("o.at"))
+    merged = objects.groupBy(key, F.col("o.number").alias("number")).agg(
+        F.max(of("raw")).alias("latest"), F.collect_set(of("raw")).alias("copies"), F.max(of("direct")).alias("direct"), F.max(of("packed")).alias("stream"), F.bool_or(F.col("o.kind") == "known").alias("known"))
+    there = F.col("latest").isNotNull()
+    listed = lambda holds: F.sort_array(F.collect_list(F.when(there & holds, F.col("number"))))
+    out = merged.groupBy(key).agg(
+        F.bool_or(F.array_contains("copies", F.col("direct"))).alias("calibrated"), listed(~F.col("known")).alias("orphaned"),
+        listed(F.col("latest") > F.col("direct")).alias("superseded"), listed(F.col("direct").isNull() & (F.col("latest") > F.col("stream"))).alias("displaced"))
+    return out.select(key, "orphaned", F.when(F.col("calibrated"), F.col("superseded")).otherwise(F.array().cast("array<bigint>")).alias("superseded"), "displaced")
 
 
 def preflight(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """One sidecar per file: schema, verdict, file, sha256, the three counts, warnings, generated_at, tool.
 
     A null content stands for a file that can't be read. Nulls, empty files and files that are no PDF are UNAVAILABLE.
+    Each file is read once: hashed, looked through for trailing bytes and parsed in one pass, whose signals are written.
     """
     from paperloom.sources.pdf import structure
 
-    own = files.select(F.col(path).alias("path"), F.col(content).alias("content"))
-    facts = own.select("path", F.sha2("content", 256).alias("sha256"), let(latin1(F.col("content")), trailing_bytes).alias("trailing"))
-    signals = coverage(own.mapInPandas(structure, SIGNALS))
-    x = facts.join(signals, "path", "left")
+    own = files.select(F.col(path).alias("path"), F.col(content).alias("content"), F.sha2(content, 256).alias("sha256"), let(latin1(F.col(content)), trailing_bytes).alias("trailing"))
+    signals = own.mapInPandas(structure, f"{SIGNALS}, sha256 string, trailing int").withColumn("id", F.monotonically_increasing_id())
+    signals = written(signals, "preflight-signals")
+    x = signals.drop("known", "direct", "packed", "raw").join(coverage(signals), "id", "left")
     listed = lambda c: F.concat(F.lit("["), F.array_join(first_five(F.col(c)).cast("array<string>"), ", "), F.lit("]"))
     some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
     veto = (F.coalesce("trailing", F.lit(0)) > 0) | some("orphaned") | some("superseded") | some("displaced")

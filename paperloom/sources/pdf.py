@@ -506,7 +506,7 @@ def signals_of(path: str, data: bytes | None) -> dict:
             out["raw"] = [{"number": int(m[1]), "offset": m.start(1)} for m in HEADER.finditer(data)]
             out["known"] = sorted({*reader.direct, *reader.packed, *reader.free})
             out["direct"] = [{"number": n, "offset": o} for n, o in reader.direct.items()]
-            out["packed"] = [{"number": n, "container": c} for n, (c, _) in reader.packed.items()]
+            out["packed"] = [{"number": n, "container": c, "offset": reader.direct.get(c)} for n, (c, _) in reader.packed.items()]
         except Exception as e:  # noqa: BLE001
             out["coverage_problem"] = str(e)
         return out
@@ -515,6 +515,10 @@ def signals_of(path: str, data: bytes | None) -> dict:
 
 
 def structure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For mapInPandas over (path, content): one row of signals per file."""
+    """For mapInPandas over (path, content, ...): one row of signals per file, with the other columns as they are."""
     for batch in batches:
-        yield pd.DataFrame([signals_of(p, None if c is None else bytes(c)) for p, c in zip(batch["path"], batch["content"], strict=True)], columns=["path", "problem", "declared", "enumerated", "reader", "known", "direct", "packed", "raw", "repairs", "coverage_problem"]).astype({"declared": "Int32", "enumerated": "Int32", "reader": "Int32"})
+        for at in range(0, len(batch), 16):  # some files at a time
+            part = batch.iloc[at : at + 16].reset_index(drop=True)
+            rows = [signals_of(p, None if c is None else bytes(c)) for p, c in zip(part["path"], part["content"], strict=True)]
+            found = pd.DataFrame(rows, columns=["path", "problem", "declared", "enumerated", "reader", "known", "direct", "packed", "raw", "repairs", "coverage_problem"])
+            yield found.astype({"declared": "Int32", "enumerated": "Int32", "reader": "Int32"}).assign(**{c: part[c] for c in part.columns if c not in ("path", "content")})
