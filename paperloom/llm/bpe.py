@@ -191,6 +191,16 @@ class Encoder:
         return self.tokenizer.decode(ids, skip_special_tokens=False) if self.words is None else " ".join(map(self.words.__getitem__, ids))
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One per Python worker, which serves many tasks: the vocabulary is loaded once, and pieces met in one task are known in the next."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def packed(e: Encoded) -> tuple[bytes, bytes]:
     """The ids, and the anchors at both ends, as 4-byte numbers."""
     pairs = np.array([e.places, e.counts], np.int32).T
@@ -260,7 +270,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str,
     holders = shared.groupBy("holder.t").agg(F.collect_list(F.struct("holder.seq", "chunk")).alias("own")).select("t", "own")
 
     def encode_held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch in batches:
             for part in pieces_of(batch):
                 out = []
@@ -274,7 +284,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str,
     sent = sent.groupBy("t").agg(F.collect_list(F.struct("seq", "ids", "anchors")).alias("held"))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch in batches:
             for part in pieces_of(batch):
                 found = []
@@ -284,7 +294,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str,
                 yield pa.RecordBatch.from_arrays([part.column(0), ids_array(found), pa.array([encoder.decode(np.frombuffer(f, np.int32).tolist()) for f in found], pa.string())], names=["t", "ids", "decoded"])
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch in batches:
             for part in pieces_of(batch):
                 found = [encoder.ids(t) for t in part.column(part.num_columns - 1).to_pylist()]
@@ -308,7 +318,7 @@ def decode(rows: DataFrame, tokenizer: str, ids: str = "ids", into: str = "decod
     at = x.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
