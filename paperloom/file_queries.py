@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import io
 import json
-import uuid
 from collections.abc import Iterator
 from contextlib import redirect_stderr, redirect_stdout
 
@@ -25,18 +24,8 @@ from paperloom.queries import documents, keyed, long, query, table
 from paperloom.schemas import ExtractedDoc
 from paperloom.sources import files
 from paperloom.sources.pdf_writer import packed_bytes, pdf_bytes, updated
-from paperloom.streaming.ingest import ingest
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that the cluster shares, deleted with the application: below spark.checkpoint.dir, or, with a local master only, below /tmp."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "/tmp/checkpoints"
-    own = files.remove_at_exit(spark, f"{base.rstrip('/')}/paperloom-queries-{spark.conf.get('spark.app.id', 'local')}")
-    return f"{own}/{name}-{uuid.uuid4().hex}"
+from paperloom.sources.shared import scratch
+from paperloom.streaming.ingest import ingest, ingested
 
 
 def _doc(markdown: Column, backend: str) -> Column:
@@ -89,6 +78,21 @@ def cache_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.keys(keys.FAST)
 
 
+@query(f"""WITH {KEYED_SQL}, fates AS (SELECT sha16, bool_or(lang = 'de') AS evicted, bool_or(doc_id % 3 = 0) AS again, bool_or(lang = 'fr') AS gone, count(DISTINCT doc_id) AS n FROM keyed GROUP BY sha16)
+SELECT sha16, CASE WHEN again THEN 'second' ELSE 'first' END AS markdown FROM fates WHERE (again OR NOT evicted) AND NOT gone""")
+def cache_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved, evicted by key, saved again in part, compacted, evicted once more, vacuumed: what is left, and of which save."""
+    cache, x = _cache(spark, sf_dir, "false")
+    put = lambda rows, text: cache.save(rows.select("sha16", _doc(F.lit(text), keys.FAST).alias("doc")).dropDuplicates(["sha16"]), keys.FAST)
+    put(x, "first")
+    cache.evict(x.where("lang = 'de'").select("sha16"), keys.FAST)
+    put(x.where("doc_id % 3 = 0"), "second")
+    cache.compact(keys.FAST)
+    cache.evict(x.where("lang = 'fr'").select("sha16"), keys.FAST)
+    cache.vacuum(0)
+    return cache.entries(keys.FAST).select("sha16", F.col("cached.markdown").alias("markdown"))
+
+
 @query(f"WITH {KEYED_SQL} SELECT sha16 FROM keyed GROUP BY sha16 HAVING max(doc_id % 100) >= 60")
 def cache_evict_older(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of entries up to 99.5 days old, several for some contents, when those of more than 40 days go."""
@@ -323,13 +327,30 @@ def bulk_command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bulk.counters(spark.read.parquet(f"{root}/run_log"))
 
 
-@query("SELECT DISTINCT item_id, item_id % 8 = 5 AS failed, CASE WHEN item_id % 8 <> 5 THEN greatest(1, item_id % 4) END AS n_pages FROM benchmark WHERE item_id % 9 <> 8")
+INGESTED_SQL = "SELECT DISTINCT item_id, item_id % 8 = 5 AS failed, CASE WHEN item_id % 8 <> 5 THEN greatest(1, item_id % 4) END AS n_pages FROM benchmark WHERE item_id % 9 <> 8"
+
+
+@query(INGESTED_SQL)
+def stream_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder ingested, and again after the record of its last batch's end was lost: that batch is replayed, its rows stand once."""
+    root = _library(spark, sf_dir, "replay")
+    jvm = spark._jvm
+    for _ in range(2):
+        ingest(spark, f"{root}/pdfs", DocCache(spark, f"{root}/cache"), f"{root}/checkpoint", f"{root}/out", keys.FAST, per_batch=100).awaitTermination()
+        commits = jvm.org.apache.hadoop.fs.Path(f"{root}/checkpoint/commits")
+        fs = commits.getFileSystem(spark._jsc.hadoopConfiguration())
+        last = max((s.getPath() for s in fs.listStatus(commits) if s.getPath().getName().isdigit()), key=lambda p: int(p.getName()))
+        fs.delete(last, False)
+    return ingested(spark, f"{root}/out").select(_id().alias("item_id"), F.col("problem").isNotNull().alias("failed"), long("doc.metadata.n_pages").alias("n_pages"))
+
+
+@query(INGESTED_SQL)
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder ingested as a stream, once, then again without anything new."""
     root = _library(spark, sf_dir, "ingest")
     for _ in range(2):
         ingest(spark, f"{root}/pdfs", DocCache(spark, f"{root}/cache"), f"{root}/checkpoint", f"{root}/out", keys.FAST).awaitTermination()
-    return spark.read.parquet(f"{root}/out").select(_id().alias("item_id"), F.col("problem").isNotNull().alias("failed"), long("doc.metadata.n_pages").alias("n_pages"))
+    return ingested(spark, f"{root}/out").select(_id().alias("item_id"), F.col("problem").isNotNull().alias("failed"), long("doc.metadata.n_pages").alias("n_pages"))
 
 
 PRINTED = {"metadata": ["--metadata"], "preflight": ["--preflight"], "section": ["--section", "paper 9"], "references": ["--references"], "tables": ["--tables"], "missing section": ["--section", "nowhere"], "missing file": []}

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from paperloom.functions.keys import STRUCTURED, attachment_path
 from paperloom.operators.cache import DocCache
 from paperloom.operators.preflight import FAIL, preflight
+from paperloom.sources.shared import written
 
 PDF = "application/pdf"
 
@@ -56,10 +57,10 @@ def placed(entries: DataFrame, prioritised: bool = True) -> DataFrame:
     Entries are sorted by ranges over all tasks; a place is the number inside the range plus the sizes of the ranges before, of
     which only one count a range is gathered.
     """
-    ranges = entries.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    # kept on disk, so that numbers and sizes come from the same ranges
-    x = entries.repartitionByRange(int(ranges), *order(prioritised)).sortWithinPartitions(*order(prioritised)).persist(StorageLevel.DISK_ONLY)
-    x = x.withColumn("__id", F.monotonically_increasing_id()).withColumn("__range", F.shiftright("__id", 33).cast("int")).withColumn("__at", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
+    x = entries.repartitionByRange(*order(prioritised)).sortWithinPartitions(*order(prioritised))
+    # written, so that numbers and sizes come from the same ranges whatever executors are lost
+    x = written(x.select("*", F.monotonically_increasing_id().alias("__id")), "queue")
+    x = x.withColumn("__range", F.shiftright("__id", 33).cast("int")).withColumn("__at", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = x.groupBy("__range").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("__range")) - F.col("n")).select("__range", "before")  # one row a range
     return x.join(F.broadcast(before), "__range").withColumn("place", F.col("before") + F.col("__at") + 1).drop("__id", "__range", "__at", "before")

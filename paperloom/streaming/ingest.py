@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from paperloom.operators.cache import DocCache
 from paperloom.operators.extract import extract_files
-from paperloom.sources.files import with_key
+from paperloom.sources.files import exists, with_key
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -22,10 +22,26 @@ def new_files(spark: SparkSession, folder: str, per_batch: int = 64) -> DataFram
 
 
 def ingest(spark: SparkSession, folder: str, cache: DocCache, checkpoint: str, out: str, backend: str = "auto", per_batch: int = 64) -> StreamingQuery:
-    """Extracts what is new and appends documents (sha16, path, problem, doc) to the Parquet table `out`; ends when all is done."""
+    """Extracts what is new and adds documents (sha16, path, problem, doc) to the Parquet table `out`; ends when all is done.
+
+    A batch has a folder of its own, named by the query's id, which the checkpoint keeps, and the batch's number. A batch that is
+    replayed, since its end was not recorded, finds its folder finished or writes it anew: each file's row stands there once.
+    """
 
     def batch(files: DataFrame, number: int) -> None:
-        extract_files(files.persist(), backend, cache=cache).write.mode("append").parquet(out)
-        files.unpersist()
+        session = files.sparkSession
+        path = f"{out}/query={session.sparkContext.getLocalProperty('sql.streaming.queryId')}/batch={number}"
+        if exists(session, f"{path}/_SUCCESS"):
+            return
+        files = files.persist()
+        try:
+            extract_files(files, backend, cache=cache).write.mode("overwrite").parquet(path)
+        finally:
+            files.unpersist()
 
     return new_files(spark, folder, per_batch).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingested(spark: SparkSession, out: str) -> DataFrame:
+    """What ingest() has written: sha16, path, problem, doc."""
+    return spark.read.parquet(out).drop("query", "batch")
