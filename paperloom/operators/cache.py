@@ -13,6 +13,7 @@ from paperloom.functions.keys import EXTRACT_VERSION
 from paperloom.operators.snapshots import Conflict, Snapshots, State
 from paperloom.schemas import ExtractedDoc
 from paperloom.sources.files import exists
+from paperloom.sources.images import write_files
 
 DOC = ExtractedDoc
 ROOT_CONF = "spark.paperloom.cache.dir"
@@ -47,7 +48,6 @@ LOOSE = "sha16 string, doc string, written_at timestamp, checked boolean"
 ENTRY = f"{LOOSE}, backend string, extract_version string"
 EVICTED = "sha16 string, evicted_at timestamp"
 FAILURE = "sha16 string, problem string, failed_at timestamp, backend string, extract_version string"
-FIGURE = "sha16 string, name string, data binary, written_at timestamp, backend string, extract_version string"
 
 
 BUCKETS = 64
@@ -63,8 +63,8 @@ class DocCache:
     of ENTRY under docs/backend=.../extract_version=...; these loose entries are read too, and hidden by evictions after they
     were written.
 
-    figures (image bytes by content key and name) and failures (why a content could not be converted; a failure is never a hit) are
-    appended tables. All is written by Spark and so on any file system the cluster shares. An entry that save() wrote is marked as
+    Images are files by content key and name. failures (why a content could not be converted; a failure is never a hit) is an appended
+    table. All is written by Spark's tasks and so on any file system the cluster shares. An entry that save() wrote is marked as
     checked, so that looking up keys reads no document; others are decoded first.
     """
 
@@ -190,18 +190,28 @@ class DocCache:
         rows = docs.select("sha16", doc_json(F.col("doc")).alias("doc"), F.current_timestamp().alias("written_at"), F.lit(True).alias("checked"))
         self._added(self._segment(rows), "entries", backend, buckets=self.buckets)
 
+    def figure_folder(self, backend: str) -> str:
+        """Where this version's images stand, as <sha16>/<name>."""
+        return f"{self.root}/figures/backend={backend}/extract_version={self.version}"
+
     def save_figures(self, images: DataFrame, backend: str) -> None:
-        """Appends from (sha16, name, data)."""
-        self._append(images.select("sha16", "name", "data", F.current_timestamp().alias("written_at")), "figures", backend)
+        """Writes (sha16, name, data) as files, by the executors."""
+        export_images(images, self.figure_folder(backend))
 
     def figures(self, backend: str) -> DataFrame:
-        """sha16, name, data: the saved images of this version, the latest of each name."""
-        x = self._own(self._read("figures", FIGURE), backend)
-        return x.groupBy("sha16", "name").agg(F.max_by("data", "written_at").alias("data"))
+        """sha16, name, data: the saved images of this version; bytes are only read where selected."""
+        folder = self.figure_folder(backend)
+        if not exists(self.spark, folder):
+            return self.spark.createDataFrame([], "sha16 string, name string, data binary")
+        part = lambda k: F.element_at(F.split("path", "/"), k)
+        x = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+        return x.select(part(-2).alias("sha16"), part(-1).alias("name"), F.col("content").alias("data"))
 
     def export_figures(self, keys: DataFrame, backend: str, folder: str) -> int:
         """Writes the images of the given sha16s as folder/sha16/name; returns their number."""
-        return export_images(self.figures(backend).join(keys.select("sha16").distinct(), "sha16", "left_semi"), folder)
+        chosen = self.figures(backend).join(keys.select("sha16").distinct(), "sha16", "left_semi")
+        export_images(chosen, folder)
+        return chosen.select("sha16").count()
 
     def save_failures(self, rows: DataFrame, backend: str) -> None:
         """Appends from (sha16, problem)."""
@@ -271,20 +281,9 @@ class DocCache:
         return x.groupBy("backend", "extract_version").agg(F.count_distinct("sha16").alias("entries"), F.sum(F.octet_length("doc")).alias("bytes"))
 
 
-def export_images(images: DataFrame, folder: str) -> int:
-    """Writes (sha16, name, data) as folder/sha16/name, through the cluster's file system; returns how many.
-
-    Images are streamed one after another, so the driver holds one task's images at a time.
-    """
-    spark, n = images.sparkSession, 0
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for r in images.select("sha16", "name", "data").toLocalIterator():
-        p = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{r['sha16']}/{r['name']}")
-        out = p.getFileSystem(conf).create(p, True)
-        out.write(r["data"])
-        out.close()
-        n += 1
-    return n
+def export_images(images: DataFrame, folder: str) -> None:
+    """Writes (sha16, name, data) as folder/sha16/name; the executors write, no byte passes the driver."""
+    write_files(images.select(F.col("sha16").alias("folder"), "name", "data"), folder)
 
 
 def first_of_content(files: DataFrame) -> DataFrame:

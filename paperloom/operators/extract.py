@@ -12,7 +12,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +19,7 @@ from paperloom.functions.keys import FAST, RESERVED, STRUCTURED, THIN, is_thin
 from paperloom.functions.markdown import body_without_references, figures, references, tables
 from paperloom.operators.cache import DocCache, export_images, first_of_content
 from paperloom.sources.files import pdf_files, with_key
+from paperloom.sources.shared import written
 
 PATHS_TO_BROADCAST = 200_000
 RAW = "sha16 string, path string, markdown string, title string, authors string, n_pages int, images array<string>, data array<struct<name:string,data:binary>>, problem string"
@@ -155,7 +155,7 @@ def converted(files: DataFrame, backend: Backend, options: dict | None = None) -
                 try:
                     got = convert(bytes(data), settings)
                     row |= {k: got[k] for k in ("markdown", "title", "authors", "n_pages")}
-                    for name, image in sorted(dict(got.get("images") or {}).items()):
+                    for name, image in sorted((str(k).replace("/", "_"), v) for k, v in dict(got.get("images") or {}).items()):
                         try:
                             row["data"].append({"name": name, "data": png(image)})
                             row["images"].append(name)
@@ -185,23 +185,31 @@ def document(raw: DataFrame, backend: Backend) -> DataFrame:
     return raw.select("sha16", "path", "problem", doc.alias("doc"), "data")
 
 
+def located(doc: Column, folder: str) -> Column:
+    """The document with the paths of its figures' files, <folder>/<sha16>/<name>."""
+    placed = F.transform(doc["figures"], lambda f: f.withField("image_path", F.concat(F.lit(f"{folder.rstrip('/')}/"), F.col("sha16"), F.lit("/"), f["image_path"])))
+    return F.when(doc.isNotNull(), doc.withField("figures", placed))
+
+
 def through(files: DataFrame, name: str, cache: DocCache | None, options: dict | None = None, figures_dir: str | None = None) -> DataFrame:
     """(sha16, path, problem, doc) of one backend: cached documents, and the others converted once per content and cached.
 
     What fails is never cached as a document; its reason is kept in the cache's failures and told in `problem`, and the content
-    is tried anew next time. A document that failed has no doc.
+    is tried anew next time. A document that failed has no doc. Images of a backend that mines are files in `figures_dir`, by
+    default in the cache's folder, also without a cache; the figures' paths name them.
     """
     backend = BACKENDS[name]
     if not backend.available(files.sparkSession):
         raise ImportError(f"the backend {name} needs the module {backend.requires}")
-    good = F.when(F.col("problem").isNull(), F.col("doc")).alias("doc")
+    folder = (figures_dir or (cache or DocCache(files.sparkSession)).figure_folder(backend.cached_as)) if backend.mines else None
+    told = lambda doc: located(doc, folder) if folder else doc
     if cache is None:
         docs = document(converted(files, backend, options), backend)
-        if figures_dir and backend.mines:
-            docs = docs.persist(StorageLevel.DISK_ONLY)  # images and documents come from one conversion
-            export_images(docs.select("sha16", F.explode("data").alias("d")).select("sha16", "d.name", "d.data"), figures_dir)
-        return docs.select("sha16", "path", "problem", good)
-    names = files.select("sha16", "path").persist(StorageLevel.DISK_ONLY)  # bytes are hashed once
+        if folder:
+            docs = written(docs, "extracted")  # images and documents come from one conversion
+            export_images(docs.where("problem IS NULL").select("sha16", F.explode("data").alias("d")).select("sha16", "d.name", "d.data"), folder)
+        return docs.select("sha16", "path", "problem", F.when(F.col("problem").isNull(), told(F.col("doc"))).alias("doc"))
+    names = written(files.select("sha16", "path"), "names")  # bytes are hashed once
     missing = first_of_content(cache.misses(names, backend.cached_as)).select("sha16", "path")
     n = missing.count()
     if n:
@@ -212,20 +220,16 @@ def through(files: DataFrame, name: str, cache: DocCache | None, options: dict |
         cache.export_figures(names, backend.cached_as, figures_dir)
     found = names.join(cache.hits(names.select("sha16").distinct(), backend.cached_as).withColumnRenamed("cached", "doc"), "sha16", "left")
     why = cache.failures(backend.cached_as).withColumnRenamed("problem", "__why")
-    return found.join(why, "sha16", "left").select("sha16", "path", F.when(F.col("doc").isNull(), F.coalesce("__why", F.lit("not converted"))).alias("problem"), "doc")
+    return found.join(why, "sha16", "left").select("sha16", "path", F.when(F.col("doc").isNull(), F.coalesce("__why", F.lit("not converted"))).alias("problem"), told(F.col("doc")).alias("doc"))
 
 
 def keep(docs: DataFrame, backend: Backend, cache: DocCache) -> None:
     """Saves document() rows: documents, images and failures, each conversion run once."""
-    docs = docs.persist(StorageLevel.DISK_ONLY)
-    try:
-        cache.save(docs.where(F.col("problem").isNull()), backend.cached_as)
-        images = docs.where(F.col("problem").isNull()).select("sha16", F.explode("data").alias("d")).select("sha16", "d.name", "d.data")
-        if backend.mines:
-            cache.save_figures(images, backend.cached_as)
-        cache.save_failures(docs.where(F.col("problem").isNotNull()), backend.cached_as)
-    finally:
-        docs.unpersist()
+    docs = written(docs, "converted")
+    if backend.mines:  # files first, so that no document names one that isn't there
+        cache.save_figures(docs.where(F.col("problem").isNull()).select("sha16", F.explode("data").alias("d")).select("sha16", "d.name", "d.data"), backend.cached_as)
+    cache.save(docs.where(F.col("problem").isNull()), backend.cached_as)
+    cache.save_failures(docs.where(F.col("problem").isNotNull()), backend.cached_as)
 
 
 def extract(spark: SparkSession, path: str, backend: str = "auto", figures_dir: str | None = None, skip_ocr: bool = False, use_cache: bool = True, cache: DocCache | None = None, thin: int = THIN) -> DataFrame:
@@ -233,7 +237,7 @@ def extract(spark: SparkSession, path: str, backend: str = "auto", figures_dir:
 
     auto: documents whose body has fewer than `thin` characters, and those that the fast backend could not read, take the
     structured backend; where that is not installed they keep the fast result, with metadata.auto_fallback, which is never cached.
-    Images are kept in the cache, and written to `figures_dir`/sha16/ too where that is given.
+    Images are files in the cache, or in `figures_dir`/sha16/ where that is given; image_path names them.
     """
     files = pdf_files(spark, path)
     checked(backend)
@@ -250,7 +254,7 @@ def extract_files(files: DataFrame, backend: str = "auto", figures_dir: str | No
         return through(files, backend, cache, options, figures_dir)
     fast = through(files, FAST, cache, options)
     if cache is None:
-        fast = fast.persist()  # both branches read it; with a cache both read the cache
+        fast = written(fast, "fast")  # both branches read it; with a cache both read the cache
     thick, rest = routed(fast, thin)
     if not BACKENDS[STRUCTURED].available(spark):
         flagged = F.col("doc").withField("metadata", F.col("doc.metadata").withField("auto_fallback", F.lit(f"{STRUCTURED}_unavailable")))

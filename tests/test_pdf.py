@@ -4,12 +4,14 @@ import importlib.machinery
 import io
 import json
 import os
+import re
 import sys
 import time
 import types
 from contextlib import redirect_stderr, redirect_stdout
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,8 +21,8 @@ from paperloom.operators import extract as ex
 from paperloom.operators.cache import DocCache
 from paperloom.operators.preflight import preflight
 from paperloom.plans import bulk
-from paperloom.sources import files
-from paperloom.streaming.ingest import ingest
+from paperloom.sources import files, images
+from paperloom.streaming.ingest import ingest, ingested
 from tests.pdfs import objects_of, packed, simple, updated, written
 
 OWN = ex.BACKENDS[FAST].cached_as
@@ -119,7 +121,8 @@ def test_auto_routes_thin_documents(spark, folder, monkeypatch):
     thin = got["thin.pdf"]
     assert thin["backend"] == STRUCTURED and got["copy.pdf"]["backend"] == FAST
     assert thin["tables"][0]["caption"] == "Table 1. Things" and thin["references"][0]["raw"].startswith("[1]") and thin["metadata"]["year"] is None
-    assert [(f["index"], f["image_path"], f["page"]) for f in thin["figures"]] == [(0, "page_10_x.png", 10), (1, "page_2_x.png", 2)]
+    assert [(f["index"], os.path.basename(f["image_path"]), f["page"]) for f in thin["figures"]] == [(0, "page_10_x.png", 10), (1, "page_2_x.png", 2)]
+    assert all(os.path.exists(f["image_path"]) and f["image_path"].startswith(str(folder / "figs")) for f in thin["figures"])
     assert len(list((folder / "figs").glob("*/*.png"))) == 2
 
 
@@ -173,7 +176,8 @@ def test_figures_are_kept_in_the_cache(spark, folder, monkeypatch):
     structured_stub(monkeypatch, [])
     cache = DocCache(spark, str(folder / "cache"))
     got = extract(spark, str(folder / "pdfs"), backend=STRUCTURED, cache=cache).collect()
-    assert all([f["image_path"] for f in r["doc"]["figures"]] == ["page_10_x.png", "page_2_x.png"] for r in got)
+    assert all([os.path.basename(f["image_path"]) for f in r["doc"]["figures"]] == ["page_10_x.png", "page_2_x.png"] for r in got)
+    assert all(os.path.exists(f["image_path"]) for r in got for f in r["doc"]["figures"])
     kept = {(r["sha16"], r["name"]): bytes(r["data"]) for r in cache.figures(STRUCTURED).collect()}
     assert len(kept) == 4 and {v for (_, n), v in kept.items() if n == "page_2_x.png"} == {b"y"}
     assert cache.export_figures(spark.createDataFrame([(got[0]["sha16"],)], "sha16 string"), STRUCTURED, str(folder / "out")) == 2
@@ -187,8 +191,34 @@ def test_figures_are_kept_in_the_cache(spark, folder, monkeypatch):
 
     convert = lambda d, o: {"markdown": "x", "title": "", "authors": "", "n_pages": 1, "images": {"page_1_a": b"a", "page_2_b": Odd(), "page_3_c": b"c"}}
     monkeypatch.setitem(ex.BACKENDS, STRUCTURED, ex.Backend(STRUCTURED, convert, mines=True))
-    figures = extract(spark, str(folder / "pdfs" / "thin.pdf"), backend=STRUCTURED, use_cache=False).first()["doc"]["figures"]
-    assert [(f["index"], f["image_path"], f["page"]) for f in figures] == [(0, "page_1_a", 1), (1, "page_3_c", 3)]
+    figures = extract(spark, str(folder / "pdfs" / "thin.pdf"), backend=STRUCTURED, use_cache=False, figures_dir=str(folder / "odd")).first()["doc"]["figures"]
+    assert [(f["index"], os.path.basename(f["image_path"]), f["page"]) for f in figures] == [(0, "page_1_a", 1), (1, "page_3_c", 3)]
+
+
+def test_files_are_written_by_tasks_and_taken_away_again(spark, tmp_path):
+    out = str(tmp_path / "files")
+    rows = spark.createDataFrame([(f"k{i % 5}", f"{i}.bin", bytearray(b"%d" % i)) for i in range(60)] + [("k0", "none", None)], "folder string, name string, data binary").repartition(6)
+    images.write_files(rows, out)
+    assert {p.name: p.read_bytes() for p in (tmp_path / "files").rglob("*.bin")} == {f"{i}.bin": b"%d" % i for i in range(60)}
+    writer = images.FileWriter(out)
+    batch = lambda *r: pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*r, strict=True)], names=["folder", "name", "data"])
+    told = writer.write(iter([batch(("k0", "0.bin", b"other"), ("new", "x.bin", b"x"))]))
+    assert (told.files, told.bytes) == (2, 6) and (tmp_path / "files" / "new" / "x.bin").exists()
+    writer.abort([told, None])
+    assert not (tmp_path / "files" / "new" / "x.bin").exists() and (tmp_path / "files" / "k0" / "0.bin").exists()
+    assert [p.name for p in (tmp_path / "files").iterdir() if p.name.startswith(".")] == []
+
+
+def test_a_replayed_batch_leaves_the_same_rows(spark, folder):
+    run = lambda: ingest(spark, str(folder / "pdfs"), DocCache(spark, str(folder / "cache")), str(folder / "check"), str(folder / "out"), FAST, per_batch=1).awaitTermination()
+    run()
+    first = sorted(ingested(spark, str(folder / "out")).select("path", "sha16").collect())
+    for mark in (folder / "check" / "commits").iterdir():
+        if mark.name.lstrip(".").startswith("2"):
+            mark.unlink()
+    (folder / "out").rglob("_SUCCESS").__next__().unlink()  # and one batch's end was never written
+    run()
+    assert sorted(ingested(spark, str(folder / "out")).select("path", "sha16").collect()) == first and len(first) == 3
 
 
 def test_options_reach_the_backend(spark, folder, monkeypatch):
@@ -377,7 +407,8 @@ def test_cli(spark, folder, monkeypatch):
     assert json.loads(run("a.pdf", "--metadata")[1])["n_pages"] == 3
     assert json.loads(run("thin.pdf", "--backend", "marker", "--json")[1])["backend"] == "marker"
     assert run("thin.pdf", "--backend", "marker", "--tables")[1].startswith("--- table 0  (Table 1. Things) (page 0) ---\n| a | b |")
-    assert run("thin.pdf", "--backend", "marker", "--figures")[1].splitlines()[0] == "figure 0: page_10_x.png (page 10)"
+    shown = re.fullmatch(r"figure 0: (/.*/page_10_x\.png) \(page 10\)", run("thin.pdf", "--backend", "marker", "--figures")[1].splitlines()[0])
+    assert os.path.exists(shown[1])
     assert run("thin.pdf", "--backend", "marker", "--references")[1].startswith("[1]")
 
 
