@@ -33,8 +33,8 @@ WINDOW, MEAN, LEAST, MOST = 48, 2048, 256, 1 << 16  # bytes: of the rolling hash
 PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+")
 LONG = 48  # characters: longer pieces have anchors inside
 ENDS = 64  # anchors kept at each end of a chunk
-CACHE_ENTRIES = 600_000
-BATCH_BYTES = 1 << 20
+CACHE_ENTRIES = 400_000
+BATCH_BYTES = 1 << 16
 REACH = 64  # characters that are first encoded anew behind a join
 # code points before which a text can be parted without changing its NFC form: none of them composes with one before it
 UNJOINED = ((0, 0x2FF), (0x370, 0x482), (0x48A, 0x590), (0x2000, 0x20CF), (0x2100, 0x2FFF), (0x3001, 0x3029), (0x3030, 0x3098), (0x309B, 0x9FFF), (0xAC00, 0xD7A3), (0xFF00, 0xFF9D))
