@@ -144,12 +144,14 @@ def ranked_templates(hits: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def candidates(blocks: DataFrame, index: DataFrame, positional: bool = True) -> DataFrame:
-    """From blocks (..., size, y: sorted ranks) and prefixes (size, rank, i, label, n, need, x): the pairs that pass all filters."""
+    """From blocks (..., size, y: sorted ranks) and prefixes (size, rank, i, label, n, need, x): the pairs that pass the filters by
+    length and position, once each, with `common`, the runs that they share."""
     x = blocks.withColumn("m", F.size("y")).select("*", F.posexplode("y").alias("j", "rank")).join(F.broadcast(index), ["size", "rank"])
     x = x.where(F.col("m") >= F.col("need"))
-    # of the runs that a block shares with a template only the first makes the pair
-    x = x.where(F.element_at(F.array_intersect("y", "x"), 1) == F.col("rank"))
-    return x.where(F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= F.col("need")) if positional else x
+    if positional:
+        x = x.where(F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= F.col("need"))
+    # of the runs that a block shares with a template only the first makes the pair; only what is left is intersected, once
+    return x.withColumn("common", F.array_intersect("y", "x")).where(F.get("common", 0) == F.col("rank"))
 
 
 def block_sets(docs: DataFrame, templates: Mapping[str, str], containment: float, key: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -170,20 +172,20 @@ def block_sets(docs: DataFrame, templates: Mapping[str, str], containment: float
 
 
 def meeting_blocks(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, containment: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per (text, block, template) that meet: key, label, start and stop (word places of the block), n_shared, n_runs, score.
+    """One row per (text, block, template) that meet: key, text_hash, label, start and stop (word places of the block), n_shared, n_runs, score.
 
-    Kindred templates may meet one block together; score (the containment) tells them apart. Null and empty texts and those of
-    fewer than RUN words have no blocks; rows that repeat key and text give one result; a null key is a key like others; an empty
-    table or no template gives none; other columns are not read.
+    text_hash (of the text, a null one as empty) tells apart texts of one key. Kindred templates may meet one block together; score
+    (the containment) tells them apart. Null and empty texts and those of fewer than RUN words have no blocks; rows that repeat key
+    and text give one result; a null key is a key like others; an empty table or no template gives none; other columns are not read.
     """
-    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, label string, start long, stop long, n_shared long, n_runs long, score double"
+    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, text_hash long, label string, start long, stop long, n_shared long, n_runs long, score double"
     if not templates:
         return docs.sparkSession.createDataFrame([], schema)
     blocks, index = block_sets(docs, templates, containment, key, text)
-    met = candidates(blocks, index).withColumn("shared", F.size(F.array_intersect("y", "x"))).where(F.col("shared") >= F.col("need"))
+    met = candidates(blocks, index).withColumn("shared", F.size("common")).where(F.col("shared") >= F.col("need"))
     start = F.col("block").cast("long") * F.col("size")
     return met.select(
-        F.col("__key").alias(key), "label", start.alias("start"), (start + 2 * F.col("size") + RUN - 1).alias("stop"),
+        F.col("__key").alias(key), F.col("__t").alias("text_hash"), "label", start.alias("start"), (start + 2 * F.col("size") + RUN - 1).alias("stop"),
         F.col("shared").cast("long").alias("n_shared"), F.col("n").cast("long").alias("n_runs"), (F.col("shared") / F.col("n")).alias("score"),
     )
 
@@ -193,14 +195,14 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, phrases: Map
 
     Labels are those of phrases (places where a phrase's words stand consecutively) and of templates that a block meets; score
     is the largest containment of a met template, 1 if a phrase stands in the text, else 0. A null or empty text has no words
-    and no labels; rows that repeat a key share the templates' labels; other columns are not read; an empty table gives an
-    empty result.
+    and no labels; each row has the labels of its own text, also where keys repeat or are null; other columns are not read; an
+    empty table gives an empty result.
     """
     slim = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
-    base = phrase_labels(slim, phrases, "__text").drop("__text")
+    base = phrase_labels(slim.withColumn("__hash", F.xxhash64(F.coalesce("__text", F.lit("")))), phrases, "__text").drop("__text")
     met = meeting_blocks(slim, templates, containment, "__key", "__text")
-    met = met.groupBy(F.col("__key").alias("__k")).agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
-    out = base.join(met, F.col("__key").eqNullSafe(F.col("__k")), "left")
+    met = met.groupBy(F.col("__key").alias("__k"), "text_hash").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
+    out = base.join(met, F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__hash") == F.col("text_hash")), "left")
     both = F.array_sort(F.array_union(F.col("base"), F.coalesce("more", F.array().cast("array<string>"))))
     return out.select(
         F.col("__key").alias(key), "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(both, ",").alias("labels"),

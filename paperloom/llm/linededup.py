@@ -3,10 +3,11 @@
 A text's lines are hashed (outer ASCII white space stripped). A gram is the least run of lines from a line on that holds NOISE
 words; from each line on, the least run that holds GUARANTEE words is a window, and the gram with the least hash inside it is
 a fingerprint. Every repeated run of lines with GUARANTEE words or more so shares a fingerprint; texts and places without a
-shared one are left out. Of the rest, whole units are compared: the least run of GUARANTEE words from each line on, and the
-least one up to each line. They cover every run of GUARANTEE words or more and nothing else, so a line is deleted exactly if it
-stands in a unit that also stands earlier in the order of (document, line). Each unit is joined to its first place only, so the
-work is linear in the number of places, whatever the number of copies.
+shared one are left out. Of the rest, whole units are joined: the least run of GUARANTEE words from each line on, and the least
+one up to each line. They cover every run of GUARANTEE words or more and nothing else. Each unit's position is joined to its first
+one only, so the work is linear in the number of places, whatever the number of copies; positions that keep the same distance are
+then extended into one another, both ways, as far as they meet. A line is deleted exactly if it stands in a match with a place that
+is earlier in the order of (document, line), in the same document one that ends before the later one begins.
 """
 
 from __future__ import annotations
@@ -146,12 +147,13 @@ def united(runs: Column) -> Column:
     return F.aggregate(runs, F.array().cast("array<struct<start:int,end:int>>"), add)
 
 
-def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", noise: int = NOISE, guarantee: int = GUARANTEE) -> DataFrame:
-    """One row per document with a later repeated run: id, h (hash of the text), first_id, runs (array of [start, end) lines).
+def matches(docs: DataFrame, key: str = "doc_id", text: str = "text", noise: int = NOISE, guarantee: int = GUARANTEE) -> DataFrame:
+    """One row per later repeated run and first place: id, h (hash of the text), start, end (lines, [start, end)), first_id, first_h,
+    first_start; as long as both runs stay equal and the first one is the first place of each of its units.
 
     Documents are told apart by key and text; rows that repeat both are one document, and neither is later than the other. A run
-    is later if its first line stands after the other's in the order of key (null first), hash of the text, line. first_id is the
-    least key of a document in which one of the runs stands first. Runs that meet or overlap are given as one.
+    is later if its first line stands after the other's in the order of key (null first), hash of the text, line; in one document
+    it must begin where the other has ended, or later, so that a text whose lines recur keeps the first run of them.
     """
     x = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).cast("string").alias("text"))
     x = written(text_lines(x, noise, guarantee), "lines")
@@ -163,9 +165,21 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", nois
     own = x.join(short_list(shared.select("h").distinct()), "h", "left_semi").select(tie.alias("tie"), "raw")
     own = own.join(shared.select("tie"), "tie", "left_semi").dropDuplicates(["tie"])
     found = written(text_units(shared.join(own, "tie"), noise, guarantee), "lines-units")
-    firsts = found.groupBy("unit").agg(F.min(F.struct("id", "h", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("unit", "first")
-    later = join_split(found, written(firsts, "lines-firsts"), "unit").where(F.col("first") < F.struct("id", "h", "start"))
-    runs = later.groupBy("id", "h").agg(F.min("first.id").alias("first_id"), F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs"))
+    firsts = found.groupBy("unit").agg(F.min(F.struct("id", "h", "start", "end")).alias("first"), F.count("*").alias("n")).where("n > 1").select("unit", "first")
+    earlier = F.struct("first.id", "first.h", "first.start") < F.struct("id", "h", "start")
+    overlaps = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.h") == F.col("h")) & (F.col("start") < F.col("first.end"))
+    later = join_split(found, written(firsts, "lines-firsts"), "unit").where(earlier & ~overlaps)
+    later = later.select("id", "h", F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h"), (F.col("start") - F.col("first.start")).alias("apart"), "start", "end")
+    runs = later.groupBy("id", "h", "first_id", "first_h", "apart").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs"))
+    return runs.select("id", "h", F.explode(united(F.col("runs"))).alias("run"), "first_id", "first_h", "apart").select("id", "h", "run.*", "first_id", "first_h", (F.col("run.start") - F.col("apart")).alias("first_start"))
+
+
+def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", noise: int = NOISE, guarantee: int = GUARANTEE) -> DataFrame:
+    """One row per document with a later repeated run: id, h (hash of the text), first_id, runs (array of [start, end) lines), from
+    matches(). first_id is the least key of a document in which one of the runs stands first. Runs that meet or overlap are given as one.
+    """
+    found = matches(docs, key, text, noise, guarantee)
+    runs = found.groupBy("id", "h").agg(F.min("first_id").alias("first_id"), F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs"))
     return runs.withColumn("runs", united(F.col("runs")))
 
 

@@ -116,9 +116,12 @@ def op3_sql() -> str:
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     lower = f"translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}')"
     phrases = ", ".join(f"('{label}', {list_sql(p.split(' '))})" for p, label in licenses.PHRASES.items())
-    templates = ", ".join(f"('{label}', {need}, {size}, {len(runs)}, {list_sql(runs)})" for label, runs, need, size in licenses.parsed_templates(licenses.TEMPLATES, 0.8))
+    quoted = lambda t: t.replace("'", "''")
+    templates = ", ".join(f"('{label}', '{quoted(t)}')" for label, t in licenses.TEMPLATES.items())
     return f"""WITH docs AS (SELECT doc_id, {lower} AS t FROM documents), words AS (SELECT doc_id, regexp_extract_all(t, '{word}') AS w, t FROM docs),
-phrases(label, p) AS (VALUES {phrases}), templates(label, need, size, n, p) AS (VALUES {templates}), vocabulary AS (SELECT label, need, size, n, unnest(p) AS r FROM templates),
+phrases(label, p) AS (VALUES {phrases}), templates(label, t) AS (VALUES {templates}), template_words AS (SELECT label, regexp_extract_all(translate(t, '{licenses.UPPER}', '{licenses.LOWER}'), '{word}') AS p FROM templates),
+template_runs AS (SELECT label, CAST(pow(2, ceil(log2(len(p)))) AS BIGINT) AS size, list_distinct(list_transform(range(1, len(p) - 1), lambda i: array_to_string(p[i:i + 2], ' '))) AS p FROM template_words),
+vocabulary AS (SELECT label, CAST(ceil(0.8 * len(p) - 1e-9) AS BIGINT) AS need, size, len(p) AS n, unnest(p) AS r FROM template_runs),
 places AS (SELECT doc_id, label, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i:i + len(p) - 1] = p)) - 1 AS at_word FROM words, phrases WHERE contains(t, p[1])),
 base AS (SELECT doc_id, count(*) AS n_base, min(at_word) AS first_word, max(at_word) AS last_word FROM places GROUP BY doc_id),
 runs AS (SELECT doc_id, i - 1 AS at_run, array_to_string(w[i:i + {licenses.RUN - 1}], ' ') AS r FROM (SELECT doc_id, w, unnest(range(1, len(w) - {licenses.RUN - 2})) AS i FROM words)),

@@ -146,7 +146,8 @@ def line_fixture():
 
 
 def brute_later(texts, least=linededup.GUARANTEE):
-    """Lines of later runs of >= `least` words that equal an earlier run, from all pairs of places."""
+    """Lines of later runs of >= `least` words that equal an earlier run, from all pairs of places; in one text the later run begins
+    where the earlier one has ended, or after."""
     split = [[x.strip("\t\x0b\x0c\r ") for x in (t or "").split("\n")] for t in texts]
     size = [[len(WORDS.findall(x.lower())) for x in d] for d in split]
     gone = [set() for _ in texts]
@@ -159,8 +160,10 @@ def brute_later(texts, least=linededup.GUARANTEE):
                     j = i
                     while j < min(len(d), len(e) + shift) and d[j] == e[j - shift]:
                         j += 1
-                    if sum(size[b][i:j]) >= least:
-                        gone[b] |= set(range(i, j))
+                    for p in range(i, j):
+                        q = j if a < b else min(j, p + shift)
+                        if sum(size[b][p:q]) >= least:
+                            gone[b] |= set(range(p, q))
                     i = max(j, i + 1)
     return gone
 
@@ -195,6 +198,27 @@ def test_later_texts_are_compared_where_the_first_place_holds_less(spark):
     assert all(rows[i].first_id == i - 1 for i in range(2, len(texts), 3))
 
 
+def test_a_text_whose_lines_recur_keeps_the_first_run(spark):
+    line = "ten words that stand in one line again and again"
+    other = [prose(random.Random(k), 12) for k in range(6)]
+    texts = ["\n".join([line] * 20), "\n".join(["head", *[line] * 5, "tail"]), "\n".join(other * 3), "\n".join(["x", *other])]
+    gone = brute_later(texts)
+    assert [len(g) for g in gone] == [15, 5, 12, 6]
+    rows = {r.doc_id: r for r in linededup.dedup(frame(spark, list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        assert rows[i].text == "\n".join(p for k, p in enumerate(t.split("\n")) if k not in gone[i])
+    found = {(r.id, r.start, r.end, r.first_id, r.first_start) for r in linededup.matches(frame(spark, list(enumerate(texts)))).collect()}
+    assert {(1, 1, 6, 0, 0), (3, 1, 7, 2, 0)} <= found and all(f == i or i in (1, 3) for i, _, _, f, _ in found)
+
+
+def test_matches_are_extended_both_ways(spark):
+    rng = random.Random(21)
+    passage = [prose(rng, n) for n in (7, 30, 9, 28, 11)]
+    texts = ["\n".join([prose(rng, 15), *passage, prose(rng, 12)]), "\n".join([prose(rng, 8), prose(rng, 9), *passage[1:]])]
+    (row,) = linededup.matches(frame(spark, list(enumerate(texts)))).collect()
+    assert (row.id, row.start, row.end, row.first_id, row.first_start) == (1, 2, 6, 0, 2)
+
+
 def test_units_cover_repeated_runs_and_nothing_else(spark, monkeypatch):
     rng = random.Random(13)
     pool = [prose(rng, n) for n in (0, 0, 3, 8, 14, 20, 26, 31, 49, 50)]

@@ -116,6 +116,13 @@ def test_license_scan_equals_brute_force(spark):
     assert got[len(ODD)].labels == ""  # four of a notice's five words are not the notice
 
 
+def test_licenses_of_repeated_and_null_keys_are_each_texts_own(spark):
+    notice = licenses.TEMPLATES["cc-by-nc-notice"]
+    rows = [(1, "nothing here at all"), (1, notice), (1, notice), (None, notice), (None, None), (2, "plain")]
+    got = sorted((str(r.doc_id), r.labels, r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert sorted(x[0] for x in got if x[2] == 1) == ["1", "1", "None"] and all((x[2] == 1) == ("cc-by-nc-notice" in x[1]) for x in got)
+
+
 def test_license_blocks_and_filters(spark):
     texts, _ = license_fixture()
     frame = docs(spark, texts).union(docs(spark, [None]).selectExpr("cast(null as long) doc_id", "'released under the mit license' text", "lang", "source", "size", "target", "__key"))
