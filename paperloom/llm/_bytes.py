@@ -18,7 +18,7 @@ INVERSE = U(pow(int(BASE), -1, 1 << 64))
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 BYTE = np.random.default_rng(20_011).integers(1, 1 << 63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _powers: dict[int, np.ndarray] = {}
 
 
