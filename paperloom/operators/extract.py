@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,10 @@ from paperloom.sources.shared import written
 
 PATHS_TO_BROADCAST = 200_000
 RAW = "sha16 string, path string, markdown string, title string, authors string, n_pages int, images array<string>, data array<struct<name:string,data:binary>>, problem string"
+RAW_ARROW = pa.schema([
+    ("sha16", pa.string()), ("path", pa.string()), ("markdown", pa.string()), ("title", pa.string()), ("authors", pa.string()), ("n_pages", pa.int32()), ("images", pa.list_(pa.string())),
+    ("data", pa.list_(pa.struct([("name", pa.string()), ("data", pa.binary())]))), ("problem", pa.string()),
+])
 Converted = dict
 
 
@@ -145,29 +150,33 @@ def converted(files: DataFrame, backend: Backend, options: dict | None = None) -
 
     images are the names in order, null for one whose bytes could not be taken (a gap in the numbers); data are the others' bytes.
     """
-    settings = backend.options | (options or {})
-    convert = backend.convert
+    settings = options or {}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for sha16, path, data in zip(batch["sha16"], batch["path"], batch["content"], strict=True):  # a paper at a time
-                row = {"sha16": sha16, "path": path, "markdown": "", "title": "", "authors": "", "n_pages": 0, "images": [], "data": [], "problem": None}
-                try:
-                    got = convert(bytes(data), settings)
-                    row |= {k: got[k] for k in ("markdown", "title", "authors", "n_pages")}
-                    for name, image in sorted((str(k).replace("/", "_"), v) for k, v in dict(got.get("images") or {}).items()):
-                        try:
-                            row["data"].append({"name": name, "data": png(image)})
-                            row["images"].append(name)
-                        except Exception:  # noqa: BLE001
-                            row["images"].append(None)
-                except Exception as e:  # noqa: BLE001
-                    row["problem"] = f"{type(e).__name__}: {e}"
-                yield pd.DataFrame([row])
+                yield pd.DataFrame([raw_row(sha16, path, data, backend, settings)])
 
     return files.select("sha16", "path", "content").mapInPandas(run, RAW)
 
 
+def raw_row(sha16: str, path: str, data: bytes | None, backend: Backend, options: dict) -> dict:
+    """A row of RAW: one paper through a backend, whose exceptions become its problem."""
+    row = {"sha16": sha16, "path": path, "markdown": "", "title": "", "authors": "", "n_pages": 0, "images": [], "data": [], "problem": None}
+    try:
+        got = backend.convert(bytes(data), backend.options | options)
+        row |= {k: got[k] for k in ("markdown", "title", "authors", "n_pages")}
+        for name, image in sorted((str(k).replace("/", "_"), v) for k, v in dict(got.get("images") or {}).items()):
+            try:
+                row["data"].append({"name": name, "data": png(image)})
+                row["images"].append(name)
+            except Exception:  # noqa: BLE001
+                row["images"].append(None)
+    except Exception as e:  # noqa: BLE001
+        row["problem"] = f"{type(e).__name__}: {e}"
+    return row
+
+
 def document(raw: DataFrame, backend: Backend) -> DataFrame:
     """RAW rows as (sha16, path, problem, doc, data): references split off, tables harvested from what is left, figures in name order."""
     body = body_without_references(F.col("markdown"))
@@ -224,8 +233,12 @@ def through(files: DataFrame, name: str, cache: DocCache | None, options: dict |
 
 
 def keep(docs: DataFrame, backend: Backend, cache: DocCache) -> None:
-    """Saves document() rows: documents, images and failures, each conversion run once."""
-    docs = written(docs, "converted")
+    """Saves document() rows, each conversion run once."""
+    store(written(docs, "converted"), backend, cache)
+
+
+def store(docs: DataFrame, backend: Backend, cache: DocCache) -> None:
+    """Saves document() rows that are written already: images, documents and failures."""
     if backend.mines:  # files first, so that no document names one that isn't there
         cache.save_figures(docs.where(F.col("problem").isNull()).select("sha16", F.explode("data").alias("d")).select("sha16", "d.name", "d.data"), backend.cached_as)
     cache.save(docs.where(F.col("problem").isNull()), backend.cached_as)

@@ -8,18 +8,27 @@ from __future__ import annotations
 
 import os
 import time
-from collections.abc import Callable
-from dataclasses import dataclass
-
-from pyspark import StorageLevel
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
+from typing import TYPE_CHECKING
+
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.keys import STRUCTURED, attachment_path
 from paperloom.operators.cache import DocCache
 from paperloom.operators.preflight import FAIL, preflight
+from paperloom.sources.images import opened
 from paperloom.sources.shared import written
 
+if TYPE_CHECKING:
+    from paperloom.operators.extract import Backend
+
 PDF = "application/pdf"
 
 
@@ -137,7 +146,7 @@ class Budget:
     per_paper: int = 120
     rss_mb: int = 4096
     free_percent: float = 15
-    batch: int = 64
+    per_task: int = 1
 
 
 def resident_mb(pid: int) -> float:
@@ -149,48 +158,71 @@ def resident_mb(pid: int) -> float:
         return 0.0
 
 
+def serve(packed: bytes, pipe) -> None:
+    """A child's work: one conversion after another until the pipe ends."""
+    from pyspark import cloudpickle
+
+    convert = cloudpickle.loads(packed)
+    pipe.send(None)  # ready
+    while True:
+        try:
+            data, options = pipe.recv()
+        except EOFError:
+            os._exit(0)
+        try:
+            pipe.send((True, convert(data, options)))
+        except BaseException as e:  # noqa: BLE001  whatever it is, the parent tells it
+            pipe.send((False, e if isinstance(e, Exception) else RuntimeError(repr(e))))
+
+
+_children: dict[str, dict] = {}  # of this Python worker, by guard; tasks that follow one another use the same child
+
+
 def guarded(convert: Callable[[bytes, dict], dict], per_paper: float, rss_mb: float, until: float | None = None, every: float = 0.1) -> Callable[[bytes, dict], dict]:
     """The conversion in a child process under a time limit and a memory cap, as TimeoutError and MemoryError.
 
-    The child serves one paper after another, so what a backend loads is loaded once; it is killed where a paper breaches a limit,
-    native code included, and the next paper gets a new one. Memory is what the child holds at the moment, looked at `every`
-    seconds and at the end, so a paper never answers for the one before. After `until` (seconds since the epoch) no paper is
-    begun: InterruptedError; one that runs then is cut as if by its own limit.
+    The child is a new program, not a fork of a process with threads. It serves one paper after another, of all tasks of a worker, so
+    what a backend loads is loaded once; it is killed where a paper breaches a limit, native code included, and the next paper gets
+    a new one. Memory is what the child holds at the moment, looked at `every` seconds and at the end, so a paper never answers for
+    the one before. After `until` (seconds since the epoch) no paper is begun: InterruptedError; one that runs then is cut as if by
+    its own limit.
     """
-    held: dict = {}
+    from pyspark import cloudpickle
 
-    def serve(pipe, others) -> None:
-        others.close()  # so that the pipe ends with the worker
-        while True:
-            try:
-                data, options = pipe.recv()
-            except EOFError:
-                os._exit(0)
-            try:
-                pipe.send((True, convert(data, options)))
-            except BaseException as e:  # noqa: BLE001  whatever it is, the parent tells it
-                pipe.send((False, e if isinstance(e, Exception) else RuntimeError(repr(e))))
-
-    def stop() -> None:
-        if held:
-            held["process"].kill()
-            held["process"].join()
-            held["pipe"].close()
-            held.clear()
+    name, packed = uuid.uuid4().hex, cloudpickle.dumps(convert)
 
     def run(data: bytes, options: dict) -> dict:
         import multiprocessing
 
-        began = time.time()
-        if until is not None and began >= until:
+        from paperloom.plans import bulk
+
+        held = bulk._children.setdefault(name, {})
+
+        def stop() -> None:
+            if held:
+                held["process"].kill()
+                held["process"].join()
+                held["pipe"].close()
+                held.clear()
+
+        def answer() -> object:
+            try:
+                return held["pipe"].recv()
+            except EOFError:
+                stop()
+                raise RuntimeError("the conversion's process died") from None
+
+        if until is not None and time.time() >= until:
             raise InterruptedError("the run's time is over")
-        limit = per_paper if until is None else min(per_paper, until - began)
         if not held:
-            context = multiprocessing.get_context("fork")
+            context = multiprocessing.get_context("spawn")
             mine, theirs = context.Pipe()
-            held["process"], held["pipe"] = context.Process(target=serve, args=(theirs, mine), daemon=True), mine
+            held["process"], held["pipe"] = context.Process(target=bulk.serve, args=(packed, theirs), daemon=True), mine
             held["process"].start()
             theirs.close()
+            answer()
+        began = time.time()
+        limit = per_paper if until is None else min(per_paper, until - began)
         held["pipe"].send((data, options))
         while True:
             there = held["pipe"].poll(every)
@@ -199,11 +231,7 @@ def guarded(convert: Callable[[bytes, dict], dict], per_paper: float, rss_mb: fl
                 stop()
                 raise MemoryError(f"{used:.0f} MB")
             if there:
-                try:
-                    ok, got = held["pipe"].recv()
-                except EOFError:
-                    stop()
-                    raise RuntimeError("the conversion's process died") from None
+                ok, got = answer()
                 if not ok:
                     raise got
                 return got
@@ -222,48 +250,129 @@ def status_of(problem: Column) -> Column:
     )
 
 
+MAX_TASKS = 10_000
+LOG = "citekey string, path string, status string, problem string, n_md int, n_figs int, n_tabs int, n_refs int, place long"
+
+
+def contents(rows: DataFrame) -> DataFrame:
+    """(place, path, ...) with `content`, read by the task that has the row; null where a file can't be read."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(len(batch)):  # a file at a time
+                row = batch.iloc[at : at + 1]
+                yield row.assign(content=[file_bytes(row["path"].iloc[0])])
+
+    return rows.mapInPandas(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}, content binary")
+
+
+def file_bytes(path: str) -> bytes | None:
+    system, place = opened(path)
+    try:
+        with system.open_input_stream(place) as f:
+            return f.read()
+    except OSError:
+        return None
+
+
+def worked(rows: DataFrame, backend: Backend, budget: Budget, until: float, inbox: str, free: Callable[[], float]) -> DataFrame:
+    """Converts (place, path, sha16), a paper at a time, and tells place, sha16, problem.
+
+    Each result goes to the inbox at once, as a Parquet file of its own, so a run that is cut loses none. A paper that breaches the
+    memory cap leaves a mark there, after which no task begins another; so does a machine short of memory for itself.
+    """
+    from paperloom.operators.extract import raw_row
+
+    own = replace(backend, convert=guarded(backend.convert, budget.per_paper, budget.rss_mb, until))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, root = opened(inbox)
+        over = lambda: system.get_file_info(f"{root}/stop").type != fs.FileType.NotFound
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                if over() or budget.free_percent and free() < budget.free_percent:
+                    problem = "InterruptedError: no memory is free"
+                else:
+                    row = raw_row(r.sha16, r.path, file_bytes(r.path), own, {})
+                    problem = row["problem"]
+                    if not (problem or "").startswith("InterruptedError"):
+                        put(system, f"{root}/papers", row)
+                    if (problem or "").startswith("MemoryError"):
+                        system.open_output_stream(f"{root}/stop").close()
+                yield pd.DataFrame({"place": [r.place], "sha16": [r.sha16], "problem": [problem]})
+
+    return rows.mapInPandas(run, "place long, sha16 string, problem string")
+
+
+def put(system: fs.FileSystem, folder: str, row: dict) -> None:
+    """A row of RAW as a file, whole or not at all, the same name for the same content."""
+    from paperloom.operators.extract import RAW_ARROW
+
+    part = f"{folder}/.{row['sha16']}-{uuid.uuid4().hex}"
+    with system.open_output_stream(part) as out:
+        pq.write_table(pa.Table.from_pylist([row], RAW_ARROW), out)
+    system.move(part, f"{folder}/{row['sha16']}.parquet")
+
+
+def taken_over(spark: SparkSession, cache: DocCache, backend: Backend, inbox: str) -> DataFrame:
+    """Saves an inbox's results in the cache; returns what documents they are, by sha16."""
+    from paperloom.operators.extract import RAW, document, store
+
+    docs = written(document(spark.read.schema(RAW).parquet(f"{inbox}/papers"), backend), "bulk-documents")
+    store(docs, backend, cache)
+    return docs.select("sha16", "problem", F.length("doc.markdown").alias("n_md"), F.size("doc.figures").alias("n_figs"), F.size("doc.tables").alias("n_tabs"), F.size("doc.references").alias("n_refs"))
+
+
+def left_over(spark: SparkSession, cache: DocCache, backend: Backend) -> int:
+    """Saves what runs that were cut have left in their inboxes, and removes these; returns how many. No other run may be at work."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{cache.root}/inbox/{backend.cached_as}")
+    system = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in system.listStatus(p)] if system.exists(p) else []
+    for f in found:
+        taken_over(spark, cache, backend, f.toString())
+        system.delete(f, True)
+    return len(found)
+
+
 def run(spark: SparkSession, todo: DataFrame, cache: DocCache, budget: Budget, backend: str = STRUCTURED, log_path: str | None = None, sidecars: str | None = None, free: Callable[[], float] = system_free_percent) -> DataFrame:
-    """Works through a queue (citekey, path, sha16, in order) in batches and returns the run log: citekey, path, status, problem, n_md, n_figs, n_tabs, n_refs.
+    """Works through a queue (citekey, path, sha16, in order) and returns the run log: citekey, path, status, problem, n_md, n_figs,
+    n_tabs, n_refs, in the queue's order.
 
-    The deadline is looked at before each paper, on the executors: papers it leaves out are not in the log. The free memory is
-    looked at between batches; a paper that breaches the memory cap ends the run after its batch. A file that fails the preflight
-    is logged, its sidecar is kept, and it counts towards the limit.
+    A task has `per_task` papers, one by default, and Spark begins tasks in the queue's order, so the next paper goes to whoever is
+    free and a slow one holds up no other. Nothing of the queue or the log passes the driver. The deadline and the free memory are
+    looked at before each paper, where it is converted: papers that they leave out are not in the log. A paper that breaches the
+    memory cap ends the run. A file that fails the preflight is logged, its sidecar is kept, and it counts towards the limit.
     """
-    from dataclasses import replace
-
-    from paperloom.operators.extract import BACKENDS, converted, document, keep
-    from paperloom.sources.files import with_key
-
-    own = BACKENDS[backend]
-    own = replace(own, convert=guarded(own.convert, budget.per_paper, budget.rss_mb, time.time() + budget.seconds))
-    rows = [(r["citekey"], r["path"]) for r in todo.select("citekey", "path").limit(budget.papers).collect()]  # a queue of at most `papers`
-    deadline, log = time.monotonic() + budget.seconds, None
-    for at in range(0, len(rows), budget.batch):
-        if time.monotonic() >= deadline or budget.free_percent and free() < budget.free_percent:
-            break
-        part = spark.createDataFrame(rows[at : at + budget.batch], "citekey string, path string")
-        files = with_key(spark.read.format("binaryFile").load([p for _, p in rows[at : at + budget.batch]]))
-        plain = lambda c: F.regexp_replace(c, "^file:/*", "/")  # noqa: E731  a local path may stand with or without its scheme
-        files = files.select(F.col("path").alias("file"), "sha16", "content").join(part.withColumn("__plain", plain("path")), plain("file") == F.col("__plain")).drop("__plain")
-        checked = files.join(preflight(files, "path").select(F.col("file").alias("path"), "verdict", "declared_page_count", "enumerated_page_count", "reader_page_count", "warnings"), "path").persist()
-        bad = checked.where(F.col("verdict") == FAIL)
-        if sidecars:
-            bad.drop("content", "sha16").write.mode("append").partitionBy("citekey").json(sidecars)
-        docs = document(converted(passed(checked).dropDuplicates(["sha16"]), own), own).persist(StorageLevel.DISK_ONLY)
-        late = F.coalesce(F.col("problem").startswith("InterruptedError"), F.lit(False))
-        keep(docs.where(~late), own, cache)
-        done = passed(checked).select("citekey", "path", "sha16").join(docs.where(~late).drop("path"), "sha16").select(
-            "citekey", "path", status_of(F.col("problem")).alias("status"), "problem", F.length("doc.markdown").alias("n_md"), F.size("doc.figures").alias("n_figs"), F.size("doc.tables").alias("n_tabs"), F.size("doc.references").alias("n_refs"),
-        )
-        failed = bad.select("citekey", "path", F.lit("preflight").alias("status"), F.lit("page counts disagree").alias("problem"), *[F.lit(0).alias(c) for c in ("n_md", "n_figs", "n_tabs", "n_refs")])
-        place = {r: i for i, r in enumerate(rows)}
-        batch = sorted(done.unionByName(failed).collect(), key=lambda r: place[r["citekey"], r["path"]])  # at most `batch` rows
-        log = [*(log or []), *batch]
-        checked.unpersist()
-        docs.unpersist()
-        if any(r["status"] == "memguard" for r in batch):
-            break
-    out = spark.createDataFrame(log or [], "citekey string, path string, status string, problem string, n_md int, n_figs int, n_tabs int, n_refs int")
+    from paperloom.operators.extract import BACKENDS
+
+    own, until = BACKENDS[backend], time.time() + budget.seconds
+    left_over(spark, cache, own)
+    names = [f.split(" ")[0] for f in LOG.split(", ")]
+    if budget.free_percent and free() < budget.free_percent:
+        return spark.createDataFrame([], LOG).drop("place")
+    queue = written(todo.select("citekey", "path", "sha16").limit(budget.papers).withColumn("place", F.monotonically_increasing_id()), "bulk-queue")
+    n = queue.count()
+    if not n:
+        return spark.createDataFrame([], LOG).drop("place")
+    size = max(1, budget.per_task, -(-n // MAX_TASKS))
+    spread = lambda x: x.repartitionById(-(-n // size), F.floor(F.col("place") / size).cast("int")).sortWithinPartitions("place")
+    files = contents(spread(queue.groupBy("path").agg(F.min("place").alias("place")))).drop("place")
+    told = ("verdict", "declared_page_count", "enumerated_page_count", "reader_page_count", "warnings")
+    checked = written(queue.join(preflight(files, "path").select(F.col("file").alias("path"), *told), "path"), "bulk-checked")
+    bad = checked.where(F.col("verdict") == FAIL)
+    if sidecars:
+        bad.drop("sha16", "place").write.mode("append").partitionBy("citekey").json(sidecars)
+    inbox = f"{cache.root}/inbox/{own.cached_as}/{uuid.uuid4().hex}"
+    spark._jvm.org.apache.hadoop.fs.Path(inbox).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(f"{inbox}/papers"))
+    once = passed(checked).groupBy("sha16").agg(F.min_by("path", "place").alias("path"), F.min("place").alias("place"))
+    outcome = written(worked(spread(once.select("place", "path", "sha16")), own, budget, until, inbox, free), "bulk-outcome")
+    made = taken_over(spark, cache, own, inbox)
+    ended = outcome.where(F.coalesce(~F.col("problem").startswith("InterruptedError"), F.lit(True))).select("sha16")
+    done = passed(checked).join(ended, "sha16", "left_semi").join(made, "sha16").withColumn("status", status_of(F.col("problem")))
+    failed = bad.withColumns({"status": F.lit("preflight"), "problem": F.lit("page counts disagree")} | {c: F.lit(0) for c in ("n_md", "n_figs", "n_tabs", "n_refs")})
+    log = written(done.select(*names).unionByName(failed.select(*names)), "bulk-log")
     if log_path:
-        out.write.mode("append").parquet(log_path)
-    return out
+        log.orderBy("place").drop("place").write.mode("append").parquet(log_path)
+    gone = spark._jvm.org.apache.hadoop.fs.Path(inbox)
+    gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+    return log.orderBy("place").drop("place")

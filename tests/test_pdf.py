@@ -12,6 +12,7 @@ from contextlib import redirect_stderr, redirect_stdout
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs
 import pytest
 from pyspark.sql import functions as F
 
@@ -287,7 +288,7 @@ def test_bulk_run(spark, folder, monkeypatch):
     cache = DocCache(spark, str(folder / "cache"))
     keyed = entries.join(pdfs.select("path", "sha16"), "path")
     todo = bulk.queue(keyed, cache.entries(STRUCTURED), files.blocklist(spark, str(folder / "block.json")), 10)
-    log = {r["citekey"]: r for r in bulk.run(spark, todo, cache, bulk.Budget(batch=2, rss_mb=0), sidecars=str(folder / "sidecars"), free=lambda: 100.0).collect()}
+    log = {r["citekey"]: r for r in bulk.run(spark, todo, cache, bulk.Budget(per_task=2, rss_mb=0), sidecars=str(folder / "sidecars"), free=lambda: 100.0).collect()}
     assert {k: r["status"] for k, r in log.items()} == {"cited": "ok", "new": "ok", "wrong": "preflight"}
     assert log["cited"]["n_tabs"] == 1 and log["cited"]["n_figs"] == 2 and log["cited"]["n_refs"] == 1
     assert spark.read.json(str(folder / "sidecars")).first()["verdict"] == "FAIL"
@@ -371,9 +372,47 @@ def test_papers_after_the_deadline_are_left_out(spark, folder, monkeypatch):
     assert log.count() == 0 and cache.keys(STRUCTURED).count() == 0 and cache.failures(STRUCTURED).count() == 0
 
 
+def test_a_slow_paper_holds_up_no_other_and_a_cut_run_loses_none(spark, folder, monkeypatch):
+    def convert(data, options):
+        if b"slow" in data:
+            time.sleep(60)
+        return {"markdown": "text " * 40, "title": "", "authors": "", "n_pages": 1, "images": {}}
+
+    monkeypatch.setitem(ex.BACKENDS, STRUCTURED, ex.Backend(STRUCTURED, convert, mines=True))
+    for i in range(6):
+        (folder / "pdfs" / f"p{i}.pdf").write_bytes(written(objects_of([[(10, f"paper {i}")]], title="slow" if i == 0 else f"T{i}")))
+    found = files.with_key(files.pdf_files(spark, str(folder / "pdfs"))).where(F.col("path").rlike(r"/p\d\.pdf$")).select(F.substring_index("path", "/", -1).alias("citekey"), "path", "sha16")
+    cache = DocCache(spark, str(folder / "cache"))
+    began = time.monotonic()
+    log = bulk.run(spark, found.orderBy("citekey"), cache, bulk.Budget(per_paper=8, rss_mb=0), free=lambda: 100.0, log_path=str(folder / "log")).collect()
+    assert [(r["citekey"], r["status"]) for r in log] == [("p0.pdf", "timeout")] + [(f"p{i}.pdf", "ok") for i in range(1, 6)]
+    assert time.monotonic() - began < 60 and spark.read.parquet(str(folder / "log")).count() == 6
+    assert not list((folder / "cache" / "inbox").rglob("*.parquet"))
+    # a run that was cut before it took its results over
+    own, inbox = ex.BACKENDS[STRUCTURED], folder / "cache" / "inbox" / STRUCTURED / "cut"
+    (inbox / "papers").mkdir(parents=True)
+    bulk.put(pa.fs.LocalFileSystem(), str(inbox / "papers"), ex.raw_row("0123456789abcdef", "x.pdf", b"any", own, {}))
+    assert bulk.left_over(spark, cache, own) == 1 and not inbox.exists()
+    assert cache.hits(spark.createDataFrame([("0123456789abcdef",)], "sha16 string"), STRUCTURED).count() == 1
+
+
+def test_a_breach_of_memory_ends_the_run(spark, folder, monkeypatch):
+    def convert(data, options):
+        held = bytearray(600 << 20) if b"large" in data else b""
+        time.sleep(2)
+        return {"markdown": f"text {len(held)}" * 40, "title": "", "authors": "", "n_pages": 1, "images": {}}
+
+    monkeypatch.setitem(ex.BACKENDS, STRUCTURED, ex.Backend(STRUCTURED, convert))
+    for i in range(4):
+        (folder / "pdfs" / f"p{i}.pdf").write_bytes(written(objects_of([[(10, f"paper {i}")]], title="large" if i == 0 else f"T{i}")))
+    found = files.with_key(files.pdf_files(spark, str(folder / "pdfs"))).where(F.col("path").rlike(r"/p\d\.pdf$")).select(F.substring_index("path", "/", -1).alias("citekey"), "path", "sha16")
+    log = bulk.run(spark, found.orderBy("citekey"), DocCache(spark, str(folder / "cache")), bulk.Budget(per_task=4, rss_mb=500), free=lambda: 100.0).collect()
+    assert [(r["citekey"], r["status"]) for r in log] == [("p0.pdf", "memguard")]
+
+
 def test_guards_and_locks(tmp_path):
     with pytest.raises(TimeoutError):
-        bulk.guarded(lambda d, o: time.sleep(3), 1, 0)(b"", {})
+        bulk.guarded(lambda d, o: __import__("time").sleep(3), 1, 0)(b"", {})
     with pytest.raises(MemoryError):
         bulk.guarded(lambda d, o: {}, 5, 1)(b"", {})
     with bulk.Lock(str(tmp_path / "x.lock")) as first, bulk.Lock(str(tmp_path / "x.lock")) as second:
