@@ -427,3 +427,13 @@ def extract_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
         long(F.when(doc.isNotNull(), F.size(doc["references"]))).alias("n_refs"), long(F.when(doc.isNotNull(), F.size(doc["figures"]))).alias("n_figures"), F.coalesce("n_saved", F.lit(0)).alias("n_saved"),
         long(F.when(doc.isNotNull(), F.coalesce(F.get(F.reverse(doc["figures"]), 0)["page"], F.lit(0)))).alias("last_page"),
     )
+
+
+@query(f"WITH {KEYED_SQL}, kept AS (SELECT DISTINCT sha16, coalesce(text, '') AS t FROM keyed WHERE doc_id % 5 = 0) SELECT 'pymupdf4llm' AS backend, count(*) AS papers, CAST(sum(length(t)) AS BIGINT) AS characters, count_if(t = '') AS empty FROM kept")
+def sql_cache_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache looked at through its views."""
+    from paperloom.functions.sql import cache_views
+
+    cache, _ = _cache(spark, sf_dir)
+    cache_views(cache, keys.FAST)
+    return spark.sql("SELECT backend, count(*) AS papers, sum(length(markdown)) AS characters, count_if(markdown = '') AS empty FROM papers GROUP BY backend")

@@ -323,3 +323,25 @@ def preflight_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT projection, CASE projection WHEN 'text' THEN 'auto' WHEN 'references' THEN 'pymupdf4llm' WHEN 'metadata' THEN 'pymupdf4llm' ELSE 'marker' END AS backend FROM (SELECT unnest(['text', 'section', 'tables', 'figures', 'references', 'metadata']) AS projection)")
 def backend_per_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(p,) for p in keys.BACKEND_OF], "projection string").withColumn("backend", keys.backend_of(F.col("projection")))
+
+
+# The same rows through SQL alone: spark.sql over views, with the functions of paperloom.functions.sql.
+def _by_sql(name: str, sql: str, like: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from paperloom.functions.sql import register
+
+        register(spark)
+        carried(spark, sf_dir).createOrReplaceTempView("carried_documents")
+        return spark.sql(sql)
+
+    QUERIES[name] = run
+    ORACLES[name] = ORACLES[like]
+
+
+_by_sql("sql_headings", "SELECT d.doc_id, CAST(h.pos AS BIGINT) AS pos, CAST(h.depth AS BIGINT) AS depth, h.title FROM carried_documents d, LATERAL headings_of(d.md) h", "headings")
+_by_sql("sql_section_methods", "SELECT doc_id, paper_section(md, 'Methods') AS section_text FROM carried_documents WHERE paper_section(md, 'Methods') IS NOT NULL", "section_methods")
+_by_sql("sql_section_detail", "SELECT * FROM (SELECT doc_id, paper_section(md, ' DETAIL OF ') AS section_text FROM carried_documents) WHERE section_text IS NOT NULL", "section_detail")
+_by_sql("sql_reference_body", "SELECT doc_id, paper_body(md) AS body FROM carried_documents", "reference_body")
+_by_sql("sql_reference_entries", "SELECT d.doc_id, CAST(r.pos AS BIGINT) AS pos, r.entry FROM carried_documents d, LATERAL references_of(d.md) r", "reference_entries")
+_by_sql("sql_table_blocks", "SELECT d.doc_id, CAST(t.index AS BIGINT) AS idx, t.markdown AS table_md FROM carried_documents d, LATERAL tables_of(d.md) t", "table_blocks")
+_by_sql("sql_table_captions", "SELECT d.doc_id, CAST(t.index AS BIGINT) AS idx, t.caption FROM carried_documents d, LATERAL tables_of(d.md) t", "table_captions")

@@ -150,3 +150,21 @@ def test_whole_texts_are_mined(spark, tmp_path):
     assert sorted((r.doc_id, r.idx, r.table_md) for r in run("table_blocks")) == [x[:3] for x in blocks]
     assert sorted((r.doc_id, r.idx, r.caption) for r in run("table_captions")) == [(i, k, c) for i, k, _, c in blocks]
     assert len(run("cli_tables")) == len(blocks)
+
+
+def test_sql_functions_equal_the_column_functions(spark):
+    from paperloom.functions import sql
+
+    rng = random.Random(41)
+    parts = ["# ", "## ", "###", "   # ", "\t# ", "Methods", "methods of it", "References", "**References**", "works\ncited", "\n", "\n\n", " ", "| a | b |\n", "|---|---|\n", "|:-|\n", "| 1 | 2 |\n", "Table 3. A caption", "tbl. 4", "x" * 30, "\u2003", "\x1c", "\ufdd0", "[1] an entry that is long enough for it", "é", "'", "\\"]
+    texts = [None, "", *("".join(rng.choices(parts, k=rng.randrange(1, 40))) for _ in range(400))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, md string")
+    df.createOrReplaceTempView("fuzzed")
+    sql.register(spark)
+    got = spark.sql("SELECT id, paper_section(md, ' Methods') AS s, paper_headings(md) AS h, paper_body(md) AS b, paper_references(md) AS r, paper_tables(md) AS t FROM fuzzed")
+    md = F.col("md")
+    want = df.select("id", markdown.section(md, " Methods").alias("s"), markdown.headings(md).alias("h"), markdown.body_without_references(md).alias("b"), markdown.references(md).alias("r"), markdown.tables(md).alias("t"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    rows = spark.sql("SELECT f.id, t.index, t.caption FROM fuzzed f, LATERAL tables_of(f.md) t").collect()
+    assert sorted((r[0], r[1]) for r in rows) == sorted((r["id"], x["index"]) for r in want.collect() for x in r["t"] or [])
+    sql.register(spark)  # again, over the same names
