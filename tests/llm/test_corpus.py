@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from paperloom.llm import _bytes, ann, components, decontam, langid, linededup, mixing, neardup, toxicity
@@ -683,3 +684,19 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert sorted((r.doc_id, r.copy) for r in got) == sorted((i, k + 1) for i, n in copies.items() for k in range(n))
     assert all(r.text == clean[r.doc_id] and r.copies == copies[r.doc_id] for r in got)
     assert all(r.n_chars == len(r.text) for r in got)
+
+
+def test_the_choice_of_constants_reads_no_held_out_row(spark):
+    from paperloom.llm import choose_toxicity
+    from paperloom.llm.langid import held_out
+
+    rng = random.Random(8)
+    words = ["house", "green", "water", "people", "before", "after", "summer", "letter"]
+    rows = [(i, " ".join(rng.choices(words, k=40)) + (" vile grubby" * 3 if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    spoiled = df.withColumn("toxic", F.when(held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic"))).withColumn("text", F.when(held_out(F.col("doc_id")), F.lit("vile")).otherwise(F.col("text")))
+    tried = {"STEADY": (100, 900)}
+    before = toxicity.STEADY
+    told = [choose_toxicity.choose(x.select("doc_id", "text"), x.select("doc_id", "toxic"), tried) for x in (df, spoiled)]
+    assert told[0] == told[1] and toxicity.STEADY == before and all(0 <= r["average_precision"] <= 1 for r in told[0][1])
+    assert choose_toxicity.average_precision(np.array([0.9, 0.8, 0.8, 0.1]), np.array([1, 1, 0, 0])) == pytest.approx((1 + 2 / 3) / 2)
