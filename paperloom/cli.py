@@ -26,6 +26,18 @@ def figure_lines(figures: Column) -> Column:
     return F.transform(figures, lambda f: F.concat(F.lit("figure "), f["index"].cast("string"), F.lit(": "), F.coalesce(f["image_path"], F.lit("None")), F.lit(" (page "), f["page"].cast("string"), F.lit(")"), caption(f)))
 
 
+def printed(doc: Column, what: str, name: str = "") -> Column:
+    """What the command prints of a document struct: text, section (null if there is none), tables, figures or references."""
+    ended = lambda lines: F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")
+    return {
+        "text": lambda: F.concat(doc["markdown"], F.lit("\n")),
+        "section": lambda: F.concat(section(doc["markdown"], name), F.lit("\n")),
+        "tables": lambda: ended(table_lines(doc["tables"])),
+        "figures": lambda: ended(figure_lines(doc["figures"])),
+        "references": lambda: ended(F.transform(doc["references"], lambda r: r["raw"])),
+    }[what]()
+
+
 def parser() -> argparse.ArgumentParser:
     # Names of arguments and flags, and their defaults.
     p = argparse.ArgumentParser(prog="paperloom", description="Extract the structure of a PDF.")
@@ -59,19 +71,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.json:
         as_json(F.col("doc"))
     elif args.section:
-        body = one(section(F.col("doc.markdown"), args.section))
+        body = one(printed(F.col("doc"), "section", args.section))
         if body is None:
             print(f"ERROR: section {args.section!r} not found", file=sys.stderr)
             return 2
-        print(body)
-    elif args.tables:
-        print(*[t + "\n" for t in one(table_lines(F.col("doc.tables")))], sep="", end="")
-    elif args.figures:
-        print(*[f + "\n" for f in one(figure_lines(F.col("doc.figures")))], sep="", end="")
-    elif args.references:
-        print(*[r["raw"] + "\n" for r in one("doc.references")], sep="", end="")
-    elif args.metadata:
+        print(body, end="")
+    elif args.metadata and not (args.tables or args.figures or args.references):
         as_json(F.col("doc.metadata"))
     else:
-        print(one("doc.markdown"))
+        what = next((w for w in ("tables", "figures", "references") if getattr(args, w)), "text")
+        print(one(printed(F.col("doc"), what)), end="")
     return 0

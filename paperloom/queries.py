@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.cli import figure_lines, table_lines
+from paperloom.cli import figure_lines, printed, table_lines
 from paperloom.functions import keys, markdown
 from paperloom.operators import preflight
 from paperloom.operators.cache import doc_json, parsed_doc
@@ -345,3 +345,19 @@ _by_sql("sql_reference_body", "SELECT doc_id, paper_body(md) AS body FROM carrie
 _by_sql("sql_reference_entries", "SELECT d.doc_id, CAST(r.pos AS BIGINT) AS pos, r.entry FROM carried_documents d, LATERAL references_of(d.md) r", "reference_entries")
 _by_sql("sql_table_blocks", "SELECT d.doc_id, CAST(t.index AS BIGINT) AS idx, t.markdown AS table_md FROM carried_documents d, LATERAL tables_of(d.md) t", "table_blocks")
 _by_sql("sql_table_captions", "SELECT d.doc_id, CAST(t.index AS BIGINT) AS idx, t.caption FROM carried_documents d, LATERAL tables_of(d.md) t", "table_captions")
+
+
+PRINTED_SQL = rf"""SELECT doc_id, 'text' AS what, body || E'\n' AS printed FROM ({ORACLES['reference_body']}) UNION ALL SELECT doc_id, 'section', section_text || E'\n' FROM ({ORACLES['section_methods']})
+UNION ALL SELECT doc_id, 'references', string_agg(entry || E'\n', '' ORDER BY pos) FROM ({ORACLES['reference_entries']}) GROUP BY doc_id
+UNION ALL SELECT doc_id, 'tables', string_agg(printed || E'\n', '' ORDER BY idx) FROM ({ORACLES['cli_tables']}) GROUP BY doc_id"""
+
+
+@query(PRINTED_SQL)
+def cli_printed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the command line prints of every document: text, section, references and tables."""
+    md = F.col("md")
+    refs = F.transform(markdown.references(md), lambda r: F.struct(r.alias("raw")))
+    x = carried(spark, sf_dir).select("doc_id", F.struct(markdown.body_without_references(md).alias("markdown"), refs.alias("references")).alias("doc"))
+    x = x.withColumn("doc", F.col("doc").withField("tables", markdown.tables(F.col("doc.markdown"))))
+    rows = [F.struct(F.lit(w).alias("what"), printed(F.col("doc"), w, "methods").alias("printed")) for w in ("text", "section", "references", "tables")]
+    return x.select("doc_id", F.explode(F.array(*rows)).alias("p")).select("doc_id", "p.what", "p.printed")
