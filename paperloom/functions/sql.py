@@ -64,11 +64,13 @@ FUNCTIONS = [  # name, arguments, result, body
     ("paper_references", "md STRING", "ARRAY<STRING>", _let("h", HALVES, f"CASE WHEN size(h) > 1 THEN {ENTRIES} WHEN h IS NOT NULL THEN CAST(array() AS ARRAY<STRING>) END")),
     ("paper_tables", "md STRING", FOUND, _let("parts", _cut(TABLE, f"{OPEN}$0{SHUT}"), _let("ends", ENDS, f"filter(transform(parts, (p, i) -> if(i > 0, {ONE}, NULL)), t -> t IS NOT NULL)"))),
 ]
+# Generators over the bodies themselves: Spark makes them part of the outer query, row by row, where a subquery between would be joined by text.
+BODIES = {name: body for name, _, _, body in FUNCTIONS}
 TABLES = [
-    ("headings_of", "md STRING", "pos INT, depth INT, title STRING", "SELECT pos, h.depth, h.title FROM (SELECT posexplode(a) AS (pos, h) FROM (SELECT paper_headings(md) AS a))"),
-    ("references_of", "md STRING", "pos INT, entry STRING", "SELECT posexplode(a) AS (pos, entry) FROM (SELECT paper_references(md) AS a)"),
-    ("tables_of", "md STRING", "index INT, markdown STRING, caption STRING, page INT", "SELECT inline(a) FROM (SELECT paper_tables(md) AS a)"),
-]
+    ("headings_of", "md STRING", "pos INT, depth INT, title STRING", f"SELECT inline(transform({BODIES['paper_headings']}, (x, i) -> named_struct('pos', i, 'depth', x.depth, 'title', x.title)))"),
+    ("references_of", "md STRING", "pos INT, entry STRING", f"SELECT posexplode({BODIES['paper_references']}) AS (pos, entry)"),
+    ("tables_of", "md STRING", "index INT, markdown STRING, caption STRING, page INT", f"SELECT inline({BODIES['paper_tables']})"),
+]
 
 
 def register(spark: SparkSession) -> None:

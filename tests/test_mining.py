@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from paperloom import queries
 from paperloom.functions import keys, markdown
+from paperloom.functions import sql as sql_functions
 from paperloom.operators import preflight
 
 # The patterns that say what a heading, a reference heading, a table and a caption are.
@@ -168,3 +169,15 @@ def test_sql_functions_equal_the_column_functions(spark):
     rows = spark.sql("SELECT f.id, t.index, t.caption FROM fuzzed f, LATERAL tables_of(f.md) t").collect()
     assert sorted((r[0], r[1]) for r in rows) == sorted((r["id"], x["index"]) for r in want.collect() for x in r["t"] or [])
     sql.register(spark)  # again, over the same names
+
+
+def test_table_functions_are_part_of_the_outer_query(spark):
+    """A join by the text would shuffle every document; a null text has no rows, equal ones each have theirs."""
+    rows = [(i, f"# A {i % 2}\n\n| a |\n|---|\n| 1 |\n\n# References\n\n" + "x" * 30) for i in range(4)] + [(4, None), (5, "")]
+    spark.createDataFrame(rows, "id long, md string").createOrReplaceTempView("texts_of_a_test")
+    sql_functions.register(spark)
+    for name, each in (("headings_of", 2), ("references_of", 1), ("tables_of", 1)):
+        x = spark.sql(f"SELECT t.id, f.* FROM texts_of_a_test t, LATERAL {name}(t.md) f")
+        plan = x._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
+        assert sorted(r.id for r in x.collect()) == sorted(list(range(4)) * each)
