@@ -105,3 +105,20 @@ def write_files(rows: DataFrame, folder: str) -> None:
     spark = rows.sparkSession
     spark.dataSource.register(FileSink)
     rows.select(F.col("folder").cast("string"), F.col("name").cast("string"), "data").write.format(FORMAT).mode("append").option("folder", folder).save()
+
+
+def read_files(names: DataFrame, folder: str) -> DataFrame:
+    """sha16, name, data of the files folder/<sha16>/<name>, read by the executors; one that has gone has no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = opened(folder)
+        for batch in batches:
+            for sha16, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    with system.open_input_stream(f"{root.rstrip('/')}/{sha16}/{name}") as f:
+                        data = f.read()
+                except FileNotFoundError:
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array([sha16]), pa.array([name]), pa.array([data], pa.binary())], names=["sha16", "name", "data"])
+
+    return names.select("sha16", "name").mapInArrow(run, "sha16 string, name string, data binary")

@@ -22,7 +22,7 @@ from paperloom.operators import extract as ex
 from paperloom.operators.cache import DocCache
 from paperloom.operators.preflight import preflight
 from paperloom.plans import bulk
-from paperloom.sources import files, images
+from paperloom.sources import files, images, pdf
 from paperloom.streaming.ingest import ingest, ingested
 from tests.pdfs import objects_of, packed, simple, updated, written
 
@@ -462,3 +462,37 @@ def test_signals_of_nothing():
     from paperloom.sources.pdf import structure
 
     assert len(next(structure(iter([pd.DataFrame({"path": ["x"], "content": [None]})])))) == 1
+
+
+def test_headers_are_found_as_before_a_gap_at_a_time():
+    import random
+
+    plain = re.compile(r"(?:\A|GAP)GAP*([+-]?0*[0-9]{1,10})GAP+[+-]?0*[0-9]{1,10}GAP+obj(?![A-Za-z0-9_])".replace("GAP", r"(?:[\x00\t\n\x0c\r ]|%[^\r\n]*[\r\n])").encode())
+    rng = random.Random(8)
+    bits = [b"1", b"00", b"12345678901", b"+0", b" ", b"\n", b"\r", b"%", b"%x\n", b"obj", b"endobj", b"x", b" 0 obj", b"4 0 obj"]
+    for _ in range(5000):
+        data = b"".join(rng.choices(bits, k=rng.randrange(1, 16)))
+        assert [(int(m[1]), m.start(1)) for m in pdf.headers(data)] == [(int(m[1]), m.start(1)) for m in plain.finditer(data)], data
+
+
+def test_images_are_found_by_their_table_not_by_listing(spark, tmp_path):
+    cache = DocCache(spark, str(tmp_path / "cache"))
+    rows = spark.createDataFrame([("a", "1.png", bytearray(b"1")), ("a", "2.png", bytearray(b"2")), ("b", "1.png", bytearray(b"3"))], "sha16 string, name string, data binary")
+    images.write_files(rows.where("sha16 = 'b'").withColumnRenamed("sha16", "folder"), cache.figure_folder("x"))  # from before there was a table
+    for _ in range(2):
+        cache.save_figures(rows.where("sha16 = 'a'"), "x")
+    assert sorted((r.sha16, r.name) for r in cache.figure_names("x").collect()) == [("a", "1.png"), ("a", "2.png"), ("b", "1.png")]
+    assert "binaryFile" not in cache.figure_names("x")._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.sha16, r.name, bytes(r.data)) for r in cache.figures("x", rows.where("name = '2.png'")).collect()) == [("a", "1.png", b"1"), ("a", "2.png", b"2")]
+    os.remove(f"{cache.figure_folder('x')}/a/1.png")
+    assert cache.figures("x").count() == 2
+
+
+def test_a_task_sends_its_results_some_at_a_time(spark):
+    """A frame a paper took longer than the paper; results beyond HELD_BYTES don't wait."""
+    files_ = spark.range(300).coalesce(1).selectExpr("string(id) AS sha16", "string(id) AS path", "CAST('x' AS BINARY) AS content")
+    small = ex.Backend("b", lambda d, o: {"markdown": "m", "title": "", "authors": "", "n_pages": 1, "images": {}})
+    sizes = lambda x: x.mapInArrow(lambda it: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in it), "n long")
+    assert sum(r.n for r in sizes(ex.converted(files_, small)).collect()) == 300
+    with_missing = spark.createDataFrame([("k", "p", None), ("l", "q", bytearray(b"x"))], "sha16 string, path string, content binary")
+    assert sorted((r.sha16, r.problem is None) for r in ex.converted(with_missing, small).collect()) == [("k", False), ("l", True)]
