@@ -23,6 +23,7 @@ from paperloom.sources.files import pdf_files, with_key
 from paperloom.sources.shared import written
 
 PATHS_TO_BROADCAST = 200_000
+HELD_ROWS, HELD_BYTES = 64, 1 << 20  # results that a task holds before they go on
 RAW = "sha16 string, path string, markdown string, title string, authors string, n_pages int, images array<string>, data array<struct<name:string,data:binary>>, problem string"
 RAW_ARROW = pa.schema([
     ("sha16", pa.string()), ("path", pa.string()), ("markdown", pa.string()), ("title", pa.string()), ("authors", pa.string()), ("n_pages", pa.int32()), ("images", pa.list_(pa.string())),
@@ -152,12 +153,19 @@ def converted(files: DataFrame, backend: Backend, options: dict | None = None) -
     """
     settings = options or {}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for sha16, path, data in zip(batch["sha16"], batch["path"], batch["content"], strict=True):  # a paper at a time
-                yield pd.DataFrame([raw_row(sha16, path, data, backend, settings)])
+            for x in zip(*batch.columns, strict=True):  # a paper at a time; results go on some at a time
+                held.append(raw_row(*(c.as_py() for c in x), backend, settings))
+                size += len(held[-1]["markdown"] or "") + sum(len(d["data"]) for d in held[-1]["data"])
+                if len(held) >= HELD_ROWS or size >= HELD_BYTES:
+                    yield pa.RecordBatch.from_pylist(held, schema=RAW_ARROW)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=RAW_ARROW)
 
-    return files.select("sha16", "path", "content").mapInPandas(run, RAW)
+    return files.select("sha16", "path", "content").mapInArrow(run, RAW)
 
 
 def raw_row(sha16: str, path: str, data: bytes | None, backend: Backend, options: dict) -> dict:
@@ -222,8 +230,8 @@ def through(files: DataFrame, name: str, cache: DocCache | None, options: dict |
     missing = first_of_content(cache.misses(names, backend.cached_as)).select("sha16", "path")
     n = missing.count()
     if n:
-        # bytes stay where they are read as long as the list of paths is small
-        wanted = F.broadcast(missing) if n <= PATHS_TO_BROADCAST else missing
+        # bytes stay where they are read as long as the list of paths is small; beyond that they are dealt by key, but never sorted
+        wanted = F.broadcast(missing) if n <= PATHS_TO_BROADCAST else missing.hint("shuffle_hash")
         keep(document(converted(files.join(wanted, ["sha16", "path"], "left_semi"), backend, options), backend), backend, cache)
     if figures_dir and backend.mines:
         cache.export_figures(names, backend.cached_as, figures_dir)
@@ -268,16 +276,19 @@ def extract_files(files: DataFrame, backend: str = "auto", figures_dir: str | No
     fast = through(files, FAST, cache, options)
     if cache is None:
         fast = written(fast, "fast")  # both branches read it; with a cache both read the cache
-    thick, rest = routed(fast, thin)
-    if not BACKENDS[STRUCTURED].available(spark):
+    if not BACKENDS[STRUCTURED].available(spark):  # nothing is converted again, so one pass does
         flagged = F.col("doc").withField("metadata", F.col("doc.metadata").withField("auto_fallback", F.lit(f"{STRUCTURED}_unavailable")))
-        return thick.unionByName(rest.withColumn("doc", flagged))
+        return fast.withColumn("doc", F.when(short(F.col("doc.markdown"), thin), flagged).otherwise(F.col("doc")))
+    thick, rest = routed(fast, thin)
     again = files.join(rest.select("sha16", "path"), ["sha16", "path"], "left_semi")
     return thick.unionByName(through(again, STRUCTURED, cache, options, figures_dir))
 
 
 def routed(docs: DataFrame, thin: int = THIN, markdown: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows whose body is long enough, and the thin ones."""
-    text = F.col("doc.markdown") if markdown is None else markdown
-    short = F.coalesce(is_thin(text, thin), F.lit(True))
-    return docs.where(~short), docs.where(short)
+    thin_one = short(F.col("doc.markdown") if markdown is None else markdown, thin)
+    return docs.where(~thin_one), docs.where(thin_one)
+
+
+def short(markdown: Column, thin: int) -> Column:
+    return F.coalesce(is_thin(markdown, thin), F.lit(True))
