@@ -79,14 +79,16 @@ def coverage(signals: DataFrame, key: str = "id") -> DataFrame:
         return F.transform(kind, lambda x: row(x["number"], x["offset"]))
 
     rows = [F.coalesce(tagged(kind), F.array().cast(entry)) for kind in ("raw", "direct", "packed", "known")]
-    objects = signals.select(key, F.explode(F.concat(*rows)).alias("o"))
+    # whether a referenced offset is a raw one: strings, whose sets are hashed, of the same object's place in both lists
+    place = lambda kind: F.transform(F.coalesce(F.col(kind), F.array().cast("array<struct<number:bigint,offset:bigint>>")), lambda x: F.concat_ws(":", x["number"].cast("string"), x["offset"].cast("string")))
+    objects = signals.select(key, F.arrays_overlap(place("raw"), place("direct")).alias("calibrated"), F.explode(F.concat(*rows)).alias("o"))
     of = lambda kind: F.when(F.col("o.kind") == kind, F.col("o.at"))
     merged = objects.groupBy(key, F.col("o.number").alias("number")).agg(
-        F.max(of("raw")).alias("latest"), F.collect_set(of("raw")).alias("copies"), F.max(of("direct")).alias("direct"), F.max(of("packed")).alias("stream"), F.bool_or(F.col("o.kind") == "known").alias("known"))
+        F.max(of("raw")).alias("latest"), F.bool_or("calibrated").alias("calibrated"), F.max(of("direct")).alias("direct"), F.max(of("packed")).alias("stream"), F.bool_or(F.col("o.kind") == "known").alias("known"))
     there = F.col("latest").isNotNull()
     listed = lambda holds: F.sort_array(F.collect_list(F.when(there & holds, F.col("number"))))
     out = merged.groupBy(key).agg(
-        F.bool_or(F.array_contains("copies", F.col("direct"))).alias("calibrated"), listed(~F.col("known")).alias("orphaned"),
+        F.bool_or("calibrated").alias("calibrated"), listed(~F.col("known")).alias("orphaned"),
         listed(F.col("latest") > F.col("direct")).alias("superseded"), listed(F.col("direct").isNull() & (F.col("latest") > F.col("stream"))).alias("displaced"))
     return out.select(key, "orphaned", F.when(F.col("calibrated"), F.col("superseded")).otherwise(F.array().cast("array<bigint>")).alias("superseded"), "displaced")
 
@@ -97,10 +99,10 @@ def preflight(files: DataFrame, path: str = "path", content: str = "content") ->
     A null content stands for a file that can't be read. Nulls, empty files and files that are no PDF are UNAVAILABLE.
     Each file is read once: hashed, looked through for trailing bytes and parsed in one pass, whose signals are written.
     """
-    from paperloom.sources.pdf import structure
+    from paperloom.sources.pdf import structures
 
     own = files.select(F.col(path).alias("path"), F.col(content).alias("content"), F.sha2(content, 256).alias("sha256"), let(latin1(F.col(content)), trailing_bytes).alias("trailing"))
-    signals = own.mapInPandas(structure, f"{SIGNALS}, sha256 string, trailing int").withColumn("id", F.monotonically_increasing_id())
+    signals = own.mapInArrow(structures, f"{SIGNALS}, sha256 string, trailing int").withColumn("id", F.monotonically_increasing_id())
     signals = written(signals, "preflight-signals")
     x = signals.drop("known", "direct", "packed", "raw").join(coverage(signals), "id", "left")
     listed = lambda c: F.concat(F.lit("["), F.array_join(first_five(F.col(c)).cast("array<string>"), ", "), F.lit("]"))
