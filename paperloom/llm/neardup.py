@@ -1,12 +1,12 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
 
-1. Document frequencies are exact for every shingle of at least T texts, and T follows from the corpus: all texts are counted into
-   two tables of 2**DF_BITS hashed cells; only a shingle both of whose cells reach T can itself, and those are counted one by one.
-   T is six standard deviations above the cells' mean, 2 at least, so at most 2**DF_BITS shingles are kept, whatever the corpus,
-   and while shingles are few against cells all frequencies are exact. A rarer one counts as of a single text, which is at most
-   IDF_SHARE * ln T / ln N too much weight. A shingle's weight is tf * (1 + IDF_SHARE * ln(N/df) / ln N): bounded, since with
-   plain IDF the shingles of a group of copies that holds a third of all rows weigh next to nothing, and copies that share nine
-   tenths of their shingles would no longer be similar.
+1. A shingle's weight is tf * (1 + IDF_SHARE * ln p / ln q): p is the share of texts that hold it, RARE at least, and q the least
+   share that there can be, 1/N or RARE. So the weight is a function of the shingle's exact share, by one formula for tables of any
+   size, and no frequency is estimated. Only shingles of at least RARE * N texts differ from the largest weight: all texts are
+   counted into two tables of 2**DF_BITS hashed cells; only a shingle both of whose cells reach that number can itself, and those
+   are counted one by one. There are at most (mean number of a text's shingles) / RARE of them, however many texts there are.
+   Weights are bounded, since with plain IDF the shingles of a group of copies that holds a third of all rows weigh next to nothing,
+   and copies that share nine tenths of their shingles would no longer be similar.
 2. Each distinct text gets BANDS * ROWS consistent weighted samples; a sample of a text is a shingle with its quantised weight,
    equal in two texts with a probability of their weighted Jaccard similarity. ROWS samples make the key of a band.
 3. Within a bucket (band, key) every text is compared with the bucket's most central text, verified on all shingles, and the
@@ -33,6 +33,7 @@ BANDS, ROWS = 16, 4
 DF_BITS = 21
 DF_CHUNK = 1 << 12
 IDF_SHARE = 0.25
+RARE = 1 / 1024  # shares of texts below this count alike
 U = np.uint64
 _rng = np.random.default_rng(97)
 MULTIPLIERS = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.int64).astype(U) * U(2) + U(1)
@@ -106,10 +107,11 @@ def cell_counts(docs: DataFrame, text: str, bits: int) -> tuple[np.ndarray, int]
 
 
 class Idf:
-    """Weights of shingles: those of at least `least` texts are listed with their exact frequency, all others count as of one."""
+    """Weights of shingles: those of at least `least` texts are listed with their exact frequency, all others count as of one; shares
+    below `rare` count alike."""
 
-    def __init__(self, shingles: np.ndarray, df: np.ndarray, n: int, least: int, bits: int):
-        by, self.bits = np.argsort(shingles), bits
+    def __init__(self, shingles: np.ndarray, df: np.ndarray, n: int, least: int, bits: int, rare: float = 0.0):
+        by, self.bits, self.rare = np.argsort(shingles), bits, rare
         self.shingles, self.n, self.least = shingles[by], n, least
         self.weights = self.weight(df[by])
         self.single = self.weight(np.ones(1))[0]
@@ -117,7 +119,9 @@ class Idf:
         self.listed[cells_of(self.shingles, bits)[0]] = True
 
     def weight(self, df: np.ndarray) -> np.ndarray:
-        return (1 + IDF_SHARE * np.log(max(2, self.n) / np.maximum(1, df)) / np.log(max(2, self.n))).astype(np.float32)
+        n = max(2, self.n)
+        top = np.log(min(n, 1 / self.rare) if self.rare else n)
+        return (1 + IDF_SHARE * np.minimum(top, np.log(n / np.maximum(1, df))) / top).astype(np.float32)
 
     def __call__(self, shingles: np.ndarray) -> np.ndarray:
         out = np.full(len(shingles), self.single, np.float32)
@@ -130,11 +134,16 @@ class Idf:
         return out
 
 
-def frequencies(docs: DataFrame, text: str, bits: int = DF_BITS) -> Idf:
-    """The exact document frequencies of all shingles of at least T texts, as weights."""
+def frequencies(docs: DataFrame, text: str, bits: int = DF_BITS, rare: float | None = None) -> Idf:
+    """Weights from the exact document frequencies of all shingles of at least T texts.
+
+    With `rare` T is that share of the texts, and the weights, in which smaller shares count alike, are exact for every shingle.
+    Without it T is six standard deviations above the cells' mean, so that at most 2**bits shingles are listed whatever the texts,
+    and a rarer one counts as of a single text.
+    """
     cells, n = cell_counts(docs, text, bits)
     mean = float(cells.mean())
-    least = max(2, int(np.ceil(mean + 6 * np.sqrt(mean))))
+    least = max(2, int(np.ceil(mean + 6 * np.sqrt(mean) if rare is None else n * rare)))
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(cells >= least))  # 2 * 2**bits bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,8 +175,8 @@ def frequencies(docs: DataFrame, text: str, bits: int = DF_BITS) -> Idf:
         yield from out()
 
     counts = docs.select(F.col(text).cast("string")).mapInArrow(B.releasing(run), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    got = counts.toArrow()  # at most total / T, which is below 2**bits
-    return Idf(got["shingle"].to_numpy().astype(U), got["n"].to_numpy(), n, least, bits)
+    got = counts.toArrow()  # at most total / T
+    return Idf(got["shingle"].to_numpy().astype(U), got["n"].to_numpy(), n, least, bits, rare or 0.0)
 
 
 def weights_of(shingles: np.ndarray, counts: np.ndarray, idf: Idf) -> np.ndarray:
@@ -204,7 +213,7 @@ def samples(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 def band_keys(docs: DataFrame, idf: Idf, key: str, text: str) -> DataFrame:
     """node, content (md5 of the text), bands (array of BANDS longs; null for a text without words), of rows with a key."""
-    shared = docs.sparkSession.sparkContext.broadcast(idf)  # at most 2**DF_BITS shingles and weights
+    shared = docs.sparkSession.sparkContext.broadcast(idf)  # at most the texts' mean number of shingles / RARE
     x = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("node"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("content"), F.col(text).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,7 +374,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", t
     one document; a null key gives a null class. Other columns are not read; an empty table gives an empty result.
     """
     slim = docs.select(F.col(key).cast("long").alias("__key"), F.col(text).cast("string").alias("__text"))
-    idf = frequencies(slim, "__text")
+    idf = frequencies(slim, "__text", rare=RARE)
     signed = written(band_keys(slim, idf, "__key", "__text"), "near-bands")
     contents = signed.where(F.col("bands").isNotNull()).groupBy("content").agg(F.min("node").alias("node"))
     reps = written(signed.join(contents, ["content", "node"], "left_semi").dropDuplicates(["content"]), "near-reps")

@@ -89,6 +89,21 @@ def test_document_frequencies_are_exact_from_the_threshold_on(spark):
     assert neardup.frequencies(docs.limit(0), "text").n == 0
 
 
+def test_weights_follow_exact_shares_at_any_size(spark):
+    """However few the cells are against the shingles, and however many texts there are, a weight is that of the exact share."""
+    rng = random.Random(32)
+    texts = [(i, " ".join(rng.choices(["a", "b", "c"], k=rng.randrange(0, 40)))) for i in range(300)]
+    _, df, n = exact_weights(texts)
+    docs = spark.createDataFrame(texts, "id long, text string").repartition(4)
+    for times in (1, 4):
+        many = docs.crossJoin(spark.range(times).withColumnRenamed("id", "copy"))
+        for bits in (22, 12):
+            idf = neardup.frequencies(many, "text", bits, rare=1 / 32)
+            got = idf(np.array(list(df), np.uint64))
+            want = [1 + neardup.IDF_SHARE * np.log(max(c / n, 1 / 32)) / np.log(1 / 32) for c in df.values()]
+            assert got.tolist() == pytest.approx(want, abs=1e-6) and len(set(got.tolist())) > 3
+
+
 def test_hot_keys_are_joined_whole(spark, monkeypatch):
     monkeypatch.setattr(components, "HOT_ROWS", 20)
     rows = spark.createDataFrame([(i, 1 if i % 3 else i) for i in range(300)] + [(900, None), (901, 555)], "id int, k int")
