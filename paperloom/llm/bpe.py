@@ -101,11 +101,12 @@ class Encoder:
             raise ValueError("only tokenizers that drop white space can be used")
         self.margin = 2 + max([14, *(len(a.content) for a in added)])  # what stands this far ahead can't change where a word starts
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was known before; pieces met again come back, so frequent ones are never encoded anew
         self.words = None if t.decoder else [t.id_to_token(i) or "" for i in range(t.get_vocab_size())]
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        new = list(dict.fromkeys(pieces))
-        found: dict[str, bytes] = {}
+        found = {p: self.older[p] for p in pieces if p in self.older}
+        new = list(dict.fromkeys(p for p in pieces if p not in found))
         at = 0
         while at < len(new):
             end, held = at, 0
@@ -115,8 +116,8 @@ class Encoder:
             for p, e in zip(new[at:end], self.tokenizer.encode_batch_fast(new[at:end], add_special_tokens=False), strict=True):
                 found[p] = array("i", e.ids).tobytes()
             at = end
-        if len(self.known) + len(found) > CACHE_ENTRIES:
-            self.known.clear()
+        if len(self.known) + len(found) > CACHE_ENTRIES // 2:
+            self.older, self.known = self.known, {}
         self.known.update((p, i) for p, i in found.items() if len(p) <= LONG)
         return found
 

@@ -45,6 +45,23 @@ def test_long_runs_without_a_place_to_part(library):
         assert listed(own.join(t, parts, {i: own.encode(p) for i, p in enumerate(parts)})) == library.encode(t, add_special_tokens=False).ids
 
 
+def test_frequent_pieces_are_encoded_once_however_many_others_there_are(library, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 40)
+    own, learned = bpe.Encoder(PATH), []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **more):
+            learned.extend(texts)
+            return library.encode_batch_fast(texts, **more)
+
+    own.tokenizer = Counting()
+    for i in range(60):
+        t = f"often x{i} y{i} z{i}"
+        assert listed(own.ids(t)) == library.encode(t, add_special_tokens=False).ids
+        assert len(own.known) + len(own.older) <= 40
+    assert learned.count("often") + learned.count(" often") == 1
+
+
 def test_chunks_follow_the_content():
     rng = random.Random(5)
     words = [f"w{rng.randrange(10**6)}é" for _ in range(6000)]
